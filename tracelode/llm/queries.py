@@ -6,19 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import packing, quality_rules, token_output
+from .tokens import tokenizer_path
+
+WORD_BPE = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = token_output.fresh_target(spark)
+    token_output.write_tokens(_table(spark, sf_dir, "documents"), target, tokenizer_path(WORD_BPE), end_id=1)
+    return token_output.read_tokens(spark, target, with_ids=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_token_output": op7_token_output,
     "op8_quality_rules": op8_quality_rules,
 }
 
