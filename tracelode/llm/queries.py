@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_output
+from . import ngram_join, packing, quality_rules, token_output
 from .tokens import tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = token_output.fresh_target(spark)
     token_output.write_tokens(_table(spark, sf_dir, "documents"), target, tokenizer_path(WORD_BPE), end_id=1)
@@ -33,6 +37,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_token_output": op7_token_output,
     "op8_quality_rules": op8_quality_rules,
 }
