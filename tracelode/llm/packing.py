@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .store import written
 from .textkernel import pieces
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 #: Pieces of one length that one task ranks.
@@ -105,10 +105,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
     """Pieces of at most ``capacity`` tokens of every whole text: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        known = encoder(tokenizer)
         for batch in batches:
             for low, high in pieces(batch.column(1)):
-                ids, sizes = encoder.encode(batch.column(1).slice(low, high - low))
+                ids, sizes = known.encode(batch.column(1).slice(low, high - low))
                 rows, at = [], 0
                 for doc, n in zip(batch.column(0).slice(low, high - low).to_pylist(), sizes.tolist(), strict=True):
                     own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .store import shared_dir, written
 from .textkernel import pieces
-from .tokens import Encoder
+from .tokens import encoder
 
 SHARD_BYTES = 2 << 20
 #: The dictionary is fitted on at most so many documents and ids of each.
@@ -42,7 +42,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int | None) -> bytes:
     import zstandard
 
     sample = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCUMENTS).select("text").toArrow().column(0).combine_chunks()
-    ids, sizes = Encoder(path).encode(sample)
+    ids, sizes = encoder(path).encode(sample)
     ends = np.cumsum(sizes)
     serialized = [np.append(ids[b - n : b], [end_id] if end_id is not None else []).astype("<u4")[:SAMPLE_IDS].tobytes() for b, n in zip(ends, sizes, strict=True)]
     try:
@@ -68,11 +68,11 @@ def frames(docs: DataFrame, path: str, dictionary: bytes, end_id: int | None) ->
     wide = docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compressor = Encoder(path), _compressor(wide.value)
+        known, compressor = encoder(path), _compressor(wide.value)
         for batch in batches:
             column = batch.column(1)
             for low, high in pieces(column):
-                ids, sizes = encoder.encode(column.slice(low, high - low))
+                ids, sizes = known.encode(column.slice(low, high - low))
                 out, at = [], 0
                 for n in sizes.tolist():
                     own = ids[at : at + n]

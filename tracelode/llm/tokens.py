@@ -1,25 +1,51 @@
 """Token ids of whole texts with a public tokenizer file, in Spark tasks.
 
 The tokenizer's rules never look across a space, tab, line feed or carriage
-return, so the distinct runs between these are encoded once for each task and
-the ids of the documents are gathered from them. The tests hold the result
-against the library's own ids of whole texts.
+return, nor from an ASCII letter to a digit or sign, so the distinct runs
+between these are encoded once for each Python worker and the ids of the
+documents are gathered from them. Runs of plain letters, and Latin ones part by
+part, go straight to the library's model, which saves its normalising steps;
+all others to the whole library. The tests hold the
+result against the library's own ids of whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from .textkernel import Texts
 
-#: Distinct runs whose ids a task keeps; beyond it, it starts anew.
-KEPT_RUNS = 400_000
-_BETWEEN = np.zeros(256, bool)
-_BETWEEN[[0x20, 0x09, 0x0A, 0x0D]] = True
+#: Distinct runs whose ids a worker keeps; beyond it, it starts anew.
+KEPT_RUNS = 800_000
+#: The parts into which the tokenizer cuts a normalised text.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Printable characters that stand for themselves when composed; the capital I with a dot grows when lower-cased.
+_LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]+")
+_PARTS = regex.compile(PARTS)
+#: Kinds of bytes: white space between runs, letter, digit, sign, and those that no cut may touch (apostrophes, control and non-ASCII bytes).
+_BETWEEN, _LETTER, _DIGIT, _SIGN, _BOUND = range(5)
+_KIND = np.full(256, _BOUND, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = _BETWEEN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x27] = _BOUND
+#: Between these neighbours the tokenizer always cuts.
+_CUT = np.zeros((5, 5), bool)
+_CUT[_BETWEEN, :] = _CUT[:, _BETWEEN] = True
+_CUT[_LETTER : _SIGN + 1, _LETTER : _SIGN + 1] = ~np.eye(3, dtype=bool)
+_CUT[_DIGIT, _DIGIT] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_PLAIN = re.compile(rb"[a-z]+|[0-9]|[\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
 
 
 @lru_cache(maxsize=2)
@@ -36,21 +62,66 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level tokenizers write for each byte: itself, or the next free one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+_SIGNS = _byte_signs()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> "Encoder":
+    """The worker's encoder, whose runs stay known from task to task."""
+    return Encoder(path)
+
+
 class Encoder:
     """Encodes Arrow text columns; null is an empty text. Special tokens are not added."""
 
     def __init__(self, path: str):
         self.library = _library(path)
+        self.by_parts = self._cuts_as_known()
         self._reset()
 
+    def _cuts_as_known(self) -> bool:
+        """Whether the file normalises and cuts by the rules that ``_by_parts`` follows."""
+        rules = json.loads(self.library.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": PARTS} and cuts[1]["type"] == "ByteLevel"
+
     def _reset(self) -> None:
         self.slot: dict[bytes, int] = {}
+        self.part: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 14, np.int64)
         self.n = 0
 
+    def _by_parts(self, text: str) -> list[int]:
+        parts = _PARTS.findall(text.lower())
+        known = self.part
+        if len(parts) == 1 and (ids := known.get(parts[0])):
+            return ids
+        out: list[int] = []
+        for part in parts:
+            ids = known.get(part)
+            if ids is None:
+                signs = part if part.isascii() else "".join([_SIGNS[b] for b in part.encode()])
+                known[part] = ids = [t.id for t in self.library.model.tokenize(signs)]
+            out += ids
+        return out
+
     def _learn(self, runs: list[bytes]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
+        plain = [self.by_parts and _PLAIN.fullmatch(r) is not None and b"<|" not in r for r in runs]
+        tokenize = self.library.model.tokenize
+        known = {r: [t.id for t in tokenize(r.decode())] for r, ok in zip(runs, plain, strict=True) if ok}
+        texts = [r.decode() for r, ok in zip(runs, plain, strict=True) if not ok]
+        latin = [self.by_parts and _LATIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        rest = iter(self.library.encode_batch_fast([t for t, ok in zip(texts, latin, strict=True) if not ok], add_special_tokens=False))
+        others = iter([self._by_parts(t) if ok else next(rest).ids for t, ok in zip(texts, latin, strict=True)])
+        found = [known[r] if ok else next(others) for r, ok in zip(runs, plain, strict=True)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         low = int(self.bounds[self.n])
         high = low + int(sizes.sum())
@@ -58,7 +129,7 @@ class Encoder:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while len(self.bounds) < self.n + len(runs) + 1:
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        self.ids[low:high] = np.fromiter((i for e in found for i in e), np.uint32, high - low)
+        self.ids[low:high] = np.fromiter(chain.from_iterable(found), np.uint32, high - low)
         self.bounds[self.n + 1 : self.n + 1 + len(runs)] = low + np.cumsum(sizes)
         self.slot.update(zip(runs, range(self.n, self.n + len(runs)), strict=True))
         self.n += len(runs)
@@ -66,13 +137,19 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after the other, number of ids of each)."""
         texts = Texts(column)
-        apart = _BETWEEN[texts.data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], apart, [True])).view(np.int8)))
-        start, end = edge[0::2], edge[1::2]
+        data, kind = texts.data, _KIND[texts.data]
+        cut = _CUT[kind[:-1], kind[1:]]
+        if not self.by_parts or b"<|" in data.tobytes():  # a special token's name may stand in the text: cut at white space only
+            cut = (kind[:-1] == _BETWEEN) | (kind[1:] == _BETWEEN)
+        else:
+            data = _LOWER[data]
+        inside = kind != _BETWEEN
+        start = np.flatnonzero(inside & np.concatenate(([True], cut)))
+        end = np.flatnonzero(inside & np.concatenate((cut, [True]))) + 1
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(texts.n, np.int64)
         bounds = np.concatenate(([0], np.cumsum(end - start)))
-        runs = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(texts.data[~apart])]).dictionary_encode()
+        runs = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
         distinct = runs.dictionary.to_pylist()
         if self.n + len(distinct) > KEPT_RUNS:
             self._reset()
