@@ -63,13 +63,18 @@ def _each_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBa
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, node and n_shingles of every row."""
+    """doc_id, key (a hash of doc_id and text), node and n_shingles of every row."""
 
     def run(batches):
         for part, _, sizes, nodes in _each_piece(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes), pa.array(sizes.astype(np.int64))], names=["doc_id", "node", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(nodes), pa.array(sizes.astype(np.int64))], names=["doc_id", "key", "node", "n_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, n_shingles long")
+    chosen = docs.select(F.col("doc_id").cast("long"), _key(), F.col("text").cast("string"))
+    return chosen.mapInArrow(run, "doc_id long, key long, node long, n_shingles long")
+
+
+def _key() -> F.Column:
+    return F.xxhash64("doc_id", "text").alias("key")
 
 
 def _new_ones(seen: set[int], nodes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -268,6 +273,17 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long")
 
 
+def node_components(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the sets that link with another set; ``rows`` are those of ``sets_of(docs)``."""
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    groups = max(16, -(-int(total) * ENTRY.itemsize // (100 // (100 - percent) * GROUP_BYTES)))
+    lists = written(merge_lists(short_lists(docs, list_lengths(docs), percent, groups), percent), "join-lists")
+    once = written(lists.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("a")).select("a", F.col("node").alias("b")), "join-first-pairs")
+    links = written(linked(docs, once, percent), "join-links")
+    rest = written(pairs_apart(lists, components(links), percent, groups).join(once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
+    return components(links.union(linked(docs, rest, percent)) if not rest.isEmpty() else links)
+
+
 def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -278,17 +294,25 @@ def join_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows all have null ids has a null component_id. Other columns are not
     read. Names of sets are 64-bit hashes of all their shingles.
     """
-    spark: SparkSession = docs.sparkSession
     rows = written(sets_of(docs), "join-sets")
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = max(16, -(-int(total) * ENTRY.itemsize // (100 // (100 - percent) * GROUP_BYTES)))
-    lists = written(merge_lists(short_lists(docs, list_lengths(docs), percent, groups), percent), "join-lists")
-    once = written(lists.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("a")).select("a", F.col("node").alias("b")), "join-first-pairs")
-    links = written(linked(docs, once, percent), "join-links")
-    rest = written(pairs_apart(lists, components(links), percent, groups).join(once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
-    links = links.union(linked(docs, rest, percent)) if not rest.isEmpty() else links
-    named = components(links).join(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "node")
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = named.select("node", "component").join(smallest, "component").select("node", "component_id")
-    alone = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(of_node, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.where("n_shingles > 0").join(alone, "node").select("doc_id", "n_shingles", "component_id").union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    full = rows.where("n_shingles > 0")
+    nodes = full.groupBy("node").agg(F.min("doc_id").alias("least")).join(node_components(docs, rows, percent), "node", "left")
+    nodes = nodes.withColumn("component", F.coalesce("component", "node"))
+    smallest = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = nodes.join(smallest, "component").select("node", "component_id")
+    return full.join(of_node, "node").select("doc_id", "n_shingles", "component_id").union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each component the row with the smallest doc_id stays.
+
+    Where ids are equal or null, the hash of the text decides, ids before
+    nulls; of rows with the same doc_id and text one stays. Rows without words
+    are linked with nothing and stay all.
+    """
+    rows = written(sets_of(docs), "join-sets")
+    full = rows.where("n_shingles > 0").join(node_components(docs, rows, percent), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    chosen = full.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("first")).select(F.col("first.key").alias("__kept"), F.lit(True).alias("__once"))
+    wordless = rows.where("n_shingles = 0").select(F.col("key").alias("__kept"), F.lit(False).alias("__once")).distinct()
+    stays = docs.withColumn("__key", _key()).join(chosen.union(wordless), F.col("__key") == F.col("__kept")).drop("__kept")
+    return stays.where("__once").dropDuplicates(["__key"]).union(stays.where("NOT __once")).select(*docs.columns)

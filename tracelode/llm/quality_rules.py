@@ -173,18 +173,35 @@ def verdict(stratum: str, cutoffs: list[tuple]) -> F.Column:
     return ~bad
 
 
+def labelled_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, tolerated: float, delta: float) -> list[tuple]:
+    """Cutoffs from the rows of ``counted`` that ``labels`` marks good.
+
+    Labels with null doc_id or quality are ignored; where a document is
+    labelled twice, it is good only if no label says otherwise.
+    """
+    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    return fit_cutoffs(counted.join(good, "doc_id", "left_semi"), stratum, F.lit(True), tolerated, delta)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of each row of ``docs``, one row out for one in.
 
-    Strata are the values of ``lang`` (null is a stratum of its own). Labels
-    with null doc_id or quality are ignored; where a document is labelled
-    twice, it is good only if no label says otherwise. Rows of docs with a
-    null doc_id are never labelled but are scored. Empty and null texts have
-    no words and fail the base rules. Other columns of docs and labels are
-    not read, whatever their names.
+    Strata are the values of ``lang`` (null is a stratum of its own). Rows of
+    docs with a null doc_id are never labelled but are scored. Empty and null
+    texts have no words and fail the base rules. Without usable labels only
+    the base rules decide. Other columns of docs and labels are not read,
+    whatever their names.
     """
     named = docs.select("doc_id", F.col("lang").alias("stratum"), "text")
     counted = written(with_counts(named, keep=("doc_id", "stratum")), "quality-counts")
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    cutoffs = fit_cutoffs(counted.join(good, "doc_id", "left_semi"), "stratum", F.lit(True), tolerated, delta)
+    cutoffs = labelled_cutoffs(counted, labels, "stratum", tolerated, delta)
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict("stratum", cutoffs))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score_documents`` keeps."""
+    own = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    named = docs.select("doc_id", F.col("lang").alias("stratum"), "text", *[F.col(c).alias(k) for k, c in own.items()])
+    counted = written(with_counts(named, keep=("doc_id", "stratum", *own)), "quality-rows")
+    cutoffs = labelled_cutoffs(counted, labels, "stratum", tolerated, delta)
+    return counted.where(~base_failed() & verdict("stratum", cutoffs)).select(*[F.col(k).alias(c) for k, c in own.items()])
