@@ -12,19 +12,32 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def register(name: str, query: Query, oracle: str | None = None) -> None:
-    _QUERIES[name] = query
-    if oracle:
-        _ORACLES[name] = oracle
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function (spark, directory of the tables) under ``name``, with its SQL where SQL can express it."""
+
+    def add(function: Query) -> Query:
+        _QUERIES[name] = function
+        if oracle:
+            _ORACLES[name] = oracle
+        return function
+
+    return add
+
+
+def _load() -> None:
+    from . import graph, ledger, sessions, texts  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role").count()
+    """Records, turns, characters and answers of every session."""
+    return queries()["min00_session_rollup"](spark, sf_dir)
