@@ -43,7 +43,7 @@ def latest_request(events: DataFrame, is_request: Column, time: str = "at") -> D
 
 
 def fill_times(events: DataFrame) -> DataFrame:
-    """``events`` (pos, session_id, at or null) with filled_at: the own time, else the session's last time before, else the last of all.
+    """``events`` (pos, session_id, at or null) with filled_at: the own time, else the session's last time before, else the filled time of the row before.
 
     Both are as-of steps over blocks of positions; a row before any time stays null.
     """

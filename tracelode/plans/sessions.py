@@ -55,7 +55,7 @@ def role_normalisation(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy(rules.normal_role(F.col("role"), F.col("text")).alias("role")).agg(F.count("*").alias("n"))
 
 
-@query("win03_event_time_fill", "WITH e AS (SELECT event_id AS pos, user_id AS session_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS tm FROM events) SELECT pos, coalesce(tm, last_value(tm IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY pos), last_value(tm IGNORE NULLS) OVER (ORDER BY pos)) AS filled_at FROM e")
+@query("win03_event_time_fill", "WITH e AS (SELECT event_id AS pos, user_id AS session_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS tm FROM events), f AS (SELECT pos, last_value(tm IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY pos) AS own FROM e) SELECT pos, last_value(own IGNORE NULLS) OVER (ORDER BY pos) AS filled_at FROM f")
 def event_time_fill(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("user_id").alias("session_id"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("at"))
     return turns.fill_times(events).select("pos", "filled_at")
