@@ -269,7 +269,8 @@ def counted(runs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, low, high): byte ranges, possibly overlapping, of all repeated strings of the rows."""
     runs = written(runs_of(docs, text), "dedup-runs")
-    twice = runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("mixed")).where("n > 1").select("anchor", "mixed")
+    # Written, so that both sides of the join are plain exchanges and Spark can split the runs of a very common anchor.
+    twice = written(runs.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("run") != F.max("run")).alias("mixed")).where("n > 1").select("anchor", "mixed"), "dedup-twice")
     met = written(runs.join(twice, "anchor"), "dedup-met")
     whole = [F.col("key"), F.col("at").alias("low"), (F.col("at") + F.col("strings") - 1 + LENGTH).alias("high")]
     equal = met.where("NOT mixed").select(*whole)
