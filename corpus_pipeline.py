@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracelode.llm import ngram_join, packing, quality_rules, secret_scan, suffix_dedup
 from tracelode.llm.queries import WORD_BPE
-from tracelode.llm.store import written
+from tracelode.llm.store import bounded_batches, written
 from tracelode.llm.tokens import tokenizer_path
 
 #: Columns of ``documents`` that a stage passes on as they are.
@@ -29,26 +29,31 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the risk-controlled cutoffs keep."""
+    bounded_batches(spark)
     return quality_rules.keep_good(docs.select("doc_id", "text", "lang", "source", "n_chars"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8; documents without words stay."""
+    bounded_batches(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the byte strings that stand in them more than once."""
+    bounded_batches(spark)
     return _with_text(suffix_dedup.remove_repeats(docs, PLAIN, with_text=True), "kept")
 
 
 def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their secrets replaced."""
+    bounded_batches(spark)
     return _with_text(secret_scan.scan_documents(docs, secret_scan.fit(docs), PLAIN, with_text=True), "clean")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, tokenizer_path(WORD_BPE))
 
 

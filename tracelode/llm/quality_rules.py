@@ -92,10 +92,11 @@ def count_text(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def with_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each row with the COUNTS of its whole text. Null text: all counts 0."""
+def with_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """The columns ``keep`` of each row, and the text as ``__text`` if asked for, with the COUNTS of its whole text. Null text: all counts 0."""
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = chosen.drop("__text").schema
+    names = [*chosen.columns] if with_text else chosen.columns[:-1]
+    schema = chosen.select(names).schema
     for name in COUNTS:
         schema = schema.add(name, "long")
 
@@ -105,7 +106,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
             for low, high in pieces(column):
                 counts = count_text(column.slice(low, high - low))
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)], names=[*keep, *COUNTS])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)], names=[*names, *COUNTS])
 
     return chosen.mapInArrow(run, schema)
 
@@ -200,8 +201,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05,
 
 def keep_good(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The rows of ``docs``, all columns, that ``score_documents`` keeps."""
-    own = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    named = docs.select("doc_id", F.col("lang").alias("stratum"), "text", *[F.col(c).alias(k) for k, c in own.items()])
-    counted = written(with_counts(named, keep=("doc_id", "stratum", *own)), "quality-rows")
+    own = {"__text" if c == "text" else f"c{i}": c for i, c in enumerate(docs.columns)}
+    named = docs.select("doc_id", F.col("lang").alias("stratum"), "text", *[F.col(c).alias(k) for k, c in own.items() if c != "text"])
+    counted = written(with_counts(named, keep=("doc_id", "stratum", *[k for k in own if k != "__text"]), with_text=True), "quality-rows")
     cutoffs = labelled_cutoffs(counted, labels, "stratum", tolerated, delta)
     return counted.where(~base_failed() & verdict("stratum", cutoffs)).select(*[F.col(k).alias(c) for k, c in own.items()])

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_output
+from .store import bounded_batches
 from .tokens import tokenizer_path
 
 WORD_BPE = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -28,6 +28,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch: texts are long, and a Python worker holds a batch and what it makes of it.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session, for operators that pass whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def row_count_at_most(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows, reading no more than needed."""
     return df.limit(most + 1).count() <= most
