@@ -180,7 +180,12 @@ def _can_link(n, i, m, j, percent: int) -> np.ndarray:
 
 
 def merge_lists(packed: DataFrame, percent: int) -> DataFrame:
-    """The short lists of two documents or more: token, node, n, at, first (of the same token, the smallest node that may link)."""
+    """The short lists of two documents or more: token, node, n, at, first (the list's hub, where it may link with the node).
+
+    The hub is the document that has the fewest rarer shingles than the list's:
+    of near copies the one that the others were made from, or the one least
+    changed, so that most of them link with it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         entry = np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["entries"]])
@@ -194,7 +199,8 @@ def merge_lists(packed: DataFrame, percent: int) -> DataFrame:
         if not len(entry):
             return pd.DataFrame({"token": [], "node": [], "n": [], "at": [], "first": []})
         size = size[size > 1]
-        head = entry[np.repeat(np.cumsum(size) - size, size)]
+        start = np.repeat(np.cumsum(size) - size, size)
+        head = entry[np.lexsort((entry["node"], entry["at"], start))][start]
         may = (head["node"] != entry["node"]) & _can_link(entry["n"], entry["at"], head["n"], head["at"], percent)
         first = pd.array(np.where(may, head["node"], 0), dtype="Int64")
         first[~may] = pd.NA
@@ -278,9 +284,9 @@ def node_components(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     groups = max(16, -(-int(total) * ENTRY.itemsize // (100 // (100 - percent) * GROUP_BYTES)))
     lists = written(merge_lists(short_lists(docs, list_lengths(docs), percent, groups), percent), "join-lists")
-    once = written(lists.where("first IS NOT NULL").groupBy("node").agg(F.min("first").alias("a")).select("a", F.col("node").alias("b")), "join-first-pairs")
+    once = written(lists.where("first IS NOT NULL").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "join-first-pairs")
     links = written(linked(docs, once, percent), "join-links")
-    rest = written(pairs_apart(lists, components(links), percent, groups).join(once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
+    rest = written(pairs_apart(lists, components(links), percent, groups).join(once, ["a", "b"], "left_anti"), "join-pairs")
     return components(links.union(linked(docs, rest, percent)) if not rest.isEmpty() else links)
 
 
