@@ -44,3 +44,13 @@ def test_compact_secrets_are_replaced(spark):
     for i, text in enumerate(lines):
         assert rows[i]["clean"] == text.replace(HEX, "[secret]")
     assert all(rows[len(lines) + i]["clean"] == text for i, text in enumerate(plain))
+
+
+def test_dictionary_counts_whole_texts_of_all_documents(spark):
+    late = "x " * 10_001 + "latecomer " * 50  # beyond the first 20,000 characters
+    rows = [(0, late), (1, None)] + [(i, "common words") for i in range(2, 40)] + [(i, "Straggler") for i in range(40, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secret_scan.frequent_words(docs) == ["straggler", "latecomer", "common", "words"]
+    assert secret_scan.frequent_words(docs.where("false")) == []
+    finding = secret_scan.labelled_findings(["alpha"], 100)
+    assert secret_scan.fit(docs, finding).dictionary == {"straggler", "latecomer", "common", "words"}

@@ -279,17 +279,19 @@ def labelled_findings(words: list[str], n: int = 3000, seed: int = 3) -> list[tu
     return [f for pair in zip(found[0][:half], found[1][:half], strict=True) for f in pair]
 
 
+def frequent_words(docs: DataFrame) -> list[str]:
+    """The DICTIONARY_WORDS most frequent words of all whole texts, lower-cased; ties go to the alphabetically first."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(_WORD.pattern), F.lit(0))).alias("w"))
+    ranked = words.groupBy(F.lower("w").alias("w")).count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)
+    return [r["w"] for r in ranked.collect()]
+
+
 def fit(docs: DataFrame, findings: list[tuple[Finding, int]] | None = None) -> Forest:
     """The forest from labelled findings, FINDINGS at most; by default from those made by rule among the corpus's words.
 
-    The dictionary has the most frequent words of a bounded sample of documents, those with the smallest hash.
+    The dictionary has the most frequent words of all documents, counted by Spark.
     """
-    sample = docs.select(F.substring(F.col("text").cast("string"), 1, 20000).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCUMENTS).collect()
-    counts: dict[str, int] = {}
-    for row in sample:
-        for w in _WORD.findall(row["text"] or ""):
-            counts[w.lower()] = counts.get(w.lower(), 0) + 1
-    ranked = sorted(counts, key=lambda w: (-counts[w], w))[:DICTIONARY_WORDS]
+    ranked = frequent_words(docs)
     dictionary = frozenset(w for w in ranked if len(w) <= 12)
     findings = (findings or labelled_findings(ranked))[:FINDINGS]
     return grow_forest(features([f for f, _ in findings], dictionary), np.array([y for _, y in findings]), dictionary)
