@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
 import pytest
 
-from tracelode.llm import secret_scan
+from tracelode.llm import language_id, secret_scan
 
 HEX = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
 
@@ -54,3 +56,16 @@ def test_dictionary_counts_whole_texts_of_all_documents(spark):
     assert secret_scan.frequent_words(docs.where("false")) == []
     finding = secret_scan.labelled_findings(["alpha"], 100)
     assert secret_scan.fit(docs, finding).dictionary == {"straggler", "latecomer", "common", "words"}
+
+
+def test_every_language_is_told(spark, monkeypatch):
+    """70 languages, each with words of its own; also when they are scored group by group."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(70)]
+    docs = spark.createDataFrame([(f"{w} " * (3 + i), f"l{i:02d}") for i, w in enumerate(words)], "text string, lang string").repartition(3)
+    pages = spark.createDataFrame([(i, None, f"<p>{w} {w} {w} {w} {w}</p>") for i, w in enumerate(words)] + [(0, None, f"<p>{words[0]} {words[0]} {words[0]} {words[0]} {words[0]}</p>")], "page_id long, url string, html string")
+    rows = lambda: sorted((r["page_id"], r["text_language"], r["language"], r["probability"]) for r in language_id.identify_pages(pages, docs).collect())
+    at_once = rows()
+    assert len(at_once) == 71 and all(own == told == f"l{i:02d}" for i, own, told, _ in at_once)
+    monkeypatch.setattr(language_id, "LANGUAGES_AT_ONCE", 29)
+    assert rows() == at_once

@@ -12,18 +12,20 @@ from __future__ import annotations
 
 import html as markup
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import written
 from .textkernel import LOWER_CODES, Texts, U, mix, pieces
 
 BUCKETS, CHUNK = 1 << 16, 1 << 13
-#: Languages that a model has at most; the rarer ones beyond it cannot be told.
-MOST_LANGUAGES = 64
+#: Languages whose table is held and sent at once (half a MB each); more are scored group by group.
+LANGUAGES_AT_ONCE = 192
 #: Trigrams overlap, so their evidence counts a third; and pseudo-counts of the smoothing.
 TEMPER, SMOOTH, LEAN, DECLARED = 1 / 3, 0.5, 4.0, 1.0
 
@@ -47,7 +49,14 @@ def _trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, chunk, counts): sums over all rows with a language, in chunks of CHUNK buckets."""
+    """(lang, at, n): sums over all rows with a language, a row for each bucket that occurs."""
+
+    def rows_of(total: dict[str, np.ndarray]):
+        for name, counts in total.items():
+            at = np.flatnonzero(counts)
+            for low in range(0, len(at), CHUNK):
+                part = at[low : low + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names=["lang", "at", "n"])
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
@@ -55,18 +64,20 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
             langs = batch.column(0).to_pylist()
             for low, high in pieces(batch.column(1)):
                 doc, bucket = _trigrams(Texts(batch.column(1).slice(low, high - low)))
-                names, which = np.unique(np.array(langs[low:high]), return_inverse=True)
-                table = np.bincount(which[doc] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-                for i, name in enumerate(names.tolist()):
-                    total[name] = total[name] + table[i] if name in total else table[i]
-        for name, counts in total.items():
-            parts = counts.astype(np.int64).reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(list(parts), pa.list_(pa.int64()))], names=["lang", "chunk", "counts"])
-
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("string")).mapInArrow(run, "lang string, chunk int, counts array<long>")
-    # The sums of one chunk are a task's; each task of the first step sends one row for a language and chunk.
-    each = rows.select("lang", "chunk", F.posexplode("counts").alias("at", "n")).groupBy("lang", "chunk", "at").agg(F.sum("n").alias("n"))
-    return each.groupBy("lang", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("a")).select("lang", "chunk", F.transform("a", lambda x: x["n"]).alias("counts"))
+                edge = np.searchsorted(doc, np.arange(high - low + 1))
+                own: dict[str, list[np.ndarray]] = {}
+                for i, name in enumerate(langs[low:high]):
+                    own.setdefault(name, []).append(bucket[edge[i] : edge[i + 1]])
+                for name, parts in own.items():
+                    if name not in total and len(total) >= LANGUAGES_AT_ONCE:  # sums are added up later, too
+                        yield from rows_of(total)
+                        total = {}
+                    counts = np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                    total[name] = total[name] + counts if name in total else counts
+        yield from rows_of(total)
+
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("string")).mapInArrow(run, "lang string, at int, n long")
+    return rows.groupBy("lang", "at").agg(F.sum("n").alias("n"))
 
 
 class TextModel:
@@ -80,14 +91,23 @@ class TextModel:
         return TEMPER * np.stack([np.bincount(doc, weights=row[bucket], minlength=texts.n) for row in self.logs], axis=1)
 
 
-def fit_text(docs: DataFrame) -> TextModel:
-    """Likelihoods from all labelled rows of ``docs`` (text, lang); MOST_LANGUAGES times BUCKETS counts reach the driver."""
-    most = [r["lang"] for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    counts = {name: np.zeros(BUCKETS) for name in most}
-    for row in trigram_counts(docs.where(F.col("lang").isin(most))).toLocalIterator():
-        counts[row["lang"]][row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = row["counts"]
-    languages = sorted(most)
-    table = np.stack([counts[x] for x in languages]) + SMOOTH if languages else np.zeros((0, BUCKETS))
+def fit_text(docs: DataFrame) -> Iterator[TextModel]:
+    """Likelihoods from all labelled rows of ``docs`` (text, lang), every language in one model of LANGUAGES_AT_ONCE at most; the models follow the alphabet."""
+    languages = sorted(r["lang"] for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang").distinct().collect())
+    groups = [languages[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(languages), LANGUAGES_AT_ONCE)]
+    sums = trigram_counts(docs)
+    if len(groups) > 1:
+        sums = written(sums, "trigrams")
+    for group in groups:
+        yield _fit_group(sums, group)
+
+
+def _fit_group(sums: DataFrame, languages: list[str]) -> TextModel:
+    place = {name: i for i, name in enumerate(languages)}
+    table = np.full((len(languages), BUCKETS), SMOOTH)
+    chunks = sums.where(F.col("lang").between(languages[0], languages[-1])).groupBy("lang", F.floor(F.col("at") / CHUNK).alias("chunk")).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    for row in chunks.toLocalIterator():
+        table[place[row["lang"]], row["at"]] += row["n"]
     return TextModel(languages, np.log(table / table.sum(1, keepdims=True)))
 
 
@@ -104,6 +124,24 @@ def declared_language(html: Column) -> Column:
     return F.when(found != "", found)
 
 
+def _with_scores(pages: DataFrame, model: TextModel) -> DataFrame:
+    """``pages`` with the model's log likelihoods added to the end of ``text``, which is made if it is not there."""
+    wide = pages.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in pages.columns if c != "text"]
+    place = names.index("html")
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.array([visible_text(x) for x in batch.column(place).to_pylist()], pa.string())
+            scores = [wide.value.score(texts.slice(low, high - low)) for low, high in pieces(texts)]
+            scores = list(np.concatenate(scores)) if scores else []
+            if batch.num_columns > len(names):
+                scores = [np.concatenate(both) for both in zip(batch.column(len(names)).to_pylist(), scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores, pa.list_(pa.float64()))], names=[*names, "text"])
+
+    return pages.mapInArrow(run, pages.select(*names).schema.add("text", T.ArrayType(T.DoubleType())))
+
+
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, host, declared, text_language, language and probability of every page.
 
@@ -113,23 +151,18 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     probability are null. Repeated pages are judged each. Other columns of
     either table are not read.
     """
-    model = fit_text(docs)
     host, domain, suffix = address_parts(F.col("url"))
     base = pages.select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared_language(F.col("html")).alias("declared"), F.col("html").cast("string").alias("html"))
-    if not model.languages:
+    scored, languages = base, []
+    for model in fit_text(docs):
+        if languages:  # the scores so far, beside the pages
+            scored = written(scored, "page-scores")
+        scored = _with_scores(scored, model)
+        languages += model.languages
+    if not languages:
         return base.select("page_id", "host", "declared", *(F.lit(None).cast(t).alias(c) for c, t in (("text_language", "string"), ("language", "string"), ("probability", "double"))))
-    wide = pages.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            texts = pa.array([visible_text(x) for x in batch.column(5).to_pylist()], pa.string())
-            scores = [wide.value.score(texts.slice(low, high - low)) for low, high in pieces(texts)]
-            scores = np.concatenate(scores) if scores else np.zeros((0, len(wide.value.languages)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(list(scores), pa.list_(pa.float64()))], names=["page_id", "host", "domain", "suffix", "declared", "text"])
-
-    kind = base.schema["page_id"].dataType.simpleString()
-    scored = base.mapInArrow(run, f"page_id {kind}, host string, domain string, suffix string, declared string, text array<double>")
-    span = range(len(model.languages))
+    scored = scored.drop("html")
+    span = range(len(languages))
     top = F.array_max("text")
     part = F.transform("text", lambda x: F.exp(x - top))
     whole = F.aggregate(part, F.lit(0.0), lambda s, x: s + x)
@@ -165,7 +198,7 @@ def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     said = F.zip_with(less(F.col("n_declared")), less(corpus), lambda n, c: (n + F.lit(DECLARED / len(span))) / (c + F.lit(DECLARED)))
     evidence = F.zip_with("text", F.transform("prior", lambda x: F.ln(x)), lambda a, b: a + b)
     evidence = F.when(F.col("declared").isNull(), evidence).otherwise(F.zip_with(evidence, F.transform(said, lambda x: F.ln(x)), lambda a, b: a + b))
-    names = F.array(*[F.lit(x) for x in model.languages])
+    names = F.array(*[F.lit(x) for x in languages])
     best = lambda a: F.get(names, F.array_position(a, F.array_max(a)).cast("int") - 1)
     out = joined.select("page_id", "host", "declared", best(F.col("text")).alias("text_language"), evidence.alias("e"))
     return out.select("page_id", "host", "declared", "text_language", best(F.col("e")).alias("language"), F.round(1 / F.aggregate(F.transform("e", lambda x: F.exp(x - F.array_max("e"))), F.lit(0.0), lambda s, x: s + x), 6).alias("probability"))
