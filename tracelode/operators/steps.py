@@ -90,22 +90,24 @@ def near_in_time(left: DataFrame, right: DataFrame, seconds: int, most: int) ->
 def due_points(items: DataFrame, most: int, seconds: int, commit: Column) -> DataFrame:
     """(session_id, fired_at, n_items): when a reminder falls due: at ``most`` items, ``seconds`` after the first, or at a commit; counting then starts anew.
 
-    A fold over each session's items in order, which no window frame expresses:
-    rows are dealt by session and day, and sorted; a task walks its rows once.
-    Counting starts anew with each day, so a long session is many shares.
+    A fold over each session's whole sequence, which no window frame expresses.
+    A commit sets the state back whatever it was, so a session is cut exactly
+    there, into as many shares as it has commits; a task walks the rows of a
+    share once, in order, and holds only the count and the first time.
     """
     import pyarrow as pa
 
-    chosen = items.select("session_id", F.to_date("at").alias("day"), F.col("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), F.coalesce(commit, F.lit(False)).alias("commit"), "id")
-    dealt = chosen.repartition("session_id", "day").sortWithinPartitions("session_id", "day", "at", "id")
+    chosen = items.select("session_id", F.col("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), F.coalesce(commit, F.lit(False)).alias("commit"), "id")
+    counted = ordered.running_count(chosen, ["session_id"], ["at", "id"], F.col("commit"), "share", _time_block()).withColumn("share", F.col("share") - F.col("commit").cast("bigint"))
+    dealt = counted.repartition("session_id", "share").sortWithinPartitions("session_id", "share", "at", "id")
 
     def fold(batches):
         share, first, n = None, 0, 0
         for batch in batches:
             fired = []
-            for i, (session, day, micros, is_commit) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
-                if (session, day) != share:
-                    share, n = (session, day), 0
+            for i, (session, part, micros, is_commit) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 5, 2, 3)), strict=True)):
+                if (session, part) != share:
+                    share, n = (session, part), 0
                 if n and micros - first >= seconds * 1_000_000:
                     fired.append((i, n))
                     n = 0
@@ -114,7 +116,7 @@ def due_points(items: DataFrame, most: int, seconds: int, commit: Column) -> Dat
                     fired.append((i, n))
                     n = 0
             rows = batch.take(pa.array([i for i, _ in fired], pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([n for _, n in fired], pa.int64())], names=["session_id", "fired_at", "n_items"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([n for _, n in fired], pa.int64())], names=["session_id", "fired_at", "n_items"])
 
     kinds = dict(chosen.dtypes)
     return dealt.mapInArrow(fold, f"session_id {kinds['session_id']}, fired_at {kinds['at']}, n_items long")
