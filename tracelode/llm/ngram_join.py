@@ -18,7 +18,7 @@ in different components, all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -87,20 +87,20 @@ def _new_ones(seen: set[int], nodes: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return np.array(out, np.int64)
 
 
-def fixed_table(slots: DataFrame) -> np.ndarray:
-    """How often each slot number occurs in arrays of slots: summed in the tasks, then by chunks; SLOTS numbers in all reach the driver.
+def fixed_table(rows: DataFrame, slots: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """How often each slot number occurs: summed in the tasks, then by chunks; SLOTS numbers in all reach the driver.
 
-    ``slots`` has a binary column of little-endian unsigned 32-bit slot numbers.
+    ``slots`` makes arrays of slot numbers of the batches of ``rows``.
     """
     import zstandard
 
     def count(batches):
         table = np.zeros(SLOTS, np.uint32)
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                table += np.bincount(np.frombuffer(blob, "<u4"), minlength=SLOTS).astype(np.uint32) if len(blob) > SLOTS else 0
-                if len(blob) <= SLOTS:
-                    np.add.at(table, np.frombuffer(blob, "<u4"), 1)
+        for some in slots(batches):
+            if 8 * len(some) > SLOTS:
+                table += np.bincount(some, minlength=SLOTS).astype(np.uint32)
+            else:
+                np.add.at(table, some, 1)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         found = [(i, squeeze(part.tobytes())) for i, part in enumerate(table.reshape(-1, CHUNK)) if part.any()]
         if found:
@@ -117,7 +117,7 @@ def fixed_table(slots: DataFrame) -> np.ndarray:
         if have:
             yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([squeeze(x.tobytes()) for x in have.values()], pa.binary())], names=["chunk", "counts"])
 
-    parts = slots.mapInArrow(count, "chunk int, counts binary").repartition(SLOTS // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary")
+    parts = rows.mapInArrow(count, "chunk int, counts binary").repartition(SLOTS // CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros(SLOTS, np.uint32)
     expand = zstandard.ZstdDecompressor().decompress
     for row in parts.toLocalIterator():
@@ -128,15 +128,14 @@ def fixed_table(slots: DataFrame) -> np.ndarray:
 def list_lengths(docs: DataFrame) -> np.ndarray:
     """Length of the inverted lists of all documents, summed over the shingles of a slot."""
 
-    def run(batches):
+    def slots(batches):
         seen: set[int] = set()
         for _, values, sizes, nodes in _each_piece(batches):
             chosen = np.zeros(len(sizes), bool)
             chosen[_new_ones(seen, nodes, sizes)] = True
-            slot = (values[np.repeat(chosen, sizes)] & U(SLOTS - 1)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([slot.tobytes()], pa.binary())], names=["slots"])
+            yield (values[np.repeat(chosen, sizes)] & U(SLOTS - 1)).astype(np.int64)
 
-    return fixed_table(docs.select(F.col("text").cast("string")).mapInArrow(run, "slots binary"))
+    return fixed_table(docs.select(F.col("text").cast("string")), slots)
 
 
 def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -249,9 +248,9 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def slots(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([(batch.column(0).to_numpy().view(U) & U(SLOTS - 1)).astype("<u4").tobytes()], pa.binary())], names=["slots"])
+            yield (batch.column(0).to_numpy().view(U) & U(SLOTS - 1)).astype(np.int64)
 
-    wanted = spark.sparkContext.broadcast(np.packbits(fixed_table(nodes.mapInArrow(slots, "slots binary")) > 0))
+    wanted = spark.sparkContext.broadcast(np.packbits(fixed_table(nodes, slots) > 0))
 
     def run(batches):
         seen: set[int] = set()

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import written
 from .textkernel import BYTE_CODES, Texts, U, mix, pieces, prefix_hashes, span_hashes, window_hashes
@@ -92,10 +93,10 @@ def count_text(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def with_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
-    """The columns ``keep`` of each row, and the text as ``__text`` if asked for, with the COUNTS of its whole text. Null text: all counts 0."""
+def with_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of each row with the COUNTS of its whole text. Null text: all counts 0."""
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    names = [*chosen.columns] if with_text else chosen.columns[:-1]
+    names = chosen.columns[:-1]
     schema = chosen.select(names).schema
     for name in COUNTS:
         schema = schema.add(name, "long")
@@ -200,9 +201,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``score_documents`` keeps."""
-    own = {"__text" if c == "text" else f"c{i}": c for i, c in enumerate(docs.columns)}
-    named = docs.select("doc_id", F.col("lang").alias("stratum"), "text", *[F.col(c).alias(k) for k, c in own.items() if c != "text"])
-    counted = written(with_counts(named, keep=("doc_id", "stratum", *[k for k in own if k != "__text"]), with_text=True), "quality-rows")
+    """The rows of ``docs``, all columns, that ``score_documents`` keeps.
+
+    The counts that the cutoffs are fitted on are written without the texts;
+    the texts are counted once more where they are filtered, and stay in Spark.
+    """
+    counted = written(with_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text"), keep=("doc_id", "stratum")), "quality-counts")
     cutoffs = labelled_cutoffs(counted, labels, "stratum", tolerated, delta)
-    return counted.where(~base_failed() & verdict("stratum", cutoffs)).select(*[F.col(k).alias(c) for k, c in own.items()])
+
+    @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+    def counts(column: pa.Array) -> pa.Array:
+        parts = [count_text(column.slice(low, high - low)) for low, high in pieces(column)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else [], pa.int64()) for c in COUNTS], names=list(COUNTS))
+
+    own = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(c).alias(k) for k, c in own.items()], F.col("lang").alias("stratum"), counts(F.col("text").cast("string")).alias("counts"))
+    return named.select(*own, "stratum", "counts.*").where(~base_failed() & verdict("stratum", cutoffs)).select(*[F.col(k).alias(c) for k, c in own.items()])

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one where it is unset (tests, one machine)."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine (tests) and an error on a cluster."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -29,7 +31,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Rows of one Arrow batch: texts are long, and a Python worker holds a batch and what it makes of it.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -112,9 +112,9 @@ def texts_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFram
 
     def slots(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_slot(batch.column(0).to_numpy(), batch.column(1).to_numpy()).tobytes()], pa.binary())], names=["slots"])
+            yield _slot(batch.column(0).to_numpy(), batch.column(1).to_numpy()).astype(np.int64)
 
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(fixed_table(wanted.select("anchor", "run").mapInArrow(slots, "slots binary")) > 0))
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(fixed_table(wanted.select("anchor", "run"), slots) > 0))
 
     def run(batches):
         want = np.unpackbits(bits.value).astype(bool)

@@ -19,7 +19,7 @@ SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text worked on at once; a longer document is its own piece.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

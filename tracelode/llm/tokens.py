@@ -24,7 +24,7 @@ import regex
 from .textkernel import Texts
 
 #: Distinct runs whose ids a worker keeps; beyond it, it starts anew.
-KEPT_RUNS = 800_000
+KEPT_RUNS = 400_000
 #: The parts into which the tokenizer cuts a normalised text.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable characters that stand for themselves when composed; the capital I with a dot grows when lower-cased.
