@@ -1,32 +1,41 @@
 """Byte-level BPE in Spark SQL functions: no Python on the executors.
 
-A word is the array of its bytes, each written as the character of that code;
-a fold over the array merges, again and again, the first adjacent pair whose
-concatenation has the lowest rank. Ranks lie in a literal map, dealt out over
-an array of small maps by hash, because Spark looks through a map entry by
-entry. Words are cut from whole texts by the public pattern. The distinct words
-of all documents are counted, and the ids of the most frequent ones go into a
-second literal map of bounded size; the other words are folded where they
-stand, so nothing is shuffled but the counts. Decoding concatenates the pieces
-of the ids, written in hexadecimal.
+A word is the array of its bytes' ids. A fold over it merges, again and again,
+the first adjacent pair of lowest rank. Every element is one number, (rank of
+the pair with the next element, place of its first byte, id), so the smallest
+element is the next merge, and the merged id is its rank. The ranks of all
+pairs lie in a literal rank map: an array of numbers without collisions, in
+which two small sums find a pair's only place. Words are cut from whole texts
+by the public pattern. The distinct words of all documents are counted, those
+from a count on that lets READY of them through are folded once, and their ids
+go into a second literal map; rarer words, most of which stand once, are folded
+where they stand, so nothing is shuffled but the counts. Decoding concatenates
+the byte pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import random
 import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: White space as Unicode has it; Java's \s is only ASCII.
-_SPACE = r"\t-\r \x85\xA0  -     　"
-#: Small maps that the ranks, and the frequent words, are dealt over.
-RANK_MAPS, WORD_MAPS = 1 << 16, 1 << 17
-#: Words whose ids are held ready.
-FREQUENT = 1 << 17
+_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Bits of an id or rank, and of a place in a word; NO_PAIR is the rank of pairs that never merge.
+ID_BITS, PLACE_BITS = 17, 27
+NO_PAIR = 1 << ID_BITS
+_ID, _REST = NO_PAIR - 1, (1 << (ID_BITS + PLACE_BITS)) - 1
+#: Words whose ids are held ready, at most, and the places they are dealt over by hash; of words with the same place the more frequent one stays.
+READY, READY_PLACES = 200_000, 1 << 18
+#: Steps to a doubling of the count, in the table that the least count of ready words is read from.
+COUNT_STEPS = 16
 
 
 def java_pattern(pattern: str) -> str:
@@ -39,89 +48,149 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def _literal(entries: dict[str, str | int], maps: int, kind: str) -> Column:
-    """A literal array of ``maps`` small maps: Spark parses it once, when it folds constants."""
-    dealt: list[dict] = [{} for _ in range(maps)]
-    for key, value in entries.items():
-        dealt[zlib.crc32(key.encode()) % maps][key] = value
-    return F.from_json(F.lit(json.dumps(dealt, separators=(",", ":"))), f"array<map<string,{kind}>>")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _find(maps: Column, key: Column, n: int) -> Column:
-    return F.try_element_at(F.get(maps, (F.crc32(key) % n).cast("int")), key)
+def _numbers(values: list[int | None]) -> Column:
+    """A literal array: Spark parses it once, when it folds constants."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+def place_pairs(pairs: dict[tuple[int, int], int], seed: int = 5) -> tuple[list[int], list[int]]:
+    """(shifts, table) such that pair (a, b), as the number k = a << ID_BITS | b, has its only place in ``table`` at (k ^ shifts[k % len(shifts)]) % len(table).
+
+    The entry there is k << ID_BITS | rank.
+    """
+    draw = random.Random(seed)
+    groups: list[list[int]] = [[] for _ in range(max(1, len(pairs) // 3) | 1)]
+    ranks = {a << ID_BITS | b: rank for (a, b), rank in pairs.items()}
+    for k in ranks:
+        groups[k % len(groups)].append(k)
+    size = max(7, len(pairs) * 4 // 3) | 1
+    table, shifts = [1 << 62] * size, [0] * len(groups)
+    for g in sorted(range(len(groups)), key=lambda g: -len(groups[g])):
+        while True:
+            shift = draw.getrandbits(33)
+            places = {(k ^ shift) % size for k in groups[g]}
+            if len(places) == len(groups[g]) and all(table[p] == 1 << 62 for p in places):
+                break
+        shifts[g] = shift
+        for k in groups[g]:
+            table[(k ^ shift) % size] = k << ID_BITS | ranks[k]
+    return shifts, table
 
 
 class ByteBpe:
-    """Column expressions that encode and decode with one vocabulary."""
+    """Column expressions that encode and decode with one vocabulary, in which every single byte and at most NO_PAIR pieces must be."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if len(ranks) > NO_PAIR or max(ranks.values(), default=0) >= NO_PAIR or any(bytes([i]) not in ranks for i in range(256)):
+            raise ValueError(f"the vocabulary needs every single byte and ranks below {NO_PAIR}")
         self.pattern = java_pattern(pattern)
-        self.ranks = _literal({p.decode("latin-1"): r for p, r in ranks.items()}, RANK_MAPS, "int")
-        pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        pairs = {(a, b): rank for piece, rank in ranks.items() for i in range(1, len(piece)) if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None}
+        shifts, table = place_pairs(pairs)
+        self.sizes = len(shifts), len(table)
+        self.rank_map = F.struct(_numbers(shifts).alias("shifts"), _numbers(table).alias("table"), _numbers([ranks[bytes([i])] for i in range(256)]).alias("bytes"))
+        pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
-            pieces[rank] = piece.hex().upper()
-        self.pieces = F.split(F.lit(",".join(pieces)), ",")
+            pieces[rank] = piece.decode("latin-1")
+        self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column, ranks: Column) -> Column:
+    def fold(self, word: Column, shifts: Column, table: Column, byte_ids: Column) -> Column:
         """The ids of one word, joined by commas."""
+        no_pair = F.lit(NO_PAIR).cast("long")
 
-        def rank(piece: Column) -> Column:
-            return _find(ranks, piece, RANK_MAPS)
+        def rank(a: Column, b: Column) -> Column:
+            """Of the pair, moved to its bits; another pair's entry, or an empty one, differs above the rank's bits."""
+            pair = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+            shift = F.get(shifts, (pair % self.sizes[0]).cast("int"))
+            entry = F.get(table, (pair.bitwiseXOR(shift) % self.sizes[1]).cast("int"))
+            return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(pair, ID_BITS)), no_pair), ID_BITS + PLACE_BITS)
 
-        signs = F.filter(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda x: x != "")
-        start = _let(signs, lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: rank(F.concat(x, F.get(p, i + 1)))).alias("r")))
+        def start(ids: Column) -> Column:
+            return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), ID_BITS)).bitwiseOR(a))
 
         def merge(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
+            def at(low: Column) -> Column:
+                one = F.shiftright(low, ID_BITS + PLACE_BITS)
 
-            def at(i: Column) -> Column:
-                def joined(one: Column) -> Column:
-                    left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), one)))).otherwise(F.array().cast("array<int>"))
-                    pieces = F.concat(F.slice(p, F.lit(1), i - 1), F.array(one), F.slice(p, i + 2, F.size(p)))
-                    ranked = F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(rank(F.concat(one, F.get(p, i + 1)))), F.slice(r, i + 2, F.size(r)))
-                    return F.struct(pieces.alias("p"), ranked.alias("r"))
+                def joined(i: Column) -> Column:
+                    before, after = F.get(state, i - 2), F.get(state, i + 1)
+                    left = F.when(i > 1, F.array(rank(before.bitwiseAND(_ID), one).bitwiseOR(before.bitwiseAND(_REST)))).otherwise(F.array().cast("array<bigint>"))
+                    middle = F.array(rank(one, after.bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one))
+                    return F.concat(F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))), left, middle, F.slice(state, i + 2, F.size(state)))
 
-                return _let(F.concat(F.get(p, i - 1), F.get(p, i)), joined)
+                return F.when(low >= NO_PAIR << (ID_BITS + PLACE_BITS), state).otherwise(_let(F.array_position(state, low).cast("int"), joined))
 
-            return _let(F.array_min(r), lambda low: F.when(low.isNull(), state).otherwise(_let(F.array_position(r, low).cast("int"), at)))
+            return _let(F.array_min(state), at)
 
-        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), start, merge, lambda s: s["p"])
-        return F.array_join(F.transform(folded, lambda x: rank(x).cast("string")), ",")
+        signs = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        ids = F.transform(signs, lambda x: F.get(byte_ids, F.ascii(x)))
+        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), _let(ids, start), merge)
+        return F.array_join(F.transform(folded, lambda x: x.bitwiseAND(_ID).cast("string")), ",")
 
-    def ids(self, words: Column, ready: dict[str, str] | None = None) -> Column:
-        """The ids of a text cut into words, joined by commas; ``ready`` has those of frequent words."""
-        if not ready:
-            return _let(self.ranks, lambda ranks: F.array_join(F.transform(words, lambda w: self.fold(w, ranks)), ","))
-        known = _literal(ready, WORD_MAPS, "string")
-        return _let(self.ranks, lambda ranks: _let(known, lambda k: F.array_join(F.transform(words, lambda w: F.coalesce(_find(k, w, WORD_MAPS), self.fold(w, ranks))), ",")))
+    def with_map(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` gets the fold of a word; the rank map is held once."""
+        return _let(self.rank_map, lambda m: body(lambda word: self.fold(word, m["shifts"], m["table"], m["bytes"])))
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of ids joined by commas."""
-        return F.unhex(_let(self.pieces, lambda pieces: F.array_join(F.transform(F.split(ids, ","), lambda x: F.coalesce(F.get(pieces, x.try_cast("int")), F.lit(""))), "")))
+    def ids(self, words: Column, ready: tuple[Column, Column] | None = None) -> Column:
+        """The ids of a text cut into words, joined by commas; ``ready`` has those of frequent words."""
+        if ready is None:
+            return self.with_map(lambda fold: F.array_join(F.transform(words, fold), ","))
 
-    def frequent(self, docs: DataFrame, text: str, most: int = FREQUENT) -> dict[str, str]:
-        """Ids of the ``most`` frequent words of all rows; words of equal counts go by their text. At most ``most`` rows reach the driver."""
-        counts = docs.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").count()
-        chosen = counts.where("count > 1").orderBy(F.desc("count"), "word").limit(most)
-        return {r["word"]: r["ids"] for r in chosen.select("word", _let(self.ranks, lambda ranks: self.fold(F.col("word"), ranks)).alias("ids")).collect()}
+        def known(word: Column, names: Column, ids: Column) -> Column:
+            place = (F.crc32(word) % READY_PLACES).cast("int")
+            return F.when(F.get(names, place) == word, F.get(ids, place))
 
+        return self.with_map(lambda fold: _let(F.struct(ready[0].alias("names"), ready[1].alias("ids")), lambda r: F.array_join(F.transform(words, lambda w: F.coalesce(known(w, r["names"], r["ids"]), fold(w))), ",")))
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = FREQUENT) -> DataFrame:
+    def decoded(self, ids: Column) -> Column:
+        """The bytes of ids joined by commas."""
+        piece = lambda pieces: F.array_join(F.transform(F.split(ids, ","), lambda x: F.coalesce(F.get(pieces, x.try_cast("int")), F.lit(""))), "")
+        return F.encode(_let(self.pieces, piece), "ISO-8859-1")
+
+    def ready(self, docs: DataFrame, text: str, most: int = READY) -> tuple[Column, Column] | None:
+        """Two literal arrays, words and their ids, of the words whose count is at least the lowest one that ``most`` distinct words reach.
+
+        All words of all rows are counted and the counts written; a histogram
+        of them, of some hundred rows, sets the least count. Only the chosen
+        words, ``most`` at most, reach the driver.
+        """
+        counts = docs.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").count().where("count > 1")
+        counts = written(counts.withColumn("step", F.floor(F.log2("count") * COUNT_STEPS).cast("int")), "bpe-words")
+        least, total = None, 0
+        for row in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+            total += row["n"]
+            if total > most:
+                break
+            least = row["step"]
+        if least is None:
+            return None
+        found = counts.where(F.col("step") >= least).select("word", "count", self.with_map(lambda fold: fold(F.col("word"))).alias("ids")).toArrow()
+        names, ids = [None] * READY_PLACES, [None] * READY_PLACES
+        best = [0] * READY_PLACES
+        for word, count, own in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
+            place = zlib.crc32(word.encode()) % READY_PLACES
+            if (count, word) > (best[place], names[place] or ""):
+                names[place], ids[place], best[place] = word, own, count
+        return tuple(F.from_json(F.lit(json.dumps(x, separators=(",", ":"), ensure_ascii=False)), "array<string>") for x in (names, ids))
+
+
+def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = READY) -> DataFrame:
     """doc_id, ids (joined by commas), n_tokens and decoded (bytes) of every row's whole text.
 
-    Null and empty texts have no ids and decode to no bytes. Repeated rows and
-    rows with a null doc_id are encoded each. Other columns are not read. The
-    vocabulary must hold every single byte.
+    Null and empty texts have no ids and decode to no bytes; an empty table
+    gives no rows. Repeated rows and rows with a null doc_id are encoded each.
+    Other columns are not read. Very long texts are encoded whole; the time for
+    a single word grows with the square of its length. ``most`` changes the
+    time, never the ids. The vocabulary must hold every single byte.
     """
     bpe = ByteBpe(ranks, pattern)
-    encoded = docs.select("doc_id", bpe.ids(bpe.words(F.col("text")), bpe.frequent(docs, "text", most)).alias("ids"))
+    encoded = docs.select("doc_id", bpe.ids(bpe.words(F.col("text").cast("string")), bpe.ready(docs, "text", most) if most > 0 else None).alias("ids"))
     n = F.when(F.col("ids") == "", 0).otherwise(1 + F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))))
     return encoded.select("doc_id", "ids", n.cast("long").alias("n_tokens"), bpe.decoded(F.col("ids")).alias("decoded"))
