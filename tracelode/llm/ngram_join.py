@@ -1,23 +1,26 @@
 """Set-similarity join of documents on word shingles, by T-occurrence search.
 
 Two sets of sizes n and m reach the similarity only if they share at least T
-shingles. DivideSkip divides the inverted lists of a document into the T - 1
-longest and the short rest: a partner must stand in one of the short lists, so
-only these are merged, and what the merge finds is completed by binary probes
-into the partner's remaining, sorted shingles.
-
-In Spark, a shuffle by shingle builds the short lists of all documents at
-once. Lengths of lists come from a table of fixed size, in which all documents
-are counted; any fixed order of shingles gives whole results, a good one gives
-short lists. Documents with equal sets are one node throughout. The links that
+shingles, so a partner of a document stands in one of the inverted lists of
+its n - T + 1 rarest shingles. A query is answered by DivideSkip: the longest of
+its inverted lists are set aside, a heap merges the short ones and counts how
+often each document occurs, and what may still reach T is probed in the long
+lists by binary search.
+
+In Spark, a shuffle by shingle builds the lists of rare shingles of all
+documents at once and says which documents meet at all. Lengths of lists come
+from a table of fixed size, in which all documents are counted; any fixed order
+of shingles gives whole results, a good one gives short lists. Documents with equal sets are one node throughout. The links that
 join a list's documents are found in two steps, so that groups of near copies
 do not make pairs in the square of their size: first every document is held
 against one document of its lists, then the pairs of each list that are still
-in different components, all of them.
+in different components, all of them. Each step is a T-occurrence search of
+its queries among the documents that they meet, in blocks.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ GROUP_BYTES = 8 << 20
 ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
 #: Pairs that leave a task in one batch.
 PAIRS = 200_000
+#: Partners that a query is searched among at once, about, and the weight of a probe when lists are set aside.
+BLOCK, SKIP = 64, 0.01
 
 
 def set_nodes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -241,8 +246,47 @@ def pairs_apart(lists: DataFrame, known: DataFrame, percent: int, groups: int) -
     return placed.repartition(groups, "token").mapInArrow(run, "a long, b long").distinct()
 
 
+def occurrences(query: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the ``members`` reach the overlap that their size and the query's ask for; all are sorted sets.
+
+    DivideSkip over the inverted lists of the query's shingles: the longest
+    lists are set aside, fewer than the least overlap asked for; a heap merges
+    the short ones and counts each member; one that may still reach its overlap
+    is probed in the long lists, from the shortest on, by binary search.
+    """
+    size = np.array([len(m) for m in members])
+    need = required(len(query), size, percent)
+    token, owner = np.concatenate(members), np.repeat(np.arange(len(members)), size)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    low, high = np.searchsorted(token, query, side="left"), np.searchsorted(token, query, side="right")
+    by_length = np.argsort(high - low, kind="stable")
+    least = int(need.min())
+    aside = min(least - 1, int(least / (SKIP * np.log2(max(2, int((high - low).max()))) + 1)))
+    short, long = by_length[: len(query) - aside], by_length[len(query) - aside :]
+    count = np.zeros(len(members), np.int64)
+    for member in heapq.merge(*(owner[a:b].tolist() for a, b in zip(low[short], high[short], strict=True) if b > a)):
+        count[member] += 1
+    good = np.zeros(len(members), bool)
+    spans = list(zip(low[long].tolist(), high[long].tolist(), strict=True))
+    for member in np.flatnonzero(count + aside >= need).tolist():
+        have, left, wanted = int(count[member]), aside, int(need[member])
+        for a, b in spans:
+            if have >= wanted or have + left < wanted:
+                break
+            place = a + int(np.searchsorted(owner[a:b], member))
+            have += place < b and owner[place] == member
+            left -= 1
+        good[member] = have >= wanted
+    return good
+
+
 def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets reach the similarity; the rest of each set is probed in the other's sorted shingles."""
+    """Those of ``pairs`` (a, b) whose sets reach the similarity: each a is a query against the inverted lists of its b.
+
+    A query with very many partners is searched in blocks of about BLOCK of
+    them, in as many tasks; its blocks are summed before they are joined.
+    """
     spark = docs.sparkSession
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
@@ -262,20 +306,35 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, shingles binary")
     sets = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    blocks = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1"), "join-blocks")
+    dealt = pairs.join(blocks, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).alias("block"), "b")
+    members = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "shingles")
+    queries = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.col("a").alias("b"), "shingles")
 
-    def probe(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                short, long = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(long, short)
-                common = int(np.count_nonzero(long[np.minimum(at, len(long) - 1)] == short))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def search(batches):
+        own, query, names, sets_ = None, None, [], []
 
-    return sides.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long")
+        def done() -> pa.RecordBatch:
+            good = occurrences(query, sets_, percent) if names else np.zeros(0, bool)
+            some = np.array(names, np.int64)[good]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), own[0], np.int64)), pa.array(some)], names=["a", "b"])
+
+        for batch in batches:
+            for a, block, b, shingles in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (a, block) != own:
+                    if own is not None:
+                        yield done()
+                    own, query, names, sets_ = (a, block), None, [], []
+                if a == b:
+                    query = np.frombuffer(shingles, "<u8")
+                else:
+                    names.append(b)
+                    sets_.append(np.frombuffer(shingles, "<u8"))
+        if own is not None:
+            yield done()
+
+    rows = members.union(queries).repartition("a", "block").sortWithinPartitions("a", "block")
+    return rows.mapInArrow(search, "a long, b long")
 
 
 def node_components(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -283,9 +342,10 @@ def node_components(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     groups = max(16, -(-int(total) * ENTRY.itemsize // (100 // (100 - percent) * GROUP_BYTES)))
     lists = written(merge_lists(short_lists(docs, list_lengths(docs), percent, groups), percent), "join-lists")
-    once = written(lists.where("first IS NOT NULL").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "join-first-pairs")
+    once = written(lists.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "join-first-pairs")
     links = written(linked(docs, once, percent), "join-links")
-    rest = written(pairs_apart(lists, components(links), percent, groups).join(once, ["a", "b"], "left_anti"), "join-pairs")
+    asked = once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(pairs_apart(lists, components(links), percent, groups).join(asked, ["a", "b"], "left_anti"), "join-pairs")
     return components(links.union(linked(docs, rest, percent)) if not rest.isEmpty() else links)
 
 
