@@ -47,3 +47,10 @@ def read_version(spark: SparkSession, root: str, name: str, version: int | None
     version = version or latest_version(spark, root)
     commit = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/_commits/{version}.json").collect()))
     return spark.read.parquet(f"{root}/data/{commit['data']}/{name}")
+
+
+def copy_version(spark: SparkSession, root: str, target: str, version: int | None = None) -> int:
+    """Copy one version, by default the latest, as the first version of ``target``: later versions of ``root`` do not touch it."""
+    version = version or latest_version(spark, root)
+    commit = json.loads("".join(r["value"] for r in spark.read.text(f"{root}/_commits/{version}.json").collect()))
+    return publish({name: spark.read.parquet(f"{root}/data/{commit['data']}/{name}") for name in commit["tables"]}, target, 0)
