@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def originals(citations: DataFrame, records: DataFrame) -> DataFrame:
     """(event_id, source_id, state) of citations (with content_hash): available, changed or missing, by the records now (source_id, content_hash, available)."""
@@ -43,10 +45,20 @@ def merged_tallies(*parts: DataFrame) -> DataFrame:
     return every.groupBy("provider").agg(F.sum("n").alias("n"), F.max("newest").alias("newest"))
 
 
-def overlap_matches(candidates: DataFrame, notes: DataFrame) -> DataFrame:
-    """(event_id, note_id): candidates (event_id, kind, source_id) that share a cited record with exactly one note of their kind (note_id, kind, source_id)."""
-    shared = candidates.join(notes.select("note_id", "kind", "source_id"), ["kind", "source_id"]).groupBy("event_id").agg(F.min("note_id").alias("note_id"), F.max("note_id").alias("__last"))
-    return shared.where(F.col("note_id") == F.col("__last")).select("event_id", "note_id")
+def overlap_matches(candidates: DataFrame, notes: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+    """(event_id, note_id): candidates (event_id, kind, source_id) that share a cited record with exactly one note of their kind (note_id, kind, source_id), and cite no edit (source_id) that this note does not cite.
+
+    The notes of a record are summed before the join, so a record that very
+    many notes cite is one row.
+    """
+    by_record = notes.groupBy("kind", "source_id").agg(F.min("note_id").alias("__first"), F.max("note_id").alias("__last"))
+    shared = candidates.join(by_record, ["kind", "source_id"]).groupBy("event_id").agg(F.min("__first").alias("note_id"), F.max("__last").alias("__last"))
+    one = shared.where(F.col("note_id") == F.col("__last")).select("event_id", "note_id")
+    if edits is None:
+        return one
+    cited = candidates.join(edits.select("source_id").distinct(), "source_id", "left_semi").select("event_id", "source_id").join(one, "event_id")
+    loose = cited.join(notes.select("note_id", "source_id").distinct(), ["note_id", "source_id"], "left_anti").select("event_id").distinct()
+    return one.join(loose, "event_id", "left_anti")
 
 
 def folded_reports(citations: DataFrame, calls: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -63,8 +75,9 @@ def fork_links(forks: DataFrame, requests: DataFrame) -> DataFrame:
     ``forks`` is (session_id, parent_id, point_at), ``requests`` (id, session_id, at).
     """
     first = requests.groupBy("session_id").agg(F.min_by("id", F.struct("at", "id")).alias("to_id"))
-    before = forks.join(requests.select(F.col("session_id").alias("parent_id"), "id", "at"), "parent_id").where(F.col("at") <= F.col("point_at")).groupBy("session_id").agg(F.max_by("id", F.struct("at", "id")).alias("from_id"))
-    return before.join(first, "session_id").select("from_id", "to_id")
+    block = ordered.block_of(F.unix_micros(F.col("__o").cast("timestamp")) / 1e6, 86_400)
+    before = ordered.as_of(forks.select("session_id", "parent_id", "point_at"), requests, "parent_id", "session_id", "point_at", "at", ["id"], "__before", block)
+    return before.where("__before IS NOT NULL").join(first, "session_id").select(F.col("__before.id").alias("from_id"), "to_id")
 
 
 def verified_links(launches: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import written
+from . import ordered
 
 #: Kinds that change something, statuses of a change, and what a check saw.
 CHANGE_KINDS = ("action", "revision")
@@ -201,7 +202,7 @@ def short_ids(events: DataFrame, least: int = 8) -> DataFrame:
 
 def delegated(events: DataFrame, calls: DataFrame) -> DataFrame:
     """(id, delegated_by): for each sub-agent event (id, key, at) the latest delegation (call_id, key, at) up to it, else the first."""
-    joined = events.select("id", "key", "at").join(calls.select(F.col("call_id"), F.col("key"), F.col("at").alias("__at")), "key")
-    order = F.struct("__at", "call_id")
-    best = joined.groupBy("id").agg(F.max_by("call_id", F.when(F.col("__at") <= F.col("at"), order)).alias("before"), F.min_by("call_id", order).alias("first"))
-    return best.select("id", F.coalesce("before", "first").alias("delegated_by"))
+    block = ordered.block_of(F.unix_micros(F.col("__o").cast("timestamp")) / 1e6, 86_400)
+    before = ordered.as_of(events.select("id", "key", "at"), calls, "key", "key", "at", "at", ["call_id"], "__before", block)
+    first = calls.groupBy("key").agg(F.min_by("call_id", F.struct("at", "call_id")).alias("__first"))
+    return before.join(first, "key").select("id", F.coalesce("__before.call_id", "__first").alias("delegated_by"))

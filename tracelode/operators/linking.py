@@ -14,14 +14,11 @@ from .graph import retired
 
 
 def _as_of(rows: DataFrame, requests: DataFrame, session: str, order: str, name: str) -> DataFrame:
-    """``rows`` (id, ...) with ``name``: the last request of the row's ``session`` with ``order`` up to the row's. One pass over both tables."""
-    left = rows.select(F.col(session).alias("__s"), F.col(order).alias("__o"), F.lit(1).alias("__side"), F.struct(*rows.columns).alias("__row"), F.lit(None).cast("struct<source_id:string,event_id:string>").alias("__request"))
-    right = requests.select(F.col("session_id").alias("__s"), F.col(order).alias("__o"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), F.struct(F.col("source_id").cast("string").alias("source_id"), F.col("event_id").cast("string").alias("event_id")).alias("__request"))
-    kind = dict(left.dtypes)["__o"]
-    block = ordered.block_of(F.unix_micros(F.col("__o").cast("timestamp")) / 1e6, 86_400) if kind.startswith("timestamp") else ordered.block_of(F.col("__o"))
-    # Requests before rows at the same place; ties of requests go by their id.
-    both = left.union(right).withColumn("__tie", F.coalesce(F.col("__request.source_id"), F.lit("")))
-    return ordered.last_before(both, ["__s"], ["__o", "__side", "__tie"], F.col("__request"), name, block).where("__side = 1").select("__row.*", name)
+    """``rows`` with ``name``: the last request of the row's ``session`` with ``order`` up to the row's."""
+    known = requests.select("session_id", order, F.col("source_id").cast("string").alias("source_id"), F.col("event_id").cast("string").alias("event_id"))
+    timed = dict(rows.dtypes)[order].startswith("timestamp")
+    block = ordered.block_of(F.unix_micros(F.col("__o").cast("timestamp")) / 1e6, 86_400) if timed else ordered.block_of(F.col("__o"))
+    return ordered.as_of(rows, known, session, "session_id", order, order, ["source_id", "event_id"], name, block)
 
 
 def turn_links(events: DataFrame, requests: DataFrame, parents: DataFrame) -> DataFrame:

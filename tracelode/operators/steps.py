@@ -22,10 +22,9 @@ def pair_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 def next_results(steps: DataFrame, is_call: Column, is_result: Column) -> DataFrame:
     """Calls of ``steps`` (id, session_id, key, at) with result_id: the next result of the same session and key, before the next call of it."""
-    by_key = Window.partitionBy("session_id", "key").orderBy("at", "id")
     seen = steps.withColumn("__call", is_call).withColumn("__result", is_result).where("__call OR __result")
-    nearest = seen.withColumn("result_id", F.when(F.lead("__result").over(by_key), F.lead("id").over(by_key)))
-    return nearest.where("__call").select(*steps.columns, "result_id")
+    nearest = ordered.previous(seen, ["session_id", "key"], ["at", "id"], ["id", "__result"], "__next", _time_block(), backwards=True)
+    return nearest.where("__call").select(*steps.columns, F.when(F.col("__next.__result"), F.col("__next.id")).alias("result_id"))
 
 
 def latest_edit(steps: DataFrame, is_edit: Column, is_check: Column) -> DataFrame:
@@ -49,9 +48,8 @@ def runs_after_edits(steps: DataFrame, is_edit: Column, is_run: Column, most: in
 def edit_groups(steps: DataFrame, hint: str = "hint") -> DataFrame:
     """Work items (session_id, item, hint, n_steps, first_id, last_id): consecutive edits are one item, every check or commit its own; other steps make no item and do not break one."""
     made = steps.where(F.col(hint).isin("edit", "test", "commit"))
-    by_session = Window.partitionBy("session_id").orderBy("at", "id")
-    new = (F.col(hint) != "edit") | F.lag(hint).over(by_session).isNull() | (F.lag(hint).over(by_session) != "edit")
-    marked = made.withColumn("__new", F.coalesce(new, F.lit(True)))
+    seen = ordered.previous(made.withColumn("__hint", F.col(hint)), ["session_id"], ["at", "id"], ["__hint"], "__before", _time_block())
+    marked = seen.withColumn("__new", (F.col(hint) != "edit") | ~F.col("__before.__hint").eqNullSafe("edit"))
     numbered = ordered.running_count(marked, ["session_id"], ["at", "id"], F.col("__new"), "item", _time_block())
     order = F.struct("at", "id")
     return numbered.groupBy("session_id", "item").agg(F.min_by(hint, order).alias("hint"), F.count("*").alias("n_steps"), F.min_by("id", order).alias("first_id"), F.max_by("id", order).alias("last_id"))
@@ -59,9 +57,9 @@ def edit_groups(steps: DataFrame, hint: str = "hint") -> DataFrame:
 
 def repeated_checks(items: DataFrame) -> DataFrame:
     """Outcomes (session_id, target, at, id, status) with runs of the same target collapsed: the latest status, the number of records."""
-    by_session = Window.partitionBy("session_id").orderBy("at", "id")
-    new = F.coalesce(F.lag("target").over(by_session) != F.col("target"), F.lit(True))
-    numbered = items.withColumn("__new", new).withColumn("run", F.sum(F.col("__new").cast("bigint")).over(by_session.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = ordered.previous(items, ["session_id"], ["at", "id"], ["target"], "__before", _time_block())
+    new = F.coalesce(F.col("__before.target") != F.col("target"), F.lit(True))
+    numbered = ordered.running_count(seen.withColumn("__new", new), ["session_id"], ["at", "id"], F.col("__new"), "run", _time_block())
     return numbered.groupBy("session_id", "run", "target").agg(F.max_by("status", F.struct("at", "id")).alias("status"), F.count("*").alias("n_records"))
 
 

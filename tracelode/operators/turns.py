@@ -60,14 +60,15 @@ def gap_cuts(events: DataFrame, compaction: Column | None = None) -> DataFrame:
     hours, or after one of an hour across a date. Rows without a time begin no
     part.
     """
-    by_session = Window.partitionBy("session_id").orderBy("at", "id")
-    before = F.lag("at").over(by_session)
+    block = ordered.block_of(F.unix_micros(F.col("at").cast("timestamp")) / 1e6, 86_400)
+    seen = ordered.previous(events, ["session_id"], ["at", "id"], ["at"], "__before", block)
+    before = F.col("__before.at")
     seconds = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / F.lit(1e6)
-    gaps = events.withColumn("gap_s", seconds).withColumn("__date", F.to_date(before) != F.to_date("at"))
-    first = F.row_number().over(by_session) == 1
+    gaps = seen.withColumn("gap_s", seconds).withColumn("__date", F.to_date(before) != F.to_date("at"))
+    first = F.col("__before").isNull()
     reason = F.when(first, "start").when(compaction if compaction is not None else F.lit(False), "compaction").when(F.col("gap_s") >= CUT_GAP, "gap").when((F.col("gap_s") >= DATE_GAP) & F.col("__date"), "date")
-    marked = gaps.withColumn("reason", reason).withColumn("cut", F.col("reason").isNotNull()).drop("__date")
-    return marked.withColumn("part", F.sum(F.col("cut").cast("bigint")).over(by_session.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = gaps.withColumn("reason", reason).withColumn("cut", F.col("reason").isNotNull()).drop("__date", "__before")
+    return ordered.running_count(marked, ["session_id"], ["at", "id"], F.col("cut"), "part", block)
 
 
 def quiet_intervals(notes: DataFrame, records: DataFrame, now: Column) -> DataFrame:

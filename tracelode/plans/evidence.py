@@ -28,22 +28,22 @@ def missing_originals(spark, sf_dir):
     return ops.originals(_citations(spark, sf_dir), _records(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("join15_evidence_lookup", f"WITH {_CITED} SELECT source_id, content_hash FROM rc WHERE source_id IN (SELECT source_id FROM ci WHERE event_id % 50 = 0)")
+@query("join15_evidence_lookup", f"WITH {_CITED} SELECT source_id, content_hash FROM rc WHERE source_id IN (SELECT source_id FROM ci)")
 def evidence_lookup(spark, sf_dir):
-    wanted = _citations(spark, sf_dir).where("event_id % 50 = 0").select("source_id").distinct()
+    wanted = _citations(spark, sf_dir).select("source_id").distinct()
     return _records(spark, sf_dir).join(wanted, "source_id", "left_semi").select("source_id", "content_hash")
 
 
-@query("set05_uncovered_records", f"WITH {_CITED} SELECT source_id FROM rc WHERE source_id NOT IN (SELECT source_id FROM ci WHERE event_id % 20 = 0)")
+@query("set05_uncovered_records", f"WITH {_CITED} SELECT source_id FROM rc WHERE source_id NOT IN (SELECT source_id FROM ci WHERE n = 7)")
 def uncovered_records(spark, sf_dir):
-    return ops.uncovered(_records(spark, sf_dir), _citations(spark, sf_dir).where("event_id % 20 = 0")).select("source_id")
+    return ops.uncovered(_records(spark, sf_dir), _citations(spark, sf_dir).where("n = 7")).select("source_id")
 
 
 @query("join21_uncovered_edits", f"""WITH {STEPS}, cited AS (SELECT id FROM st WHERE id % 3 = 0) SELECT e.id AS source_id FROM st e WHERE hint = 'edit' AND id NOT IN (SELECT id FROM cited)
- AND key NOT IN (SELECT key FROM st WHERE hint = 'test' AND id IN (SELECT id FROM cited) AND session_id % 50 = 0)""")
+ AND (session_id, key) NOT IN (SELECT (session_id, key) FROM st WHERE hint = 'test' AND id IN (SELECT id FROM cited))""")
 def uncovered_edits(spark, sf_dir):
-    rows = steps(spark, sf_dir).select(F.col("id").alias("source_id"), F.col("key").alias("call_id"), "hint", "session_id")
-    return ops.uncovered_edits(rows.where("hint = 'edit'"), rows.where("hint = 'test' AND session_id % 50 = 0"), rows.where("source_id % 3 = 0").select("source_id"))
+    rows = steps(spark, sf_dir).select(F.col("id").alias("source_id"), F.concat_ws(":", "session_id", "key").alias("call_id"), "hint")
+    return ops.uncovered_edits(rows.where("hint = 'edit'"), rows.where("hint = 'test'"), rows.where("source_id % 3 = 0").select("source_id"))
 
 
 @query("join18_new_record_tally", """SELECT event_type AS provider, count(*) AS n, max(CAST(ts AS VARCHAR)) AS newest FROM events WHERE NOT (event_id % 4 <> 0 AND value < 40) AND user_id % 7 <> 0 GROUP BY 1""")
@@ -59,11 +59,14 @@ def merged_tallies(spark, sf_dir):
     return ops.merged_tallies(part("source_id % 2 = 0"), part("source_id % 2 = 1"))
 
 
-@query("join13_overlap_match", "WITH c AS (SELECT l_orderkey AS event_id, l_partkey % 700 AS s FROM lineitem WHERE l_orderkey % 3 = 0), n AS (SELECT p_partkey AS note_id, p_partkey % 700 AS s FROM part WHERE p_partkey <= 500) SELECT event_id, min(note_id) AS note_id FROM c JOIN n USING (s) GROUP BY event_id HAVING min(note_id) = max(note_id)")
+@query("join13_overlap_match", """WITH c AS (SELECT l_orderkey AS event_id, l_linestatus AS kind, l_partkey AS s FROM lineitem), n AS (SELECT p_partkey // 4 AS note_id, CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS kind, p_partkey AS s FROM part WHERE p_size > 10),
+ m AS (SELECT event_id, min(note_id) AS note_id FROM c JOIN n USING (kind, s) GROUP BY event_id HAVING min(note_id) = max(note_id)), e AS (SELECT p_partkey AS s FROM part WHERE p_brand = 'Brand#11')
+ SELECT event_id, note_id FROM m WHERE event_id NOT IN (SELECT c.event_id FROM c JOIN e USING (s) JOIN m USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.note_id = m.note_id AND n.s = c.s))""")
 def overlap_match(spark, sf_dir):
-    events = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("event_id"), F.lit("k").alias("kind"), (F.col("l_partkey") % 700).alias("source_id"))
-    notes = table(spark, sf_dir, "part").where("p_partkey <= 500").select(F.col("p_partkey").alias("note_id"), F.lit("k").alias("kind"), (F.col("p_partkey") % 700).alias("source_id"))
-    return ops.overlap_matches(events, notes)
+    events = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linestatus").alias("kind"), F.col("l_partkey").alias("source_id"))
+    part = table(spark, sf_dir, "part")
+    notes = part.where("p_size > 10").select(F.floor(F.col("p_partkey") / 4).alias("note_id"), F.when(F.col("p_size") % 2 == 0, "F").otherwise("O").alias("kind"), F.col("p_partkey").alias("source_id"))
+    return ops.overlap_matches(events, notes, part.where("p_brand = 'Brand#11'").select(F.col("p_partkey").alias("source_id")))
 
 
 @query("join09_report_fold", """WITH c AS (SELECT l_orderkey AS event_id, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 3 END AS agent FROM lineitem), r AS (SELECT event_id, min(agent) AS agent FROM c GROUP BY event_id HAVING count(*) = count(agent) AND min(agent) = max(agent)),
@@ -227,11 +230,17 @@ def story_view(spark, sf_dir):
     return stories.story(*_story(spark, sf_dir))
 
 
-@query("strf07_quote_resolution", "SELECT 'exact' AS mode, count(*) AS n FROM documents WHERE length(text) >= 400 AND doc_id % 2 = 0")
+#: Quotes of every text, by its length modulo 4: as they stand, with doubled spaces, and words that stand nowhere.
+_QUOTES = r"""q AS (SELECT doc_id, text, length(text) % 4 AS way, CASE WHEN length(text) >= 400 THEN substr(text, 101, 200) ELSE coalesce(text, '') END AS base FROM documents),
+ h AS (SELECT doc_id, way, base, len(regexp_extract_all(regexp_replace(text, '\s+', ' ', 'g'), regexp_escape(trim(regexp_replace(base, '\s+', ' ', 'g'))))) AS loose FROM q)"""
+
+
+@query("strf07_quote_resolution", f"""WITH {_QUOTES} SELECT doc_id AS quote_id, CASE WHEN base = '' OR way IN (2, 3) THEN 'none' WHEN way = 0 OR (way = 1 AND NOT contains(base, ' ')) THEN 'exact' WHEN way = 1 AND loose = 1 THEN 'white space' WHEN way = 1 THEN 'ambiguous' ELSE 'none' END AS mode FROM h WHERE length(base) >= 8 OR base = ''""")
 def quote_resolution(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 400 AND doc_id % 2 = 0")
-    resolved = quotes.resolve_quotes(docs.select(F.col("doc_id").alias("quote_id"), F.substring("text", 101, 200).alias("quote"), "text"))
-    return quotes.match_grades(resolved)
+    docs = table(spark, sf_dir, "documents").withColumn("way", F.length("text") % 4).withColumn("base", F.when(F.length("text") >= 400, F.substring("text", 101, 200)).otherwise(F.coalesce("text", F.lit("")))).where("length(base) >= 8 OR base = ''")
+    quote = F.when(F.col("way") == 0, F.col("base")).when(F.col("way") == 1, F.replace("base", F.lit(" "), F.lit("  "))).otherwise(F.when(F.col("base") == "", "").otherwise("words that stand nowhere at all"))
+    resolved = quotes.resolve_quotes(docs.select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), "text"))
+    return resolved.select("quote_id", "mode")
 
 
 @query("udf01_model_claims", "SELECT CASE role WHEN 'user' THEN 'question' ELSE 'outcome' END AS kind, count(*) AS n FROM conversations GROUP BY 1")

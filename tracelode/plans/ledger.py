@@ -140,6 +140,9 @@ def source_summary(spark, sf_dir):
     return op(rows.where("k % 2 = 0"), rows, ["codex", "claude"])
 
 
-@query("agg21_snapshot_id")
+_WORDS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS HUGEINT)) AS VARCHAR)" for k in range(4))
+
+
+@query("agg21_snapshot_id", f"""WITH r AS (SELECT sha256(o_orderkey || chr(10) || md5(o_orderstatus)) AS h FROM orders), s AS (SELECT count(*) AS n, concat_ws(',', count(*), {_WORDS}) AS t FROM r) SELECT 'snap_' || substr(sha256(t), 1, 24) AS id, n FROM s""")
 def snapshot_id(spark, sf_dir):
     return ops.snapshot_id(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source_id"), F.md5(F.col("o_orderstatus")).alias("content_hash")))

@@ -151,12 +151,22 @@ def proximity_join(spark, sf_dir):
     return ops.near_in_time(rows, rows, 900, 3).select("id", "other_id", F.round(F.col("apart_s") * 1e6).cast("bigint").alias("apart_us"), "place")
 
 
-@query("str04_count_or_time")
+@query("str04_count_or_time", f"""WITH RECURSIVE {STEPS}, r AS (SELECT session_id, tm, epoch_us(tm) AS us, event_type = 'purchase' AS c, row_number() OVER (PARTITION BY session_id ORDER BY tm, id) AS i FROM st),
+ f AS (SELECT session_id, CAST(0 AS BIGINT) AS i, NULL::TIMESTAMP AS tm, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS due FROM (SELECT DISTINCT session_id FROM r)
+  UNION ALL SELECT session_id, i, tm, CASE WHEN due > 0 THEN 0 ELSE m END, first, late, due FROM (SELECT *, CASE WHEN c OR m >= 10 THEN m ELSE 0 END AS due FROM (SELECT r.session_id, r.i, r.tm, r.c,
+   CASE WHEN f.n > 0 AND r.us - f.first >= 1800000000 THEN f.n ELSE 0 END AS late, CASE WHEN f.n > 0 AND r.us - f.first >= 1800000000 THEN 1 ELSE f.n + 1 END AS m, CASE WHEN f.n = 0 OR r.us - f.first >= 1800000000 THEN r.us ELSE f.first END AS first
+   FROM f JOIN r ON r.session_id = f.session_id AND r.i = f.i + 1)))
+ SELECT session_id, tm AS fired_at, late AS n_items FROM f WHERE late > 0 UNION ALL SELECT session_id, tm, due FROM f WHERE due > 0""")
 def count_or_time(spark, sf_dir):
     return ops.due_points(steps(spark, sf_dir), 10, 1800, F.col("event_type") == "purchase")
 
 
-@query("win10_unit_packing")
+@query("win10_unit_packing", """WITH RECURSIVE g AS (SELECT event_id AS id, user_id AS session_id, ts, CAST(value * 100 AS BIGINT) AS chars, trunc(value * 100) AS exact, lag(ts) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ p AS (SELECT *, sum(CAST(b IS NULL OR epoch_us(ts) - epoch_us(b) >= 10800000000 OR (epoch_us(ts) - epoch_us(b) >= 3600000000 AND CAST(ts AS DATE) <> CAST(b AS DATE)) AS BIGINT)) OVER (PARTITION BY session_id ORDER BY ts, id) AS part FROM g),
+ r AS (SELECT session_id, CAST(part AS BIGINT) AS part, id AS pos, CAST(exact AS BIGINT) AS chars, row_number() OVER (PARTITION BY session_id, part ORDER BY id) AS i FROM p),
+ f AS (SELECT session_id, part, pos, i, CAST(0 AS BIGINT) AS unit, CAST(1 AS BIGINT) AS n, chars AS size FROM r WHERE i = 1
+  UNION ALL SELECT r.session_id, r.part, r.pos, r.i, CASE WHEN f.n >= 5 OR f.size + r.chars > 20000 THEN f.unit + 1 ELSE f.unit END, CASE WHEN f.n >= 5 OR f.size + r.chars > 20000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 5 OR f.size + r.chars > 20000 THEN r.chars ELSE f.size + r.chars END
+  FROM f JOIN r ON r.session_id = f.session_id AND r.part = f.part AND r.i = f.i + 1) SELECT session_id, part, pos, unit FROM f""")
 def unit_packing(spark, sf_dir):
     from ..operators.texts import budget_units
 
@@ -196,10 +206,10 @@ def fixture_integrity(spark, sf_dir):
 
 @query("prj20_id_aliases", f"WITH {RECORDS}, f AS (SELECT role, source_id, row_number() OVER (PARTITION BY role ORDER BY session_id, pos) AS n FROM rec) SELECT source_id, upper(substr(role, 1, 1)) || n AS alias FROM f")
 def id_aliases(spark, sf_dir):
-    from pyspark.sql import Window
+    from ..operators import ordered
 
-    place = F.row_number().over(Window.partitionBy("role").orderBy("session_id", "pos"))
-    return records(spark, sf_dir).select("source_id", F.concat(F.upper(F.substring("role", 1, 1)), place.cast("string")).alias("alias"))
+    numbered = ordered.running_count(records(spark, sf_dir), ["role"], ["session_id", "pos"], F.lit(True), "n", ordered.block_of(F.col("session_id"), 1024))
+    return numbered.select("source_id", F.concat(F.upper(F.substring("role", 1, 1)), F.col("n").cast("string")).alias("alias"))
 
 
 @query("src11_scope_filter", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/+$', '') AS path FROM pages),

@@ -133,9 +133,9 @@ def find_events(spark, sf_dir):
     return ops.find(events, "The TION").select("id", "at", "score")
 
 
-@query("sort10_substring_search", "SELECT page_id FROM pages WHERE contains(lower(html), 'aria') ")
+@query("sort10_substring_search", "SELECT page_id FROM pages WHERE contains(replace(lower(html), 'ß', 'ss'), 'strasse') OR contains(lower(html), 'footer')")
 def substring_search(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(fn.fold_case(F.col("html")).contains("aria")).select("page_id")
+    return table(spark, sf_dir, "pages").where(fn.fold_case(F.col("html")).contains("strasse") | fn.fold_case(F.col("html")).contains("footer")).select("page_id")
 
 
 @query("strf12_head_lines", f"WITH {_LINES}, u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM ln), c AS (SELECT doc_id, n, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY n) AS t FROM u) SELECT ln.doc_id, CAST(least(greatest(coalesce((SELECT count(*) FROM c WHERE c.doc_id = ln.doc_id AND t <= 2000), 0), 1), len(l)) AS BIGINT) AS n_head FROM ln")
@@ -143,10 +143,10 @@ def head_lines(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", fn.head_lines(fn.lines(F.col("text")), 2_000).cast("bigint").alias("n_head"))
 
 
-@query("strf13_excerpts", "SELECT doc_id, sha256('…' || substr(text, 81, 250) || '…') AS excerpt_hash FROM documents WHERE length(text) > 700")
+@query("strf13_excerpts", "SELECT doc_id, CASE WHEN length(text) > 400 THEN sha256('…' || substr(text, 81, 250) || '…') END AS excerpt_hash FROM documents")
 def excerpts(spark, sf_dir):
     focus = F.array(*[F.struct(F.lit(a).cast("bigint").alias("s"), F.lit(b).cast("bigint").alias("e")) for a, b in ((200, 205), (205, 210))])
-    return _documents(spark, sf_dir).where(F.length("text") > 700).select("doc_id", F.sha2(fn.excerpt(F.col("text"), focus), 256).alias("excerpt_hash"))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(fn.excerpt(F.col("text"), focus), 256).alias("excerpt_hash"))
 
 
 @query("strf14_safe_text", r"SELECT page_id, sha256(regexp_replace(html, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g')) AS safe_hash FROM pages")
