@@ -269,11 +269,38 @@ def test_byte_bpe_equals_library(spark):
 
     ranks = byte_bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = [*[r for r in texts() if len(r[1] or "") < 5000], (90, "tab\t\tand wide  spaces   end  "), (91, "\u0085x ᠎y ͏ z"), (92, "ÀÉ漢字١٢٣ ½ <|endoftext|>")]
+    rows = [*texts(), (89, "a" * 700 + " " * 300 + "é" * 200), (90, "tab\t\tand wide  spaces   end  "), (91, "\u0085x ᠎y ͏ z"), (92, "ÀÉ漢字١٢٣ ½ <|endoftext|>")]
     found = {}
     for r in byte_bpe.encode_documents(documents(spark, rows), ranks, public_tokenizers.PATTERN, most=20).collect():
-        found.setdefault((r["doc_id"], bytes(r["decoded"])), []).append((r["ids"], r["n_tokens"]))
+        found.setdefault((r["doc_id"], bytes(r["decoded"])), []).append((list(r["ids"]), r["n_tokens"]))
     for doc_id, text in rows:
         ids = library.encode_ordinary(text or "")
-        assert (",".join(map(str, ids)), len(ids)) in found[(doc_id, (text or "").encode())], text
+        assert (ids, len(ids)) in found[(doc_id, (text or "").encode())], text
     assert byte_bpe.encode_documents(documents(spark, []), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_byte_bpe_query_over_a_whole_table(spark, tiny):
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from tracelode.llm.queries import QUERIES
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    texts_ = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()}
+    rows = QUERIES["op9_byte_bpe"](spark, tiny).collect()
+    assert len(rows) == len(texts_)
+    for r in rows:
+        ids = library.encode_ordinary(texts_[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest(",".join(map(str, ids)).encode()), digest(texts_[r["doc_id"]].encode()))
+
+
+def test_every_pair_has_its_own_place():
+    pairs = {(a, b): a * 7 + b for a in range(60) for b in range(0, 90, 3)}
+    shifts, table = byte_bpe.place_pairs(pairs)
+    for (a, b), rank in pairs.items():
+        k = a << byte_bpe.ID_BITS | b
+        assert table[(k ^ shifts[k % len(shifts)]) % len(table)] == k << byte_bpe.ID_BITS | rank
+    assert byte_bpe.place_pairs({})[1].count(1 << 62) == 7

@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import json
 import random
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +32,7 @@ ID_BITS, PLACE_BITS = 17, 27
 NO_PAIR = 1 << ID_BITS
 _ID, _REST = NO_PAIR - 1, (1 << (ID_BITS + PLACE_BITS)) - 1
 #: Words whose ids are held ready, at most, and the places they are dealt over by hash; of words with the same place the more frequent one stays.
-READY, READY_PLACES = 200_000, 1 << 18
+READY, READY_PLACES = 400_000, 1 << 19
 #: Steps to a doubling of the count, in the table that the least count of ready words is read from.
 COUNT_STEPS = 16
 
@@ -82,6 +81,10 @@ def place_pairs(pairs: dict[tuple[int, int], int], seed: int = 5) -> tuple[list[
     return shifts, table
 
 
+def _place(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(READY_PLACES - 1)
+
+
 class ByteBpe:
     """Column expressions that encode and decode with one vocabulary, in which every single byte and at most NO_PAIR pieces must be."""
 
@@ -102,7 +105,7 @@ class ByteBpe:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column, shifts: Column, table: Column, byte_ids: Column) -> Column:
-        """The ids of one word, joined by commas."""
+        """The ids of one word."""
         no_pair = F.lit(NO_PAIR).cast("long")
 
         def rank(a: Column, b: Column) -> Column:
@@ -119,11 +122,11 @@ class ByteBpe:
             def at(low: Column) -> Column:
                 one = F.shiftright(low, ID_BITS + PLACE_BITS)
 
-                def joined(i: Column) -> Column:
-                    before, after = F.get(state, i - 2), F.get(state, i + 1)
-                    left = F.when(i > 1, F.array(rank(before.bitwiseAND(_ID), one).bitwiseOR(before.bitwiseAND(_REST)))).otherwise(F.array().cast("array<bigint>"))
-                    middle = F.array(rank(one, after.bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one))
-                    return F.concat(F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))), left, middle, F.slice(state, i + 2, F.size(state)))
+                def joined(next_: Column) -> Column:
+                    """The element before ``next_`` is the merged one, the one before that meets it anew, ``next_`` itself goes."""
+                    merged = rank(one, F.get(state, next_ + 1).bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one)
+                    before = lambda x: rank(x.bitwiseAND(_ID), one).bitwiseOR(x.bitwiseAND(_REST))
+                    return F.filter(F.transform(state, lambda x, k: F.when(k == next_ - 1, merged).when(k == next_ - 2, before(x)).otherwise(x)), lambda x, k: k != next_)
 
                 return F.when(low >= NO_PAIR << (ID_BITS + PLACE_BITS), state).otherwise(_let(F.array_position(state, low).cast("int"), joined))
 
@@ -132,27 +135,25 @@ class ByteBpe:
         signs = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
         ids = F.transform(signs, lambda x: F.get(byte_ids, F.ascii(x)))
         folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), _let(ids, start), merge)
-        return F.array_join(F.transform(folded, lambda x: x.bitwiseAND(_ID).cast("string")), ",")
+        return F.transform(folded, lambda x: x.bitwiseAND(_ID).cast("int"))
 
     def with_map(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """``body`` gets the fold of a word; the rank map is held once."""
         return _let(self.rank_map, lambda m: body(lambda word: self.fold(word, m["shifts"], m["table"], m["bytes"])))
 
     def ids(self, words: Column, ready: tuple[Column, Column] | None = None) -> Column:
-        """The ids of a text cut into words, joined by commas; ``ready`` has those of frequent words."""
+        """The ids of a text cut into words; ``ready`` has those of frequent words."""
         if ready is None:
-            return self.with_map(lambda fold: F.array_join(F.transform(words, fold), ","))
+            return self.with_map(lambda fold: F.flatten(F.transform(words, fold)))
 
         def known(word: Column, names: Column, ids: Column) -> Column:
-            place = (F.crc32(word) % READY_PLACES).cast("int")
-            return F.when(F.get(names, place) == word, F.get(ids, place))
+            return F.when(F.get(names, _place(word)) == word, F.get(ids, _place(word)))
 
-        return self.with_map(lambda fold: _let(F.struct(ready[0].alias("names"), ready[1].alias("ids")), lambda r: F.array_join(F.transform(words, lambda w: F.coalesce(known(w, r["names"], r["ids"]), fold(w))), ",")))
+        return self.with_map(lambda fold: _let(F.struct(ready[0].alias("names"), ready[1].alias("ids")), lambda r: F.flatten(F.transform(words, lambda w: F.coalesce(known(w, r["names"], r["ids"]), fold(w))))))
 
     def decoded(self, ids: Column) -> Column:
-        """The bytes of ids joined by commas."""
-        piece = lambda pieces: F.array_join(F.transform(F.split(ids, ","), lambda x: F.coalesce(F.get(pieces, x.try_cast("int")), F.lit(""))), "")
-        return F.encode(_let(self.pieces, piece), "ISO-8859-1")
+        """The bytes of ids; an id that the vocabulary does not have adds nothing."""
+        return F.encode(_let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda x: F.get(pieces, x)), "")), "ISO-8859-1")
 
     def ready(self, docs: DataFrame, text: str, most: int = READY) -> tuple[Column, Column] | None:
         """Two literal arrays, words and their ids, of the words whose count is at least the lowest one that ``most`` distinct words reach.
@@ -171,18 +172,18 @@ class ByteBpe:
             least = row["step"]
         if least is None:
             return None
-        found = counts.where(F.col("step") >= least).select("word", "count", self.with_map(lambda fold: fold(F.col("word"))).alias("ids")).toArrow()
-        names, ids = [None] * READY_PLACES, [None] * READY_PLACES
-        best = [0] * READY_PLACES
-        for word, count, own in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
-            place = zlib.crc32(word.encode()) % READY_PLACES
-            if (count, word) > (best[place], names[place] or ""):
-                names[place], ids[place], best[place] = word, own, count
-        return tuple(F.from_json(F.lit(json.dumps(x, separators=(",", ":"), ensure_ascii=False)), "array<string>") for x in (names, ids))
+        found = counts.where(F.col("step") >= least).select("word", "count", _place(F.col("word")).alias("place"), self.with_map(lambda fold: fold(F.col("word"))).alias("ids")).toArrow()
+        names, ids, best = [None] * READY_PLACES, [None] * READY_PLACES, [0] * READY_PLACES
+        for batch in found.to_batches(max_chunksize=10_000):
+            for word, count, place, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (count, word) > (best[place], names[place] or ""):
+                    names[place], ids[place], best[place] = word, own, count
+        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"), ensure_ascii=False)), kind)
+        return literal(names, "array<string>"), literal(ids, "array<array<int>>")
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = READY) -> DataFrame:
-    """doc_id, ids (joined by commas), n_tokens and decoded (bytes) of every row's whole text.
+    """doc_id, ids (an array), n_tokens and decoded (bytes) of every row's whole text.
 
     Null and empty texts have no ids and decode to no bytes; an empty table
     gives no rows. Repeated rows and rows with a null doc_id are encoded each.
@@ -192,5 +193,4 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, mos
     """
     bpe = ByteBpe(ranks, pattern)
     encoded = docs.select("doc_id", bpe.ids(bpe.words(F.col("text").cast("string")), bpe.ready(docs, "text", most) if most > 0 else None).alias("ids"))
-    n = F.when(F.col("ids") == "", 0).otherwise(1 + F.length("ids") - F.length(F.replace("ids", F.lit(","), F.lit(""))))
-    return encoded.select("doc_id", "ids", n.cast("long").alias("n_tokens"), bpe.decoded(F.col("ids")).alias("decoded"))
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), bpe.decoded(F.col("ids")).alias("decoded"))
