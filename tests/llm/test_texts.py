@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -304,3 +305,50 @@ def test_every_pair_has_its_own_place():
         k = a << byte_bpe.ID_BITS | b
         assert table[(k ^ shifts[k % len(shifts)]) % len(table)] == k << byte_bpe.ID_BITS | rank
     assert byte_bpe.place_pairs({})[1].count(1 << 62) == 7
+
+
+def test_cutoffs_are_the_sharpest_that_the_bound_allows(spark):
+    """Against a plain fit: binomial tails summed with exact binomial coefficients, cutoffs tried from mild to sharp."""
+    from math import comb, log
+
+    draw = random.Random(8)
+    good = ["plain words stand here in a row of ten or more than that " + " ".join(draw.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(draw.randint(5, 30))) + (" #" * draw.randint(1, 9) if k % 400 == 0 else "") for k in range(2400)]
+    bad = ["plain # words # stand # here # in $ a % row & of * ten < or > more " + str(k) for k in range(50)]
+    rows = [(k, t, "en" if k % 2400 < 2000 or k >= 2400 else "de") for k, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k < 2400), 0) for k, _, _ in rows], "doc_id long, quality int, toxic int")
+    scored = quality_rules.score_documents(docs, labels).collect()
+    assert len(scored) == len(rows)
+
+    def value(r, rule):
+        above, below, _, _ = quality_rules.RULES[rule]
+        return r[above] / r[below] if r[below] else None
+
+    def rejects(r, rule, cutoff):
+        v = value(r, rule)
+        return v is not None and (v > cutoff if quality_rules.RULES[rule][2] > 0 else v < cutoff)
+
+    lang, text = {k: x for k, _, x in rows}, {k: t for k, t, _ in rows}
+    level, share = 0.05 / (6 * 2), 0.05 / 6
+    expected, seen = {}, set()
+    trials = {"en": [], "de": []}
+    for r in scored:
+        if r["doc_id"] < 2400 and not r["base_failed"] and (lang[r["doc_id"]], text[r["doc_id"]]) not in seen:
+            seen.add((lang[r["doc_id"]], text[r["doc_id"]]))
+            trials[lang[r["doc_id"]]].append(r)
+    for name, own in trials.items():
+        for rule, (_, _, _, grid) in quality_rules.RULES.items():
+            for cutoff in reversed(grid):
+                k, n = sum(rejects(r, rule, cutoff) for r in own), len(own)
+                # The upper limit is at most `share` where so few rejections are as unlikely as the level at that rate.
+                if k > 60 or sum(comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(k + 1)) > level:
+                    break
+                expected[name, rule] = cutoff
+    assert ("en", "symbols") in expected and not any(name == "de" for name, _ in expected) and log(level) / log(1 - share) > 400
+    for r in scored:
+        name = lang[r["doc_id"]]
+        kept = not r["base_failed"] and not any(rejects(r, rule, expected[name, rule]) for rule in quality_rules.RULES if (name, rule) in expected)
+        assert r["kept"] == kept, r
+    assert sum(not r["kept"] and not r["base_failed"] for r in scored if r["doc_id"] >= 2400) == 50
+    stays = {r["doc_id"] for r in quality_rules.keep_good(docs, labels).collect()}
+    assert stays == {r["doc_id"] for r in scored if r["kept"]}

@@ -2,12 +2,13 @@
 
 Every document gets counts of its words, symbols, lines and repeats. Rules are
 one-sided cutoffs on ratios of these counts. For each stratum and rule, the
-sharpest cutoff of a fixed grid is taken whose rate of falsely rejected good
-documents is bounded: the exact (Clopper-Pearson) upper limit must lie below
-the rule's share of the tolerated rate, at a confidence divided by the number
-of cutoffs compared (Bonferroni). With all rules together, a good document of
-a stratum is then rejected at most at the tolerated rate, with the stated
-confidence. A stratum with too few labelled documents gets no cutoff.
+cutoffs of a fixed grid are tested from mild to sharp: the exact
+(Clopper-Pearson) upper limit of the rate of falsely rejected good documents
+must lie below the rule's share of the tolerated rate, and the first cutoff
+that fails ends the rule's sequence (fixed-sequence testing). The level is
+shared by all rules and strata (Bonferroni). With all rules together, a good
+document of a stratum is then rejected at most at the tolerated rate, with the
+stated confidence. A stratum with too few labelled documents gets no cutoff.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import written
+from .store import row_count_at_most, written
 from .textkernel import BYTE_CODES, Texts, U, mix, pieces, prefix_hashes, span_hashes, window_hashes
 
 MIN_WORDS = 10
@@ -37,6 +38,8 @@ RULES: dict[str, tuple[str, str, int, list[float]]] = {
     "long_words": ("word_chars", "n_words", 1, [6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0, 12.0]),
     "short_words": ("word_chars", "n_words", -1, [4.0, 3.5, 3.0, 2.5, 2.0]),
 }
+#: Strata whose cutoffs are sent to every task when texts are filtered.
+MOST_BROADCAST = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_capitals")
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -146,43 +149,73 @@ def _rejects(rule: str, cutoff: float | F.Column) -> F.Column:
     return F.coalesce(_value(rule) > cutoff if RULES[rule][2] > 0 else _value(rule) < cutoff, F.lit(False))
 
 
-def fit_cutoffs(counted: DataFrame, stratum: str, good: F.Column, tolerated: float = 0.05, delta: float = 0.05) -> list[tuple[str | None, str, float, int, int, float]]:
-    """Rows (stratum, rule, cutoff, rejected, good documents, upper limit) of the cutoffs that the labelled rows allow.
+def fit_cutoffs(counted: DataFrame, stratum: str, strata: int, tolerated: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """(stratum, a cutoff or null for each rule, evidence): the sharpest cutoffs that the good rows of ``counted`` allow.
 
-    Only base-passing rows marked ``good`` count. One pass: a count for each
-    stratum, rule and grid cutoff comes back, nothing that grows with the rows
-    but the number of strata.
+    Only base-passing rows count. The cutoffs of a rule are tested in their
+    fixed order from mild to sharp and the first one that fails ends the
+    sequence, so a rule's tests need no correction among themselves; the level
+    is shared by all rules of all ``strata`` (Bonferroni). Counts are summed in
+    Spark, and the limits are computed there, a row for each stratum; evidence
+    has (rule, cutoff, rejected, good rows, upper limit) of each cutoff taken.
     """
-    tests = [(rule, c) for rule, (_, _, _, grid) in RULES.items() for c in grid]
+    level, share = delta / max(1, len(RULES) * strata), tolerated / len(RULES)
+    tests = [(rule, c) for rule, (_, _, _, grid) in RULES.items() for c in reversed(grid)]
     sums = [F.sum(_rejects(rule, c).cast("long")).alias(f"t{i}") for i, (rule, c) in enumerate(tests)]
-    table = counted.where(good & ~base_failed()).groupBy(stratum).agg(F.count("*").alias("n"), *sums).collect()
-    level, share, out = delta / max(1, len(tests) * len(table)), tolerated / len(RULES), []
-    for row in table:
-        done = set()
-        for i, (rule, cutoff) in enumerate(tests):
-            if rule not in done and (upper := binomial_upper(row[f"t{i}"], row["n"], level)) <= share:
-                done.add(rule)
-                out.append((row[stratum], rule, cutoff, row[f"t{i}"], row["n"], upper))
-    return out
-
+    table = counted.where(~base_failed()).groupBy(F.col(stratum).cast("string").alias("stratum")).agg(F.count("*").alias("n"), *sums)
+    taken = pa.struct([("rule", pa.string()), ("cutoff", pa.float64()), ("rejected", pa.int64()), ("n", pa.int64()), ("upper", pa.float64())])
 
-def verdict(stratum: str, cutoffs: list[tuple]) -> F.Column:
-    """True unless a rule's cutoff for the row's stratum rejects it; rows of unknown strata are kept."""
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                found: dict[str, dict] = {}
+                ended = set()
+                for i, (rule, cutoff) in enumerate(tests):
+                    upper = 1.0 if rule in ended else binomial_upper(row[f"t{i}"], row["n"], level)
+                    if upper <= share:
+                        found[rule] = {"rule": rule, "cutoff": cutoff, "rejected": row[f"t{i}"], "n": row["n"], "upper": upper}
+                    else:
+                        ended.add(rule)
+                out.append((row["stratum"], *[found[r]["cutoff"] if r in found else None for r in RULES], list(found.values())))
+            kinds = [pa.string(), *[pa.float64()] * len(RULES), pa.list_(taken)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["stratum", *RULES, "evidence"])
+
+    return table.mapInArrow(fit, f"stratum string, {', '.join(f'{r} double' for r in RULES)}, evidence array<struct<rule:string,cutoff:double,rejected:long,n:long,upper:double>>")
+
+
+def verdict() -> F.Column:
+    """True unless the cutoff of a rule rejects the row; a rule without a cutoff rejects nothing."""
     bad = F.lit(False)
-    for value, rule, cutoff, *_ in cutoffs:
-        here = F.col(stratum).isNull() if value is None else F.col(stratum) == F.lit(value)
-        bad = bad | (F.coalesce(here, F.lit(False)) & _rejects(rule, cutoff))
+    for rule in RULES:
+        bad = bad | F.coalesce(_rejects(rule, F.col(f"cutoff.{rule}")), F.lit(False))
     return ~bad
 
 
-def labelled_cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, tolerated: float, delta: float) -> list[tuple]:
-    """Cutoffs from the rows of ``counted`` that ``labels`` marks good.
+def labelled_cutoffs(counted: DataFrame, labels: DataFrame, tolerated: float, delta: float) -> DataFrame:
+    """``fit_cutoffs`` from the rows of ``counted`` (with stratum and text_key) that ``labels`` marks good, written.
 
     Labels with null doc_id or quality are ignored; where a document is
-    labelled twice, it is good only if no label says otherwise.
+    labelled twice, it is good only if no label says otherwise. Exact copies
+    are one trial, as trials must be independent.
     """
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    return fit_cutoffs(counted.join(good, "doc_id", "left_semi"), stratum, F.lit(True), tolerated, delta)
+    trials = counted.join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "text_key"])
+    strata = trials.select("stratum").distinct().count()
+    return written(fit_cutoffs(trials, "stratum", strata, tolerated, delta), "quality-cutoffs")
+
+
+def _with_cutoffs(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """``rows`` with the struct ``cutoff`` of their stratum, nulls where it has none: one row for each stratum meets them."""
+    table = cutoffs.select(F.col("stratum").alias("__stratum"), F.struct(*RULES).alias("cutoff"))
+    # Broadcast while the strata are few, so that no row is shuffled by its stratum.
+    table = F.broadcast(table) if row_count_at_most(cutoffs, MOST_BROADCAST) else table
+    return rows.join(table, F.col("stratum").eqNullSafe(F.col("__stratum")), "left").drop("__stratum")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    named = docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), F.xxhash64("text").alias("text_key"), "text")
+    return written(with_counts(named, keep=("doc_id", "stratum", "text_key")), "quality-counts")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05, delta: float = 0.05) -> DataFrame:
@@ -191,23 +224,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05,
     Strata are the values of ``lang`` (null is a stratum of its own). Rows of
     docs with a null doc_id are never labelled but are scored. Empty and null
     texts have no words and fail the base rules. Without usable labels only
-    the base rules decide. Other columns of docs and labels are not read,
-    whatever their names.
+    the base rules decide. Ties with a cutoff are kept. Other columns of docs
+    and labels are not read, whatever their names.
     """
-    named = docs.select("doc_id", F.col("lang").alias("stratum"), "text")
-    counted = written(with_counts(named, keep=("doc_id", "stratum")), "quality-counts")
-    cutoffs = labelled_cutoffs(counted, labels, "stratum", tolerated, delta)
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict("stratum", cutoffs))
+    counted = _counted(docs)
+    joined = _with_cutoffs(counted, labelled_cutoffs(counted, labels, tolerated, delta))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict()).drop("cutoff", "text_key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``score_documents`` keeps.
+    """The rows of ``docs``, all columns, that ``score_documents`` keeps; an empty table stays empty.
 
     The counts that the cutoffs are fitted on are written without the texts;
     the texts are counted once more where they are filtered, and stay in Spark.
     """
-    counted = written(with_counts(docs.select("doc_id", F.col("lang").alias("stratum"), "text"), keep=("doc_id", "stratum")), "quality-counts")
-    cutoffs = labelled_cutoffs(counted, labels, "stratum", tolerated, delta)
+    cutoffs = labelled_cutoffs(_counted(docs), labels, tolerated, delta)
 
     @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
     def counts(column: pa.Array) -> pa.Array:
@@ -215,5 +246,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, tolerated: float = 0.05, delta
         return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else [], pa.int64()) for c in COUNTS], names=list(COUNTS))
 
     own = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    named = docs.select(*[F.col(c).alias(k) for k, c in own.items()], F.col("lang").alias("stratum"), counts(F.col("text").cast("string")).alias("counts"))
-    return named.select(*own, "stratum", "counts.*").where(~base_failed() & verdict("stratum", cutoffs)).select(*[F.col(k).alias(c) for k, c in own.items()])
+    named = docs.select(*[F.col(c).alias(k) for k, c in own.items()], F.col("lang").cast("string").alias("stratum"), counts(F.col("text").cast("string")).alias("counts"))
+    passed = named.select(*own, "stratum", "counts.*").where(~base_failed())
+    return _with_cutoffs(passed, cutoffs).where(verdict()).select(*[F.col(k).alias(c) for k, c in own.items()])
