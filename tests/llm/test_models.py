@@ -50,6 +50,30 @@ def test_vectors_of_a_whole_table(spark, tiny):
     assert np.mean([f == w for f, w in zip(found, wanted, strict=True)]) >= 0.98
 
 
+def test_recall_of_planted_partners(spark):
+    """Partners at cosine 0.95 to 0.97, the hardest ones, among 6,000 vectors: links found against brute force, none below the threshold, and each width by itself."""
+    random = np.random.default_rng(5)
+    base = random.normal(size=(6000, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    chosen = base[::6]
+    aside = random.normal(size=chosen.shape)
+    aside -= (aside * chosen).sum(1, keepdims=True) * chosen
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = random.uniform(0.9505, 0.97, (len(chosen), 1))
+    every = np.concatenate((base, cosine * chosen + np.sqrt(1 - cosine**2) * aside)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(every)]
+    short = [(100_000 + i, v[:12].tolist()) for i, v in enumerate(every[:40])] + [(200_000 + i, (v[:12] * 3).tolist()) for i, v in enumerate(every[:40])]
+    found = {r["vec_id"]: r for r in embedding_dedup.link_vectors(_vectors(spark, rows + short)).collect()}
+    unit = every.astype(float) / np.linalg.norm(every.astype(float), axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.95).sum(1) - 1
+    n_links = np.array([found[i]["n_links"] for i in range(len(every))])
+    assert wanted.sum() >= 2000 and (n_links <= wanted).all()
+    queries = np.arange(0, len(every), 50)
+    assert n_links.sum() >= 0.9 * wanted.sum() and n_links[queries].sum() >= 0.9 * wanted[queries].sum()
+    assert n_links.sum() >= 0.98 * wanted.sum()
+    assert all(found[200_000 + i]["component_id"] == found[100_000 + i]["component_id"] <= 100_000 + i for i in range(40))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(200, 260)] + [(3, 3), (4, 5), (5, 4), (4, 5)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

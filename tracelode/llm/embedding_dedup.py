@@ -16,6 +16,7 @@ forest of its links, not the links.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .store import written
 
-#: Vectors that the centres and code books are fitted on, at most, those with the smallest hash.
-SAMPLE = 8192
-MOST_LISTS, CODES, SUBSPACE = 1024, 64, 8
+#: Vectors that the centres and code books are fitted on: SAMPLE for each list, SAMPLE * MOST_LISTS at most, those with the smallest hash. Every vector is indexed.
+SAMPLE, MOST_LISTS, CODES, SUBSPACE = 32, 2048, 64, 8
 #: Vectors, and queries, of one block.
 BLOCK = 2000
 #: How far beyond its own cell's border a query looks, as a multiple of what partners in random directions need.
-MARGIN = 2.0
+MARGIN = 1.2
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -91,10 +91,15 @@ class Index:
         return np.sqrt(np.maximum(total, 0))
 
 
+def list_count(n: int) -> int:
+    """Lists for ``n`` vectors: about the root of n, so that lists and centres grow alike."""
+    return int(min(MOST_LISTS, max(1, 2 ** round(np.log2(max(1, n) ** 0.5)))))
+
+
 def fit(sample: np.ndarray, n: int, threshold: float, seed: int = 11) -> Index:
     """The index for ``n`` unit vectors, fitted on a sample of them."""
     random = np.random.default_rng(seed)
-    lists = int(min(MOST_LISTS, max(1, 2 ** round(np.log2(max(1, n) ** 0.5))), max(1, len(sample) // 8)))
+    lists = min(list_count(n), max(1, len(sample) // 8))
     centres = _means(sample, lists, random)
     rest = sample - centres[_nearest(sample, centres)]
     width = sample.shape[1]
@@ -128,51 +133,70 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
     Links are pairs with cosine of at least ``threshold``; none below it is
-    returned. Null, empty and zero vectors, vectors with null or non-finite
-    components, and those whose length is not the most frequent one, link with
-    nothing: n_links 0, component_id their vec_id, kept true. Rows with equal
-    vectors are linked. A null vec_id takes part and is never the smallest; if
-    it stands alone its component_id is null and it is kept. An empty table
-    gives no rows. Columns other than vec_id and embedding are not read.
+    returned. Null, empty and zero vectors, and vectors with null or non-finite
+    components, link with nothing: n_links 0, component_id their vec_id, kept
+    true. Vectors of different lengths never link; each length has an index of
+    its own. Rows with equal vectors are linked. A null vec_id takes part and
+    is never the smallest; if it stands alone its component_id is null and it
+    is kept. An empty table gives no rows. Columns other than vec_id and
+    embedding are not read.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("raw"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("node", F.when(fine, F.xxhash64("v")))
-    # Scaled before squaring, so that very long or short vectors keep their direction.
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    widths = rows.where("node IS NOT NULL").groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if widths is None:
+    rows = written(rows.select("vec_id", F.when(fine, F.xxhash64("v")).alias("node"), F.when(fine, F.size("v")).alias("width"), F.when(fine, F.col("raw")).alias("raw")), "vectors")
+    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("many"), F.min("vec_id").alias("least"), F.first("width").alias("width"), F.first("raw").alias("raw")), "vector-nodes")
+    found = [_links_of_width(nodes.where(F.col("width") == r["width"]), r["width"], r["n"], threshold) for r in nodes.groupBy("width").agg(F.count("*").alias("n")).collect()]
+    if not found:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = widths["width"]
-    rows = written(rows.withColumn("node", F.when(F.size("v") == width, F.col("node"))), "vectors")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("many"), F.min("vec_id").alias("least"), F.first("v").alias("v")).withColumn("v", scaled).withColumn("v", F.transform("v", lambda x: x / norm))
-    nodes = written(nodes, "vector-nodes")
-    sample = nodes.orderBy("node").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-    index = spark.sparkContext.broadcast(fit(_unit(sample, width), nodes.count(), threshold))
+    links = reduce(DataFrame.union, found)
+    counts = links.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    least = nodes.select("node", "many", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = least.join(smallest, "component").join(counts, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "node").join(of_node, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _scaled(column: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors in double precision; scaled before squaring, so that very long or short ones keep their direction."""
+    x = _unit(column, width)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=1e-300)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _links_of_width(nodes: DataFrame, width: int, n: int, threshold: float) -> DataFrame:
+    """(node, links, root) of the nodes (node, many, raw) that link, several rows for each: numbers of links, and a forest of them.
+
+    Vectors travel as they are stored and become unit vectors where they are
+    used, so single precision is half the shuffle.
+    """
+    spark = nodes.sparkSession
+    sample = nodes.orderBy("node").limit(SAMPLE * list_count(n)).select("raw").toArrow().column(0).combine_chunks()
+    index = spark.sparkContext.broadcast(fit(_scaled(sample, width), n, threshold))
+    stored = dict(nodes.dtypes)["raw"]
 
     def assign(batches):
         for batch in batches:
-            x = _unit(batch.column(2), width)
+            x = _scaled(batch.column(2), width)
             own, codes, error = index.value.encode(x)
             probes = index.value.probes(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))], names=["node", "many", "v", "list", "codes", "error", "probes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))], names=["node", "many", "raw", "list", "codes", "error", "probes"])
 
-    placed = written(nodes.select("node", "many", "v").mapInArrow(assign, "node long, many long, v array<double>, list int, codes binary, error double, probes array<int>"), "vector-lists")
+    placed = written(nodes.select("node", "many", "raw").mapInArrow(assign, f"node long, many long, raw {stored}, list int, codes binary, error double, probes array<int>"), "vector-lists")
     held = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows at most
     asked = {r["list"]: r["n"] for r in placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame([(k, -(-n // BLOCK), -(-asked.get(k, 0) // BLOCK)) for k, n in held.items()], "list int, blocks int, turns int")
-    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    members = placed.select("node", "many", "v", "list", "codes", "error").join(F.broadcast(blocks), "list").select("list", part(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "node", "many", "v", "codes", "error")
-    queries = placed.select("node", "v", F.explode("probes").alias("list")).join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part(F.col("turns")).alias("turn"), "node", F.lit(0).cast("long").alias("many"), "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    blocks = spark.createDataFrame([(k, -(-m // BLOCK), -(-asked.get(k, 0) // BLOCK)) for k, m in held.items()], "list int, blocks int, turns int")
+    part = lambda m: F.pmod(F.xxhash64("node"), m).cast("int")
+    members = placed.select("node", "many", "raw", "list", "codes", "error").join(F.broadcast(blocks), "list").select("list", part(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "node", "many", "raw", "codes", "error")
+    queries = placed.select("node", "raw", F.explode("probes").alias("list")).join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part(F.col("turns")).alias("turn"), "node", F.lit(0).cast("long").alias("many"), "raw", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         of_list = pdf["codes"].notna().to_numpy()
         a, b = pdf[~of_list], pdf[of_list]
         if not len(a) or not len(b):
             return pd.DataFrame({"node": [], "links": [], "root": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        x, y = (_scaled(pa.array(side["raw"]), width) for side in (a, b))
         codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
         name_a, name_b = a["node"].to_numpy(), b["node"].to_numpy()
         near = index.value.lookup(x, int(key[0]), codes) - b["error"].to_numpy()[None] <= index.value.radius + 1e-3
@@ -188,11 +212,4 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         asked = pd.Series(links, index=name_a)
         return pd.DataFrame({"node": node, "links": asked.reindex(node).fillna(0).astype(np.int64).to_numpy(), "root": root})
 
-    found = written(members.unionByName(queries).groupBy("list", "block", "turn").applyInPandas(compare, "node long, links long, root long"), "vector-links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    least = nodes.select("node", "many", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = least.join(smallest, "component").join(counts, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
-    out = rows.join(of_node, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return written(members.unionByName(queries).groupBy("list", "block", "turn").applyInPandas(compare, "node long, links long, root long"), "vector-links")
