@@ -38,17 +38,24 @@ SHARDS = f"part int, shard int, n_tokens long, dictionary_hash string, payload b
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int | None) -> bytes:
-    """A zstandard dictionary from a bounded sample, the documents whose hash is smallest; empty where it is too small to fit one."""
+    """A zstandard dictionary from a bounded sample, the documents whose hash is smallest.
+
+    The hashes are ranked first, so only the texts of the sample travel. A
+    sample too small to fit a dictionary is itself the dictionary, as raw
+    content; without any document it is empty, and there are no frames.
+    """
     import zstandard
 
-    sample = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCUMENTS).select("text").toArrow().column(0).combine_chunks()
+    hashed = F.xxhash64("doc_id", "text")
+    least = docs.select(hashed.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h").alias("h")).first()["h"]
+    sample = docs.where(hashed <= F.lit(least)).select(F.col("text").cast("string").alias("text")).limit(SAMPLE_DOCUMENTS).toArrow().column(0).combine_chunks()
     ids, sizes = encoder(path).encode(sample)
     ends = np.cumsum(sizes)
     serialized = [np.append(ids[b - n : b], [end_id] if end_id is not None else []).astype("<u4")[:SAMPLE_IDS].tobytes() for b, n in zip(ends, sizes, strict=True)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, serialized).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except zstandard.ZstdError:  # too few or too short
+        return b"".join(serialized)[-DICTIONARY_BYTES:]
 
 
 def _compressor(dictionary: bytes):
