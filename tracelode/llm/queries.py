@@ -20,7 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    """The digest columns of every document, and the text that stays."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), with_text=True).withColumnRenamed("kept", "text")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,7 +275,8 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = [F.col("key"), F.col("at").alias("low"), (F.col("at") + F.col("strings") - 1 + LENGTH).alias("high")]
     equal = met.where("NOT mixed").select(*whole)
     different = written(met.where("mixed").groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")).select("anchor", "run", "one.key", "one.at", "n"), "dedup-different")
-    several = met.where("mixed").join(different.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select(*whole)
+    # A stage of its own, so that Spark can split the copies of a very common run.
+    several = written(met.where("mixed").join(different.where("n > 1").select("anchor", "run"), ["anchor", "run"], "left_semi").select(*whole), "dedup-several")
     sizes = different.groupBy("anchor").agg(F.count("*").alias("runs"))
     with_text = written(texts_of(docs, different, text).join(sizes, "anchor"), "dedup-texts")
     groups = max(1, -(-int(with_text.agg(F.sum(F.length("bytes"))).first()[0] or 0) // GROUP_BYTES))
@@ -304,8 +305,11 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), with
     A null text is an empty one and stays null in ``kept``. Repeated rows are
     copies of each other. Cuts may fall inside a character; what is then no
     whole character is left out of ``kept``, while kept_sha256 is of the bytes.
-    Rows are told apart by a 64-bit hash of doc_id and text. Columns not named
-    are not read.
+    Rows are told apart by a 64-bit hash of doc_id and text; runs count as
+    equal where the 64-bit hashes of their anchor and of all their bytes both
+    are. Texts shorter than a string, empty ones and an empty table lose
+    nothing; very long texts are worked on in overlapping sections. Columns
+    not named are not read.
     """
     spans = repeated_ranges(docs).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     all_columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
