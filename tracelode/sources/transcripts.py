@@ -9,6 +9,9 @@ lies.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from ..functions.secrets import mask_secrets
 from ..functions.text import content_id
 from ..operators import ordered
 from ..operators.records import normal_role, triage
+from .store import written
 
 #: Characters of a line that is read, and of a record's share.
 MOST_LINE = 4 << 20
@@ -31,20 +35,63 @@ KNOWN = ("session_meta", "turn_context", "response_item", "user", "assistant", "
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, offset order n, line): complete lines of transcript files, numbered from 1 in each.
-
-    The number is the line's rank in its file; files are dealt to tasks, and
-    lines of one file are numbered by the order in which Spark reads its splits.
+    """(file, n, offset, line): finished lines of transcript files, numbered from 1 in each, with the byte at which they begin.
+
+    Large files are read split by split: a first pass sums lines and bytes of
+    each split, a second one numbers the lines inside their split, so no task
+    holds a file and no line is shuffled. A line counts once its line feed is
+    written; where the last one of a file has none it is left for later
+    (compressed files, whose size says nothing of their lines, are taken as
+    finished). A line over MOST_LINE characters has a null ``line``, and blank
+    ones are left out. Empty files give nothing.
     """
-    raw = spark.read.option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seen"), F.col("value").alias("line"))
-    numbered = raw.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("split", "seen")))
-    return numbered.where((F.trim("line") != "") & (F.length("line") <= MOST_LINE)).select("file", "n", "line")
+    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"))
+    sums = written(raw.groupBy("file", "split", "size").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line") + 1).alias("bytes")), "line-sums")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    plain = ~F.col("file").rlike(r"\.(?:gz|zst|bz2|lz4|snappy|deflate)$")
+    last = F.when(plain & (F.sum("bytes").over(whole) == F.col("size") + 1), F.sum("lines").over(whole))
+    starts = sums.select("file", "split", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("__lines"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("__bytes"), last.alias("__open"))
+    joined = _numbered(raw.select("file", "split", "line")).join(starts, ["file", "split"])
+    n = F.col("__lines") + F.col("n")
+    finished = joined.where(F.col("__open").isNull() | (n < F.col("__open")))
+    line = F.regexp_replace("line", r"\r$", "")
+    return finished.where(F.trim(line) != "").select("file", n.alias("n"), (F.col("__bytes") + F.col("at")).alias("offset"), F.when(F.length("line") <= MOST_LINE, line).alias("line"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (file, split, line) with n and at: the line's number and first byte within its split. A split is in one task, its lines one after the other."""
+
+    def run(batches):
+        held, n, at = None, 0, 0
+        for batch in batches:
+            files, splits, sizes = batch.column(0), batch.column(1), pc.add(pc.fill_null(pc.binary_length(batch.column(2)), 0), 1).to_numpy().astype(np.int64)
+            key = list(zip(files.to_pylist(), splits.to_pylist(), strict=True))
+            edge = [0, *[i for i in range(1, len(key)) if key[i] != key[i - 1]], len(key)]
+            numbers, places = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+            for low, high in zip(edge[:-1], edge[1:], strict=True):
+                if high == low:
+                    continue
+                if key[low] != held:
+                    held, n, at = key[low], 0, 0
+                numbers[low:high] = n + 1 + np.arange(high - low)
+                ends = at + np.cumsum(sizes[low:high])
+                places[low:high] = ends - sizes[low:high]
+                n, at = n + high - low, int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers), pa.array(places)], names=["file", "split", "line", "n", "at"])
+
+    return rows.mapInArrow(run, "file string, split long, line string, n long, at long")
+
+
+def offsets_of(lines: DataFrame) -> DataFrame:
+    """(file, lines, end): how far each file has been read: the number of its last line and the byte after it. What a later read of the appended part starts from."""
+    return lines.groupBy("file").agg(F.max("n").alias("lines"), F.max(F.col("offset") + F.octet_length(F.coalesce("line", F.lit(""))) + 1).alias("end"))
 
 
 def row_types(lines: DataFrame) -> DataFrame:
-    """(type, bucket, n): how many rows of each type were read, left out on purpose, or unknown; unreadable ones have the type ``corrupt``."""
-    kind = F.coalesce(F.get_json_object("line", "$.type"), F.lit("corrupt"))
-    return lines.select(kind.alias("type")).groupBy("type").agg(F.count("*").alias("n")).withColumn("bucket", F.when(F.col("type") == "corrupt", "unreadable").otherwise(triage(F.col("type"), IGNORED, KNOWN)))
+    """(type, bucket, n): how many rows of each type were read, left out on purpose, or unknown; unreadable ones have the type ``corrupt`` or ``too long``."""
+    kind = F.when(F.col("line").isNull(), "too long").otherwise(F.coalesce(F.get_json_object("line", "$.type"), F.lit("corrupt")))
+    return lines.select(kind.alias("type")).groupBy("type").agg(F.count("*").alias("n")).withColumn("bucket", F.when(F.col("type").isin("corrupt", "too long"), "unreadable").otherwise(triage(F.col("type"), IGNORED, KNOWN)))
 
 
 def _plain_text(content: Column) -> Column:
