@@ -1,8 +1,8 @@
 """Set-similarity join of documents on word shingles, by T-occurrence search.
 
 Two sets of sizes n and m reach the similarity only if they share at least T
-shingles, so a partner of a document stands in one of the inverted lists of
-its n - T + 1 rarest shingles. A query is answered by DivideSkip: the longest of
+shingles, so a partner of a document stands in SHARED of the inverted lists of
+its n - T + SHARED rarest shingles (in T of them where T is less). A query is answered by DivideSkip: the longest of
 its inverted lists are set aside, a heap merges the short ones and counts how
 often each document occurs, and what may still reach T is probed in the long
 lists by binary search.
@@ -39,7 +39,11 @@ SLOTS = 1 << 22
 CHUNK = 1 << 16
 #: Bytes of list entries that a group holds, about.
 GROUP_BYTES = 8 << 20
-ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
+#: Short lists that two documents must share: each set gives so many more shingles to them than one would need.
+SHARED = 2
+#: An entry of a list. Of a shingle's hash 40 bits travel: others that share them cost a search and change nothing.
+ENTRY = (("low", "<u4"), ("high", "<u1"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4"))
+ENTRY_BYTES = sum(np.dtype(t).itemsize for _, t in ENTRY)
 #: Pairs that leave a task in one batch.
 PAIRS = 200_000
 #: Partners that a query is searched among at once, about, and the weight of a probe when lists are set aside.
@@ -162,29 +166,45 @@ def short_lists(docs: DataFrame, lengths: np.ndarray, percent: int, groups: int)
             edge = np.cumsum(sizes) - sizes
             doc = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((values, table[(values & U(SLOTS - 1)).astype(np.int64)], doc))
-            kept = sizes - (percent * sizes + 99) // 100 + 1
+            kept = np.minimum(sizes, sizes - (percent * sizes + 99) // 100 + SHARED)
             size = kept[new]
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            entry = np.zeros(len(at), ENTRY)
-            entry["token"] = values[order[np.repeat(edge[new], size) + at]]
-            entry["node"], entry["n"], entry["at"] = np.repeat(nodes[new], size), np.repeat(sizes[new], size), at
-            group = (entry["token"] >> U(40)).astype(np.int64) % groups
+            token = values[order[np.repeat(edge[new], size) + at]]
+            group = (token & U((1 << 24) - 1)).astype(np.int64) % groups
             order = np.argsort(group, kind="stable")
-            entry, cut = entry[order], np.searchsorted(group[order], np.arange(groups + 1))
+            token, doc_of, cut = token[order], np.repeat(new, size)[order], np.searchsorted(group[order], np.arange(groups + 1))
+            columns = [c.astype(t) for c, (_, t) in zip((token & U(0xFFFFFFFF), (token >> U(32)) & U(0xFF), nodes[doc_of], sizes[doc_of], at[order]), ENTRY, strict=True)]
             some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([entry[cut[g] : cut[g + 1]].tobytes() for g in some], pa.binary())], names=["group", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([b"".join(c[cut[g] : cut[g + 1]].tobytes() for c in columns) for g in some], pa.binary())], names=["group", "entries"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "group int, entries binary")
 
 
 def _can_link(n, i, m, j, percent: int) -> np.ndarray:
-    """Whether sets of sizes n and m that meet at places i and j of the order may still share enough."""
+    """Whether sets of sizes n and m that meet at places i and j of the order, for the SHARED-th time at most, may still share enough."""
     n, i, m, j = (x.astype(np.int64) for x in (n, i, m, j))
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - i, m - j) - 1 >= required(n, m, percent))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (SHARED - 1 + np.minimum(n - i, m - j) >= required(n, m, percent))
+
+
+def _enough(n: F.Column, m: F.Column, shared: F.Column, percent: int) -> F.Column:
+    """Whether sets of sizes n and m that meet in ``shared`` short lists meet often enough to link."""
+    return shared >= F.least(F.lit(SHARED), F.ceil(percent * (n + m) / (100 + percent)))
+
+
+def _entries(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """token, node, n and at of packed entries."""
+    parts: list[list[np.ndarray]] = [[] for _ in ENTRY]
+    for blob in blobs:
+        count, start = len(blob) // ENTRY_BYTES, 0
+        for part, (_, kind) in zip(parts, ENTRY, strict=True):
+            part.append(np.frombuffer(blob, kind, count, start))
+            start += count * np.dtype(kind).itemsize
+    low, high, node, n, at = (np.concatenate(p) for p in parts)
+    return low.astype(np.int64) | high.astype(np.int64) << 32, node, n, at
 
 
 def merge_lists(packed: DataFrame, percent: int) -> DataFrame:
-    """The short lists of two documents or more: token, node, n, at, first (the list's hub, where it may link with the node).
+    """The short lists of two documents or more: token, node, n, at, first and first_n (the list's hub, where it may link with the node).
 
     The hub is the document that has the fewest rarer shingles than the list's:
     of near copies the one that the others were made from, or the one least
@@ -192,29 +212,28 @@ def merge_lists(packed: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["entries"]])
-        order = np.lexsort((entry["node"], entry["token"]))
-        entry = entry[order]
-        same = (entry["token"][1:] == entry["token"][:-1]) & (entry["node"][1:] == entry["node"][:-1])
-        entry = entry[np.concatenate(([True], ~same))]
-        new = np.concatenate(([True], entry["token"][1:] != entry["token"][:-1]))
-        size = np.diff(np.append(np.flatnonzero(new), len(entry)))
-        entry = entry[np.repeat(size > 1, size)]
-        if not len(entry):
-            return pd.DataFrame({"token": [], "node": [], "n": [], "at": [], "first": []})
+        token, node, n, at = _entries(pdf["entries"].tolist())
+        order = np.lexsort((node, token))
+        token, node, n, at = (x[order] for x in (token, node, n, at))
+        same = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
+        kept = np.concatenate(([True], ~same))
+        token, node, n, at = (x[kept] for x in (token, node, n, at))
+        size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))), len(token)))
+        kept = np.repeat(size > 1, size)
+        token, node, n, at = (x[kept] for x in (token, node, n, at))
         size = size[size > 1]
         start = np.repeat(np.cumsum(size) - size, size)
-        head = entry[np.lexsort((entry["node"], entry["at"], start))][start]
-        may = (head["node"] != entry["node"]) & _can_link(entry["n"], entry["at"], head["n"], head["at"], percent)
-        first = pd.array(np.where(may, head["node"], 0), dtype="Int64")
+        head = np.lexsort((node, at, start))[start]
+        may = (node[head] != node) & _can_link(n, at, n[head], at[head], percent) if len(node) else np.zeros(0, bool)
+        first = pd.array(np.where(may, node[head], 0), dtype="Int64")
         first[~may] = pd.NA
-        return pd.DataFrame({"token": entry["token"].view(np.int64), "node": entry["node"], "n": entry["n"].astype(np.int64), "at": entry["at"].astype(np.int64), "first": first})
+        return pd.DataFrame({"token": token, "node": node, "n": n.astype(np.int64), "at": at.astype(np.int64), "first": first, "first_n": n[head].astype(np.int64)})
 
-    return packed.groupBy("group").applyInPandas(run, "token long, node long, n long, at long, first long")
+    return packed.groupBy("group").applyInPandas(run, "token long, node long, n long, at long, first long, first_n long")
 
 
 def pairs_apart(lists: DataFrame, known: DataFrame, percent: int, groups: int) -> DataFrame:
-    """Pairs of a list's nodes that are in different components of ``known`` and may link."""
+    """Pairs of a list's nodes that are in different components of ``known``, may link and meet in SHARED lists."""
     placed = lists.join(known, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
 
     def run(batches):
@@ -232,18 +251,22 @@ def pairs_apart(lists: DataFrame, known: DataFrame, percent: int, groups: int) -
                 j = np.arange(later[i - low], high)
                 j = j[_can_link(np.full(len(j), n[i]), np.full(len(j), at[i]), n[j], at[j], percent)]
                 if len(j):
-                    out.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]))))
+                    turned = node[j] < node[i]
+                    own, own_n = np.full(len(j), node[i]), np.full(len(j), n[i])
+                    out.append(np.stack((np.where(turned, node[j], own), np.where(turned, own, node[j]), np.where(turned, n[j], own_n), np.where(turned, own_n, n[j]))))
                     waiting += len(j)
             if waiting > PAIRS:
-                yield _batch(np.unique(np.concatenate(out, axis=1), axis=1))
+                yield _batch(out)
                 out, waiting = [], 0
         if out:
-            yield _batch(np.unique(np.concatenate(out, axis=1), axis=1))
+            yield _batch(out)
 
-    def _batch(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[0])), pa.array(np.ascontiguousarray(pairs[1]))], names=["a", "b"])
+    def _batch(out: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, many = np.unique(np.concatenate(out, axis=1), axis=1, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(row)) for row in pairs), pa.array(many)], names=["a", "b", "n", "m", "shared"])
 
-    return placed.repartition(groups, "token").mapInArrow(run, "a long, b long").distinct()
+    met = placed.repartition(groups, "token").mapInArrow(run, "a long, b long, n long, m long, shared long").groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
+    return met.where(_enough(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b")
 
 
 def occurrences(query: np.ndarray, members: list[np.ndarray], percent: int) -> np.ndarray:
@@ -340,9 +363,10 @@ def linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def node_components(docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the sets that link with another set; ``rows`` are those of ``sets_of(docs)``."""
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = max(16, -(-int(total) * ENTRY.itemsize // (100 // (100 - percent) * GROUP_BYTES)))
+    groups = max(16, -(-int(total) * ENTRY_BYTES // (100 // (100 - percent) * GROUP_BYTES)))
     lists = written(merge_lists(short_lists(docs, list_lengths(docs), percent, groups), percent), "join-lists")
-    once = written(lists.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "join-first-pairs")
+    met = lists.where("first IS NOT NULL").groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.first("first_n").alias("n"), F.first("n").alias("m"))
+    once = written(met.where(_enough(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b"), "join-first-pairs")
     links = written(linked(docs, once, percent), "join-links")
     asked = once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(pairs_apart(lists, components(links), percent, groups).join(asked, ["a", "b"], "left_anti"), "join-pairs")
