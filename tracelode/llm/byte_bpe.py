@@ -122,13 +122,11 @@ class ByteBpe:
             def at(low: Column) -> Column:
                 one = F.shiftright(low, ID_BITS + PLACE_BITS)
 
-                def joined(next_: Column) -> Column:
-                    """The element before ``next_`` is the merged one, the one before that meets it anew, ``next_`` itself goes."""
-                    merged = rank(one, F.get(state, next_ + 1).bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one)
-                    before = lambda x: rank(x.bitwiseAND(_ID), one).bitwiseOR(x.bitwiseAND(_REST))
-                    return F.filter(F.transform(state, lambda x, k: F.when(k == next_ - 1, merged).when(k == next_ - 2, before(x)).otherwise(x)), lambda x, k: k != next_)
-
-                return F.when(low >= NO_PAIR << (ID_BITS + PLACE_BITS), state).otherwise(_let(F.array_position(state, low).cast("int"), joined))
+                # The smallest element becomes the merged one, the one before meets it anew, the one after it goes.
+                merged = lambda k: rank(one, F.get(state, k + 2).bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one)
+                before = lambda x: rank(x.bitwiseAND(_ID), one).bitwiseOR(x.bitwiseAND(_REST))
+                new = F.transform(state, lambda x, k: F.when(x == low, merged(k)).when(F.get(state, k + 1) == low, before(x)).when(F.get(state, k - 1) == low, None).otherwise(x))
+                return F.when(low >= NO_PAIR << (ID_BITS + PLACE_BITS), state).otherwise(F.filter(new, lambda x: x.isNotNull()))
 
             return _let(F.array_min(state), at)
 
@@ -149,18 +147,19 @@ class ByteBpe:
         def known(word: Column, names: Column, ids: Column) -> Column:
             return F.when(F.get(names, _place(word)) == word, F.get(ids, _place(word)))
 
-        return self.with_map(lambda fold: _let(F.struct(ready[0].alias("names"), ready[1].alias("ids")), lambda r: F.flatten(F.transform(words, lambda w: F.coalesce(known(w, r["names"], r["ids"]), fold(w))))))
+        return self.with_map(lambda fold: _let(ready[0], lambda names: _let(ready[1], lambda ids: F.flatten(F.transform(words, lambda w: F.coalesce(known(w, names, ids), fold(w)))))))
 
     def decoded(self, ids: Column) -> Column:
         """The bytes of ids; an id that the vocabulary does not have adds nothing."""
         return F.encode(_let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda x: F.get(pieces, x)), "")), "ISO-8859-1")
 
     def ready(self, docs: DataFrame, text: str, most: int = READY) -> tuple[Column, Column] | None:
-        """Two literal arrays, words and their ids, of the words whose count is at least the lowest one that ``most`` distinct words reach.
+        """Two literal arrays of READY_PLACES, words and their ids, of the words whose count is at least the lowest one that ``most`` distinct words reach.
 
         All words of all rows are counted and the counts written; a histogram
-        of them, of some hundred rows, sets the least count. Only the chosen
-        words, ``most`` at most, reach the driver.
+        of them, of some hundred rows, sets the least count. The chosen words
+        are folded once each, in Spark; of those of one place the most frequent
+        stays. One row of READY_PLACES entries at most reaches the driver.
         """
         counts = docs.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").count().where("count > 1")
         counts = written(counts.withColumn("step", F.floor(F.log2("count") * COUNT_STEPS).cast("int")), "bpe-words")
@@ -172,14 +171,12 @@ class ByteBpe:
             least = row["step"]
         if least is None:
             return None
-        found = counts.where(F.col("step") >= least).select("word", "count", _place(F.col("word")).alias("place"), self.with_map(lambda fold: fold(F.col("word"))).alias("ids")).toArrow()
-        names, ids, best = [None] * READY_PLACES, [None] * READY_PLACES, [0] * READY_PLACES
-        for batch in found.to_batches(max_chunksize=10_000):
-            for word, count, place, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (count, word) > (best[place], names[place] or ""):
-                    names[place], ids[place], best[place] = word, own, count
-        literal = lambda x, kind: F.from_json(F.lit(json.dumps(x, separators=(",", ":"), ensure_ascii=False)), kind)
-        return literal(names, "array<string>"), literal(ids, "array<array<int>>")
+        chosen = counts.where(F.col("step") >= least).groupBy(_place(F.col("word")).alias("place")).agg(F.max_by("word", F.struct("count", "word")).alias("word"))
+        folded = written(chosen.repartition("place").select("place", "word", self.with_map(lambda fold: fold(F.col("word"))).alias("ids")), "bpe-ready")
+        every = docs.sparkSession.range(READY_PLACES).select(F.col("id").cast("int").alias("place")).join(folded, "place", "left")
+        dense = every.agg(F.sort_array(F.collect_list(F.struct("place", "word", "ids"))).alias("x"))
+        names, ids = dense.select(F.to_json(F.transform("x", lambda r: r["word"])), F.to_json(F.transform("x", lambda r: r["ids"]))).first()
+        return F.from_json(F.lit(names), "array<string>"), F.from_json(F.lit(ids), "array<array<int>>")
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = READY) -> DataFrame:
