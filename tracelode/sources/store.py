@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one of our own only where it is unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine (tests) and an error on a cluster."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df``, written to the shared folder and read back."""
+    """``df``, written to the shared folder and read back: the lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
