@@ -102,7 +102,7 @@ def test_quotes_by_broadcast_and_by_join(spark, monkeypatch):
     records = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "zero one two three four five six"), (4, "a\nb one two three four five six six")], "record_id long, text string")
     quotes = spark.createDataFrame([(1, "one two three four five six"), (2, "six"), (3, ""), (None, "two")], "quote_id long, quote string")
     whole = _rows(texts.quote_places(records, quotes), "quote_id", "record_id", "place", "line", "n_hits")
-    monkeypatch.setattr(texts, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(texts, "AUTOMATON_CHARS", 10)
     assert _rows(texts.quote_places(records, quotes), "quote_id", "record_id", "place", "line", "n_hits") == whole
     assert (1, 4, 4, 2, 1) in whole and (2, 4, 28, 2, 2) in whole and len(whole) == 6
 

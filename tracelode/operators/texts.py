@@ -13,9 +13,9 @@ from ..functions.text import fold_case, line_of
 
 #: Characters of a segment, and of a head line's text.
 SEGMENT_CHARS = 32_000
-#: Words of a quote that stand for it in the join, and characters of quotes that a broadcast holds at most.
+#: Words of a quote that stand for it in the join, and characters of quotes that an automaton holds at most (some 50 bytes each).
 ANCHOR_WORDS = 4
-BROADCAST_CHARS = 8 << 20
+AUTOMATON_CHARS = 1 << 20
 
 
 def segments(records: DataFrame, key: str, text: str, most: int = SEGMENT_CHARS) -> DataFrame:
@@ -58,28 +58,65 @@ def _words(text: Column) -> Column:
 def quote_places(records: DataFrame, quotes: DataFrame) -> DataFrame:
     """(quote_id, record_id, place, line, n_hits): records (record_id, text) that hold a quote (quote_id, quote) verbatim; ``place`` counts from 0.
 
-    While all quotes together are short, they are broadcast and each record is
-    searched for each. Beyond that, quotes meet records by their first inner
-    words: a shuffle join on word runs, of which the quotes' ones are distinct.
-    Quotes under ANCHOR_WORDS + 2 words always go the first way.
+    While all quotes together are short, every task walks its texts once
+    through an automaton of all of them. Beyond that, quotes meet records by
+    their first inner words: a shuffle join on word runs, of which the quotes'
+    ones are distinct; those under ANCHOR_WORDS + 2 words go through automata,
+    in blocks of AUTOMATON_CHARS, a walk for each. Null and empty quotes, null
+    texts and null ids of quotes give nothing; equal quotes are found each.
     """
-    wanted = quotes.where("quote_id IS NOT NULL AND length(quote) > 0")
-    texts = records.where("text IS NOT NULL")
+    wanted = quotes.where("quote_id IS NOT NULL AND length(quote) > 0").select("quote_id", F.col("quote").cast("string").alias("quote"))
+    texts = records.where("text IS NOT NULL").select("record_id", F.col("text").cast("string").alias("text"))
     size = wanted.agg(F.sum(F.length("quote"))).first()[0] or 0
-    if size <= BROADCAST_CHARS:
-        met = texts.join(F.broadcast(wanted), F.col("text").contains(F.col("quote")))
-    else:
-        inner = F.slice(_words(F.col("quote")), 2, ANCHOR_WORDS)
-        long = F.size(_words(F.col("quote"))) >= ANCHOR_WORDS + 2
-        keyed = wanted.where(long).withColumn("anchor", F.xxhash64(F.array_join(inner, " ")))
-        w = _words(F.col("text"))
-        runs = texts.select("record_id", w.alias("w")).select("record_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - ANCHOR_WORDS, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, ANCHOR_WORDS), " "))))).alias("anchor"))
-        pairs = runs.join(keyed, "anchor").select("record_id", "quote_id", "quote").distinct()
-        met = texts.join(pairs, "record_id").where(F.col("text").contains(F.col("quote"))).select(*texts.columns, "quote_id", "quote")
-        met = met.union(texts.join(F.broadcast(wanted.where(~long)), F.col("text").contains(F.col("quote"))).select(*texts.columns, "quote_id", "quote"))
+    if size <= AUTOMATON_CHARS:
+        return _walked(texts, wanted)
+    few = F.size(_words(F.col("quote"))) < ANCHOR_WORDS + 2
+    inner = F.slice(_words(F.col("quote")), 2, ANCHOR_WORDS)
+    keyed = wanted.where(~few).withColumn("anchor", F.xxhash64(F.array_join(inner, " ")))
+    w = _words(F.col("text"))
+    runs = texts.select("record_id", w.alias("w")).select("record_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - ANCHOR_WORDS, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, ANCHOR_WORDS), " "))))).alias("anchor"))
+    pairs = runs.join(keyed, "anchor").select("record_id", "quote_id", "quote").distinct()
+    met = texts.join(pairs, "record_id").where(F.col("text").contains(F.col("quote")))
     place = F.instr("text", F.col("quote")) - 1
     hits = (F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit("")))) / F.length("quote")
-    return met.select("quote_id", "record_id", place.cast("bigint").alias("place"), line_of(F.col("text"), place).cast("bigint").alias("line"), hits.cast("bigint").alias("n_hits"))
+    found = met.select("quote_id", "record_id", place.cast("bigint").alias("place"), line_of(F.col("text"), place).cast("bigint").alias("line"), hits.cast("bigint").alias("n_hits"))
+    short = wanted.where(few)
+    blocks = -(-int(short.agg(F.sum(F.length("quote"))).first()[0] or 0) // AUTOMATON_CHARS)
+    for k in range(blocks):
+        found = found.union(_walked(texts, short.where(F.pmod(F.xxhash64("quote"), F.lit(blocks)) == k)))
+    return found
+
+
+def _walked(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``quote_places`` of quotes that are few: they reach every task, whose texts are walked once."""
+    import pyarrow as pa
+
+    kinds = dict(quotes.dtypes)["quote_id"], dict(texts.dtypes)["record_id"]
+    by_text: dict[str, list] = {}
+    for row in quotes.collect():
+        by_text.setdefault(row["quote"], []).append(row["quote_id"])
+    wide = texts.sparkSession.sparkContext.broadcast(by_text)
+    types = quotes.schema["quote_id"].dataType, texts.schema["record_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        automaton = ahocorasick.Automaton()
+        for quote in wide.value:
+            automaton.add_word(quote, quote)
+        if wide.value:
+            automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for quote in dict.fromkeys(q for _, q in automaton.iter(text)) if wide.value else ():
+                    place = text.find(quote)
+                    rows += [(i, record, place, text.count("\n", 0, place) + 1, text.count(quote)) for i in wide.value[quote]]
+            arrow = (*(to_arrow_type(t) for t in types), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow)], names=["quote_id", "record_id", "place", "line", "n_hits"])
+
+    return texts.mapInArrow(run, f"quote_id {kinds[0]}, record_id {kinds[1]}, place long, line long, n_hits long")
 
 
 def latest_place(places: DataFrame) -> DataFrame:
