@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, embedding_dedup, language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scan, suffix_dedup, token_output
+from .oracles import ORACLES
 from .store import bounded_batches
 from .tokens import tokenizer_path
 
+__all__ = ["ORACLES", "QUERIES"]
+
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -81,5 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-ORACLES: dict[str, str] = {}
