@@ -28,6 +28,19 @@ def _rejects(rule: str, cutoff: str) -> str:
     return f"coalesce({above} / nullif(CAST({below} AS DOUBLE), 0) {'>' if sign > 0 else '<'} {cutoff}, false)"
 
 
+#: Pairs of hexadecimal signs that are a whole character of UTF-8, or a byte that is none.
+_CHARACTER = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9A-CEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB].|.."
+
+SUFFIX_DEDUP = f"""WITH s AS (SELECT doc_id, text, hex(coalesce(text, '')) AS x, CAST(length(hex(coalesce(text, ''))) // 2 AS BIGINT) AS n FROM documents),
+ p AS (SELECT doc_id, unnest(range(0, n - 399)) AS i, x FROM s WHERE n >= 400), k AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 800)) AS k FROM p), r AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY k) > 1),
+ g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM r), q AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+ sp AS (SELECT doc_id, span, min(i) AS lo, max(i) + 400 AS hi FROM q GROUP BY ALL), nx AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM sp),
+ t AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed, max(hi) AS last, string_agg(substr(s.x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head FROM nx JOIN s USING (doc_id) GROUP BY doc_id),
+ f AS (SELECT s.doc_id, s.text, s.n, n_removed, n_spans, CASE WHEN t.doc_id IS NULL THEN s.x ELSE t.head || substr(s.x, 2 * t.last + 1) END AS kept FROM s LEFT JOIN t ON t.doc_id = s.doc_id)
+ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256,
+  CASE WHEN text IS NULL OR n_removed IS NULL THEN text ELSE decode(unhex(array_to_string(list_filter(regexp_extract_all(kept, '{_CHARACTER}'), lambda c: length(c) > 2 OR c < '8'), ''))) END AS text FROM f"""
+
+
 def quality_rules(tolerated: float = 0.05, delta: float = 0.05) -> str:
     """The counts, the cutoffs whose exact binomial tail allows them, tried from mild to sharp, and the verdict."""
     tests = [(rule, k, c) for rule, (_, _, _, grid) in RULES.items() for k, c in enumerate(reversed(grid))]
@@ -52,4 +65,4 @@ def quality_rules(tolerated: float = 0.05, delta: float = 0.05) -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({verdict}) AS kept FROM b AS m"""
 
 
-ORACLES: dict[str, str] = {"op2_embedding_dedup": EMBEDDING_DEDUP, "op6_ngram_join": NGRAM_JOIN, "op8_quality_rules": quality_rules()}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_embedding_dedup": EMBEDDING_DEDUP, "op6_ngram_join": NGRAM_JOIN, "op8_quality_rules": quality_rules()}
