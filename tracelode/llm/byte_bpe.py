@@ -95,7 +95,7 @@ class ByteBpe:
         pairs = {(a, b): rank for piece, rank in ranks.items() for i in range(1, len(piece)) if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None}
         shifts, table = place_pairs(pairs)
         self.sizes = len(shifts), len(table)
-        self.rank_map = F.struct(_numbers(shifts).alias("shifts"), _numbers(table).alias("table"), _numbers([ranks[bytes([i])] for i in range(256)]).alias("bytes"))
+        self.shifts, self.table, self.byte_ids = _numbers(shifts), _numbers(table), _numbers([ranks[bytes([i])] for i in range(256)])
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")
@@ -137,7 +137,7 @@ class ByteBpe:
 
     def with_map(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """``body`` gets the fold of a word; the rank map is held once."""
-        return _let(self.rank_map, lambda m: body(lambda word: self.fold(word, m["shifts"], m["table"], m["bytes"])))
+        return _let(self.shifts, lambda shifts: _let(self.table, lambda table: _let(self.byte_ids, lambda byte_ids: body(lambda word: self.fold(word, shifts, table, byte_ids)))))
 
     def ids(self, words: Column, ready: tuple[Column, Column] | None = None) -> Column:
         """The ids of a text cut into words; ``ready`` has those of frequent words."""
