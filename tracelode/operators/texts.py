@@ -31,6 +31,7 @@ def segments(records: DataFrame, key: str, text: str, most: int = SEGMENT_CHARS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for i, whole in enumerate(batch.column(1).to_pylist()):
                 if whole is None:
                     continue
@@ -40,8 +41,9 @@ def segments(records: DataFrame, key: str, text: str, most: int = SEGMENT_CHARS)
                     feed = whole.rfind("\n", low + most // 2, high) if high < len(whole) else -1
                     bounds.append(feed + 1 if feed > low else high)
                 bounds = bounds if len(bounds) > 1 else [0, 0]
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([batch.column(0).slice(i, 1)] * n), pa.array(range(1, n + 1), pa.int64()), pa.array([n] * n, pa.int64()), pa.array(bounds[:-1], pa.int64()), pa.array(bounds[1:], pa.int64()), pa.array([whole[a:b] for a, b in zip(bounds, bounds[1:])], pa.string())], names=["key", "n", "n_segments", "start", "end", "content"])
+                rows += [(i, k, len(bounds) - 1, a, b, whole[a:b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:]), 1)]
+            numbers = [pa.array([r[c] for r in rows], pa.int64()) for c in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(numbers[0]), *numbers[1:], pa.array([r[5] for r in rows], pa.string())], names=["key", "n", "n_segments", "start", "end", "content"])
 
     return chosen.mapInArrow(run, f"key {kind}, n long, n_segments long, start long, end long, content string").withColumnRenamed("key", key)
 
