@@ -65,4 +65,19 @@ def quality_rules(tolerated: float = 0.05, delta: float = 0.05) -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({verdict}) AS kept FROM b AS m"""
 
 
-ORACLES: dict[str, str] = {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_embedding_dedup": EMBEDDING_DEDUP, "op6_ngram_join": NGRAM_JOIN, "op8_quality_rules": quality_rules()}
+FILL_IN_MIDDLE = """WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS g FROM documents),
+ h AS (SELECT *, CAST(len(x) AS BIGINT) AS n, CAST('0x' || substr(g, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(g, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(g, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(g, 25, 8) AS BIGINT) AS h4 FROM u),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi FROM h),
+ p AS (SELECT doc_id, n, t, array_to_string(x[1:lo], '') AS p, array_to_string(x[lo + 1:hi], '') AS m, array_to_string(x[hi + 1:n], '') AS s, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+URL_FILTER = r"""WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+ a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
+ d AS (SELECT DISTINCT host, path FROM u),
+ b AS (SELECT d.host, d.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict FROM d JOIN r ON (d.host = r.host OR suffix(d.host, '.' || r.host)) AND starts_with(d.path, r.path) GROUP BY ALL)
+ SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM u LEFT JOIN b USING (host, path)"""
+
+
+ORACLES: dict[str, str] = {"op1_suffix_dedup": SUFFIX_DEDUP, "op2_embedding_dedup": EMBEDDING_DEDUP, "op6_ngram_join": NGRAM_JOIN, "op8_quality_rules": quality_rules(), "op11_fill_in_middle": FILL_IN_MIDDLE, "op13_url_filter": URL_FILTER}
