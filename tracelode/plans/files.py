@@ -12,7 +12,7 @@ from ..sources.store import shared_dir
 from .bindings import table
 from .registry import query
 
-_MASKED = r"""regexp_replace(text, '(token = ")[0-9a-f]{40}"', '\1[secret hidden]"', 'g')"""
+MASKED = r"""regexp_replace(text, '(token = ")[0-9a-f]{40}"', '\1[secret hidden]"', 'g')"""
 
 
 def _as_files(lines: DataFrame, key: str, order: list[str]) -> str:
@@ -36,7 +36,7 @@ def _claude(spark, sf_dir) -> DataFrame:
     return transcripts.claude_records(transcripts.read_lines(spark, _as_files(lines, "file", ["conv_id", "turn"])))
 
 
-@query("src07_claude_records", f"SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id || '-' || turn || ':0' AS native_id, role, sha256({_MASKED}) AS content_hash FROM conversations WHERE role IN ('user', 'assistant')")
+@query("src07_claude_records", f"SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id || '-' || turn || ':0' AS native_id, role, sha256({MASKED}) AS content_hash FROM conversations WHERE role IN ('user', 'assistant')")
 def claude_records(spark, sf_dir):
     return _claude(spark, sf_dir).select("session_id", "native_id", "role", "content_hash")
 
@@ -49,7 +49,7 @@ def _codex(spark, sf_dir) -> DataFrame:
     return transcripts.codex_records(transcripts.read_lines(spark, _as_files(said.unionByName(meta), "file", ["turn"])))
 
 
-@query("src06_codex_records", f"SELECT 'c' || conv_id AS session_id, conv_id || '-' || turn AS native_id, CASE role WHEN 'system' THEN 'metadata' ELSE role END AS role, sha256({_MASKED}) AS content_hash, '/w' AS cwd FROM conversations")
+@query("src06_codex_records", f"SELECT 'c' || conv_id AS session_id, conv_id || '-' || turn AS native_id, CASE role WHEN 'system' THEN 'metadata' ELSE role END AS role, sha256({MASKED}) AS content_hash, '/w' AS cwd FROM conversations")
 def codex_records(spark, sf_dir):
     return _codex(spark, sf_dir).select("session_id", "native_id", "role", "content_hash", "cwd")
 

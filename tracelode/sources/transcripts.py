@@ -94,7 +94,7 @@ def row_types(lines: DataFrame) -> DataFrame:
     return lines.select(kind.alias("type")).groupBy("type").agg(F.count("*").alias("n")).withColumn("bucket", F.when(F.col("type").isin("corrupt", "too long"), "unreadable").otherwise(triage(F.col("type"), IGNORED, KNOWN)))
 
 
-def _plain_text(content: Column) -> Column:
+def plain_text(content: Column) -> Column:
     """The text of a message: a string, or the texts of its blocks."""
     blocks = F.from_json(content, BLOCKS)
     return F.when(content.startswith("["), F.array_join(F.transform(F.filter(blocks, lambda b: b["text"].isNotNull()), lambda b: b["text"]), "\n")).otherwise(content)
@@ -121,7 +121,7 @@ def codex_records(lines: DataFrame) -> DataFrame:
     call, result = kind.isin("function_call", "custom_tool_call", "tool_search_call", "web_search_call"), kind.isin("function_call_output", "custom_tool_call_output", "tool_search_output")
     role = F.when(kind == "message", F.col("payload.role")).when(call, "tool_call").when(result, "tool_result")
     body = F.coalesce("payload.arguments", "payload.input", F.lit(""))
-    content = F.when(kind == "message", _plain_text(F.col("payload.content"))).when(call, F.concat(F.lit("Tool: "), F.coalesce("payload.name", kind), F.lit("\n"), body)).otherwise(F.col("payload.output"))
+    content = F.when(kind == "message", plain_text(F.col("payload.content"))).when(call, F.concat(F.lit("Tool: "), F.coalesce("payload.name", kind), F.lit("\n"), body)).otherwise(F.col("payload.output"))
     items = held.where("type = 'response_item'").withColumn("role", role).where("role IS NOT NULL").join(session, "file", "left")
     return _finish(items.select("file", "n", "session_id", "role", content.alias("content"), F.coalesce("payload.id", F.concat(F.lit("line:"), F.col("n").cast("string"))).alias("native_id"), F.col("timestamp").alias("recorded_at"), "cwd", F.col("payload.call_id").alias("call_id"), "model"), "codex")
 
@@ -134,7 +134,7 @@ def claude_records(lines: DataFrame) -> DataFrame:
     blocks = F.when(content.startswith("["), F.from_json(content, BLOCKS)).otherwise(F.array(F.struct(F.lit("text").alias("type"), content.alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("name", "string"), ("input", "string"), ("tool_use_id", "string"), ("content", "string"), ("is_error", "boolean"))])))
     each = rows.select("*", F.posexplode(blocks).alias("k", "b")).where(F.col("b.type").isin("text", "tool_use", "tool_result"))
     role = F.when(F.col("b.type") == "tool_use", "tool_call").when(F.col("b.type") == "tool_result", "tool_result").when(F.coalesce("isCompactSummary", F.lit(False)), "metadata").otherwise(F.col("type"))
-    text = F.when(F.col("b.type") == "tool_use", F.concat(F.lit("Tool: "), F.col("b.name"), F.lit("\n"), F.coalesce("b.input", F.lit("{}")))).when(F.col("b.type") == "tool_result", _plain_text(F.col("b.content"))).otherwise(F.col("b.text"))
+    text = F.when(F.col("b.type") == "tool_use", F.concat(F.lit("Tool: "), F.col("b.name"), F.lit("\n"), F.coalesce("b.input", F.lit("{}")))).when(F.col("b.type") == "tool_result", plain_text(F.col("b.content"))).otherwise(F.col("b.text"))
     native = F.concat(F.coalesce("uuid", F.concat(F.lit("line:"), F.col("n").cast("string"))), F.lit(":"), F.col("k").cast("string"))
     made = each.select("file", "n", F.col("sessionId").alias("session_id"), role.alias("role"), text.alias("content"), native.alias("native_id"), F.col("timestamp").alias("recorded_at"), F.col("held_cwd").alias("cwd"), F.coalesce("b.id", "b.tool_use_id").alias("call_id"), F.col("message.model").alias("model"))
     return _finish(made, "claude")
