@@ -27,7 +27,12 @@ def running_count(rows: DataFrame, keys: list[str], order: list[str], hit: Colum
     rows with null keys form a sequence of their own; ties of ``order`` make
     the result depend on the partitioning, so ``order`` should be total.
     """
-    marked = rows.withColumn("__block", block).withColumn("__hit", F.coalesce(hit, F.lit(False)).cast("bigint"))
+    return running_sum(rows, keys, order, F.coalesce(hit, F.lit(False)).cast("bigint"), name, block)
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str, block: Column) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` up to and with this one, as ``running_count`` counts."""
+    marked = rows.withColumn("__block", block).withColumn("__hit", value)
     inside = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = marked.groupBy(*keys, "__block").agg(F.sum("__hit").alias("__sum"))
     ahead = sums.withColumn("__ahead", F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__sum")

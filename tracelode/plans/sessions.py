@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import one_line
 from ..functions.times import ago, epoch_ms_to_iso, instant
-from ..operators import records as rules
+from ..operators import ordered, records as rules
 from ..operators import steps as ops
 from ..operators import turns
 from .bindings import RECORDS, STEPS, records, steps, table
@@ -174,6 +174,38 @@ def unit_packing(spark, sf_dir):
     return budget_units(rows.select("session_id", "part", F.col("id").alias("pos"), (F.col("value") * 100).cast("bigint").alias("chars")), 20_000, 5)
 
 
+@query("win10_best_cut_units", """WITH RECURSIVE e AS (SELECT event_id AS pos, user_id AS session_id, ts, event_type AS ty, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(trunc(value * 100) AS BIGINT) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+ c AS (SELECT *, last_value(CASE WHEN ty = 'click' THEN i END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY i) AS click FROM e),
+ t AS (SELECT session_id, click, max(i) AS till FROM c WHERE ty IN ('purchase', 'error') AND k % 2 = 0 AND click IS NOT NULL GROUP BY 1, 2),
+ b AS (SELECT *, lag(ty) OVER w AS bty, lag(k) OVER w AS bk, lag(ts) OVER w AS bts, lag(click) OVER w AS held, CAST(sum(cost) OVER w - cost AS BIGINT) AS total FROM c WINDOW w AS (PARTITION BY session_id ORDER BY i)),
+ s AS (SELECT b.*, i > 0 AND coalesce(t.till, -1) < i AS safe FROM b LEFT JOIN t ON t.session_id = b.session_id AND t.click = b.held),
+ f AS (SELECT session_id, i, total, safe, safe AND ((ty = 'view' AND k % 20 = 0) OR epoch_us(ts) - epoch_us(bts) >= 10800000000 OR (epoch_us(ts) - epoch_us(bts) >= 3600000000 AND CAST(ts AS DATE) <> CAST(bts AS DATE))) AS natural_, safe AND ty = 'signup' AS turn_,
+   safe AND bty IN ('purchase', 'error') AND bk % 3 < 2 AS result_, safe AND bty = 'purchase' AND bk % 3 = 0 AS commit_ FROM s
+  UNION ALL SELECT session_id, max(i) + 1, CAST(sum(cost) AS BIGINT), false, false, false, false, false FROM e GROUP BY 1),
+ n AS (SELECT session_id, max(i) AS n FROM f GROUP BY 1),
+ m AS (SELECT a.session_id, a.i, a.total, max(z.i) FILTER (WHERE z.total - a.total <= 20000 AND (3 * (z.total - a.total)) // 2 + 500 * (z.i - a.i) + 30000 <= 61000) AS most FROM f a JOIN n ON n.session_id = a.session_id AND a.i < n.n JOIN f z ON z.session_id = a.session_id AND z.i > a.i AND z.i <= a.i + 12 GROUP BY 1, 2, 3),
+ l AS (SELECT session_id, i, total, greatest(i + 1, coalesce(most, 0)) AS lim FROM m),
+ w AS (SELECT l.*, f.total - l.total AS span FROM l JOIN f ON f.session_id = l.session_id AND f.i = l.lim),
+ p AS (SELECT w.session_id, w.i, w.lim, min(z.i) FILTER (WHERE z.natural_) AS na, max(z.i) FILTER (WHERE z.commit_ AND 5 * (z.total - w.total) >= 2 * span) AS co, max(z.i) FILTER (WHERE z.turn_ AND 5 * (z.total - w.total) >= 2 * span) AS tu, max(z.i) FILTER (WHERE z.result_ AND 5 * (z.total - w.total) >= 2 * span) AS re, max(z.i) FILTER (WHERE z.safe) AS sa
+  FROM w JOIN f z ON z.session_id = w.session_id AND z.i > w.i AND z.i <= w.lim GROUP BY 1, 2, 3),
+ x AS (SELECT p.session_id, p.i, CASE WHEN na IS NOT NULL THEN na WHEN lim = n.n THEN lim ELSE coalesce(co, tu, re, sa, lim) END AS till,
+  CASE WHEN na IS NOT NULL THEN 'natural' WHEN lim = n.n THEN 'end' WHEN co IS NOT NULL THEN 'commit' WHEN tu IS NOT NULL THEN 'turn' WHEN re IS NOT NULL THEN 'result' WHEN sa IS NOT NULL THEN 'safe' ELSE 'limit' END AS why FROM p JOIN n USING (session_id)),
+ u AS (SELECT session_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS unit, '' AS why FROM n UNION ALL SELECT u.session_id, x.till, u.unit + 1, x.why FROM u JOIN x ON x.session_id = u.session_id AND x.i = u.i)
+ SELECT e.session_id, e.pos, u.unit, u.i = e.i AS begun, CASE WHEN u.i = e.i THEN u.why END AS why FROM e JOIN u ON u.session_id = e.session_id AND u.i <= e.i QUALIFY row_number() OVER (PARTITION BY e.session_id, e.pos ORDER BY u.i DESC) = 1""")
+def best_cut_units(spark, sf_dir):
+    """Clicks call tools, purchases and errors are results, of which every second belongs to the last click, sign-ups are prompts."""
+    from ..operators import unit_cuts
+
+    k, kind = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("pos"), F.col("ts").alias("at"), "event_type", k.alias("k"), (F.col("value") * 100).cast("bigint").alias("cost"))
+    rows = ordered.last_before(rows, ["session_id"], ["pos"], F.when(kind == "click", F.col("pos")), "click", ordered.block_of(F.col("pos")))
+    result = kind.isin("purchase", "error")
+    hint = F.when(F.col("k") % 3 == 0, "commit").when(F.col("k") % 3 == 1, "test").otherwise("read")
+    links = F.array(F.when((kind == "click") | (result & (F.col("k") % 2 == 0)), F.col("click").cast("string")))
+    records = rows.select("session_id", "pos", F.when(kind == "click", "tool_call").when(result, "tool_result").when(kind == "signup", "user").otherwise("assistant").alias("role"), "at", "cost", links.alias("links"), (kind == "signup").alias("prompt"), ((kind == "view") & (F.col("k") % 20 == 0)).alias("compaction"), F.when(result, hint).alias("hint"), (kind == "error").alias("failed"))
+    return unit_cuts.best_units(unit_cuts.boundaries(records), unit_cuts.Limits(records=12, chars=20_000, payload=61_000))
+
+
 @query("dt01_iso_instants", "SELECT event_id, epoch_us(ts) AS micros FROM events")
 def iso_instants(spark, sf_dir):
     text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(F.col("event_id") % 2 == 0, "Z").otherwise("+00:00"))
