@@ -243,6 +243,32 @@ def quote_resolution(spark, sf_dir):
     return resolved.select("quote_id", "mode")
 
 
+#: A quote made of every text and its id, planted below the whole text in one of sixteen ways; lines of the text before it are counted.
+_PLANTED = r"""b AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 16 AS way, '[' || doc_id || '] ' || substr(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), 1, 60) || ' stands here' AS q, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 2 AS n FROM documents)"""
+
+
+@query("strf07_quote_views", f"""WITH {_PLANTED} SELECT doc_id AS quote_id, CASE way WHEN 0 THEN 'inside' WHEN 1 THEN 'same lines' WHEN 2 THEN 'diff hunk' WHEN 3 THEN 'close repeats' WHEN 4 THEN 'refused: several' WHEN 5 THEN 'decoded inside' WHEN 6 THEN 'unescaped inside' WHEN 7 THEN 'white space' WHEN 8 THEN 'ellipsis'
+  WHEN 9 THEN 'tail' WHEN 10 THEN 'refused: not found' WHEN 11 THEN 'short' WHEN 12 THEN 'refused: short' WHEN 13 THEN 'decoded diff hunk' WHEN 14 THEN 'decoded same lines' ELSE 'unescaped close repeats' END AS mode,
+ CASE WHEN way IN (4, 10, 12) THEN NULL ELSE n END AS first_line, CASE WHEN way IN (4, 10, 12) THEN NULL WHEN way IN (2, 13, 15) THEN n + 1 WHEN way IN (3, 8) THEN n + 2 ELSE n END AS last_line, CAST(CASE WHEN way = 10 THEN 0 WHEN way IN (1, 2, 3, 4, 8, 12, 13, 14, 15) THEN 2 ELSE 1 END AS BIGINT) AS n_hits FROM b""")
+def quote_views_query(spark, sf_dir):
+    from ..operators import quote_views
+
+    text, way = F.coalesce("text", F.lit("")), F.col("doc_id") % 16
+    name = F.concat(F.lit("["), F.col("doc_id").cast("string"), F.lit("] "))
+    q = F.concat(name, F.substring(F.regexp_replace(text, "[^A-Za-z0-9]+", " "), 1, 60), F.lit(" stands here"))
+    cat, said = F.concat, cat_quoted(q, '"')
+    hidden, short = cat_quoted(q, '\\"'), cat(F.lit("§"), F.col("doc_id") % 100, F.lit("§"))
+    below = [cat(F.lit("before "), q, F.lit(" after")), cat(q, F.lit(" and "), q), cat(F.lit("-"), q, F.lit("\n+"), q), cat(q, F.lit("\nbetween\n"), q), cat(q, F.lit("\nx\ny\nz\n"), q), hidden, said, q, cat(q, F.lit("\nskipped\nlast words of it")), q, F.lit("nothing"), cat(F.lit("a "), short, F.lit(" b")), cat(short, F.lit(" "), short), cat(F.lit("-"), hidden, F.lit("\n+"), hidden), cat(hidden, F.lit(" "), hidden), cat(said, F.lit("\n"), said)]
+    asked = [q] * 5 + [said, hidden, F.replace(q, F.lit(" "), F.lit("  ")), cat(q, F.lit(" ... last words of it")), cat(q, F.lit(" more")), F.lit("words that stand nowhere at all"), short, short, said, said, hidden]
+    pick = lambda cases: F.get(F.array(*cases), way.cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("region_id"), pick(asked).alias("quote"), F.lit(True).alias("close"), cat(text, F.lit("\n"), pick(below)).alias("text"))
+    return quote_views.resolve_in_regions(rows.select("quote_id", "region_id", "quote", "close"), rows.select("region_id", "text")).drop("spans")
+
+
+def cat_quoted(q, mark: str):
+    return F.concat(F.lit(f"say {mark}"), q, F.lit(f"{mark} now"))
+
+
 @query("udf01_model_claims", "SELECT CASE role WHEN 'user' THEN 'question' ELSE 'outcome' END AS kind, count(*) AS n FROM conversations GROUP BY 1")
 def model_claims(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("unit_id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("lines"))
