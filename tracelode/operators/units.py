@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from . import ordered
+from .texts import quote_places
 
 
 def chosen_providers(rows: DataFrame, text: str, known: tuple[str, ...], column: str = "provider") -> DataFrame:
@@ -38,13 +40,15 @@ def fixture_problems(records: DataFrame, roles: tuple[str, ...], least: int = 1,
 def session_with_quotes(records: DataFrame, quotes: DataFrame, candidates: DataFrame) -> DataFrame:
     """session_id of the first candidate (session_id, rank) each of whose wanted quotes (quote) stands in one of its records (session_id, content).
 
-    The quotes of one question are few; their rows meet the candidates' records
-    only, which are selected before any text is searched.
+    All quotes count, however many; they are looked for in the candidates'
+    records only, which are selected before any text is searched.
     """
-    wanted = [r["quote"] for r in quotes.select("quote").distinct().limit(1000).collect()]
+    wanted = written(quotes.where("length(quote) > 0").select(F.sha2("quote", 256).alias("quote_id"), "quote").distinct(), "wanted-quotes")
     own = records.join(candidates.select("session_id").distinct(), "session_id", "left_semi")
-    holds = own.groupBy("session_id").agg(*[F.bool_or(F.col("content").contains(q)).alias(f"q{i}") for i, q in enumerate(wanted)], F.lit(True).alias("any"))
-    full = holds.where(" AND ".join(f"q{i}" for i in range(len(wanted))) or "any")
+    places = quote_places(own.select(F.col("session_id").alias("record_id"), F.col("content").alias("text")), wanted)
+    held = places.groupBy(F.col("record_id").alias("session_id")).agg(F.count_distinct("quote_id").alias("n"))
+    many = wanted.count()
+    full = held.where(F.col("n") == many) if many else own.select("session_id").distinct()
     return candidates.join(full, "session_id", "left_semi").orderBy("rank", "session_id").limit(1).select("session_id")
 
 
