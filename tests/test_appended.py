@@ -87,18 +87,6 @@ def test_appended_equals_whole(spark, tmp_path, monkeypatch):
     assert appended.read_appended(spark, str(tmp_path / "none"))[0].count() == 0
 
 
-def test_compressed_files(spark, tmp_path):
-    import zstandard
-
-    body = b"".join(b'{"n": %d}\n' % i for i in range(5000)) + b"half"
-    (tmp_path / "a.jsonl.zst").write_bytes(zstandard.ZstdCompressor().compress(body[:20_000]) + zstandard.ZstdCompressor().compress(body[20_000:]))
-    (tmp_path / "cut.jsonl.zst").write_bytes((tmp_path / "a.jsonl.zst").read_bytes()[:-300])
-    rows = appended.read_zstd(spark, f"file://{tmp_path}").collect()
-    assert [r["line"] for r in sorted((r for r in rows if r["file"].endswith("/a.jsonl.zst")), key=lambda r: r["n"])] == ['{"n": %d}' % i for i in range(5000)]
-    cut = [r["line"] for r in sorted((r for r in rows if "cut" in r["file"]), key=lambda r: r["n"])]
-    assert cut == ['{"n": %d}' % i for i in range(len(cut))] and len(cut) < 5000
-
-
 def test_git_commits(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
     run("init", "-q")

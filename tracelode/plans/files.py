@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import transcripts, versions
+from ..sources import appended, listing, transcripts, versions
 from ..sources.store import shared_dir
 from .bindings import table
 from .registry import query
@@ -29,6 +29,61 @@ def line_numbers(spark, sf_dir):
     return lines.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("doc_id"), "n", F.sha2(F.get_json_object("line", "$.text"), 256).alias("text_hash"))
 
 
+def _as_frames(lines: DataFrame, most: int = 1 << 16) -> str:
+    """Writes ``lines`` (line) as zstandard files, one for each partition, in frames of ``most`` bytes that end anywhere in a line; returns the folder."""
+    import io
+
+    import pyarrow as pa
+    import zstandard
+    from pyspark import TaskContext
+
+    from ..sources.tail import _opened
+
+    folder = f"{shared_dir(lines.sparkSession)}/zstd-{uuid.uuid4().hex}"
+    _opened(folder)[0].create_dir(_opened(folder)[1], recursive=True)
+
+    def run(batches):
+        source, top = _opened(folder)
+        task = TaskContext.get()
+        name, part = f"{top}/{task.partitionId()}.jsonl.zst", f"{top}/_{task.partitionId()}-{task.attemptNumber()}"
+        with source.open_output_stream(part) as out:
+            held, packer = io.BytesIO(), zstandard.ZstdCompressor()
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    held.write(line.encode() + b"\n")
+                    while held.tell() >= most:
+                        data = held.getvalue()
+                        out.write(packer.compress(data[:most]))
+                        held = io.BytesIO()
+                        held.write(data[most:])
+            out.write(packer.compress(held.getvalue()))
+        source.move(part, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+    lines.select("line").mapInArrow(run, "file string").count()
+    return folder
+
+
+@query("src03_zstd_lines", "SELECT doc_id, sha256(text) AS text_hash FROM documents WHERE text IS NOT NULL")
+def zstd_lines(spark, sf_dir):
+    """All documents as zstandard files of many frames, read back frame by frame; none is refused."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.to_json(F.struct("doc_id", "text")).alias("line"))
+    lines, refused = appended.read_zstd(spark, _as_frames(docs))
+    if not refused.isEmpty():
+        raise AssertionError("a file that was just written is refused")
+    return lines.select(F.get_json_object("line", "$.doc_id").cast("bigint").alias("doc_id"), F.sha2(F.get_json_object("line", "$.text"), 256).alias("text_hash"))
+
+
+@query("src04_listing", "SELECT 'lang=' || lang || '/source=' || source AS folder, CAST(1 AS BIGINT) AS n_files, true AS filled FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source")
+def listed_files(spark, sf_dir):
+    """All documents as text files in folders of folders, which are then walked."""
+    top = f"{shared_dir(spark)}/listed-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
+    docs.select("lang", "source", F.regexp_replace("text", "\n", " ").alias("line")).repartition("lang", "source").write.partitionBy("lang", "source").text(top)
+    found = listing.transcripts(listing.walk(spark, top), ".txt")
+    return found.groupBy(F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n_files"), F.min(F.col("size") > 0).alias("filled"))
+
+
 def _claude(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     row = F.struct(F.col("role").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.col("conv_id").cast("string").alias("sessionId"), F.struct(F.col("text").alias("content")).alias("message"))

@@ -12,7 +12,6 @@ stores are read whole by ``transcripts.read_lines``.
 
 from __future__ import annotations
 
-import glob
 import hashlib
 import json
 import os
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators import ordered
+from . import frames, listing
 
 #: Fixed value: bytes of an edge. And bytes of one range.
 EDGE, RANGE = 4096, 32 << 20
@@ -98,13 +98,13 @@ def _complete_end(path: str, start: int, size: int) -> int:
 def read_appended(spark: SparkSession, folder: str, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, state): the finished lines (file, n, offset, line) that ``state`` (STATE) has not seen, and the state after them.
 
-    The listing and the states of its files pass through the driver (a row for
-    each file); bytes of lines do not. Files that are gone are left out of the
+    The states of the files pass through the driver (a row for each file); the
+    listing is made on the executors, and bytes of lines stay there. Files that are gone are left out of the
     state; what cannot be read on is read whole, from line 1.
     """
     spark.dataSource.register(AppendedLines)
     top = folder.removeprefix("file://")
-    files = sorted(p for p in glob.glob(f"{top}/**/*", recursive=True) if os.path.isfile(p) and not os.path.islink(p))
+    files = sorted(r["path"] for r in listing.walk(spark, top).where("kind = 'file'").select("path").collect())
     known = {r["file"]: r for r in state.collect()} if state is not None else {}
     ranges, after, base = [], [], {}
     for path in files:
@@ -125,52 +125,7 @@ def read_appended(spark: SparkSession, folder: str, state: DataFrame | None = No
     return lines, states.select("file", F.coalesce("__last", "lines").alias("lines"), "end", "head", "tail")
 
 
-class ZstdLines(DataSource):
-    """``spark.read.format("zstd_lines").option("files", json)``: each file is a partition, decompressed as a stream."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "zstd_lines"
-
-    def schema(self) -> str:
-        return "file string, n long, offset long, line string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _ZstdReader(json.loads(self.options["files"]))
-
-
-class _ZstdReader(DataSourceReader):
-    def __init__(self, files: list[str]):
-        self.files = files
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(x) for x in self.files or [""]]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import zstandard
-
-        if not partition.value:
-            return
-        with open(partition.value, "rb") as stream:
-            reader = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
-            held, n, at, damaged = b"", 0, 0, False
-            while not damaged:
-                try:
-                    piece = reader.read(1 << 20)
-                except zstandard.ZstdError:  # cut off or damaged: what came before stands
-                    piece, damaged = b"", True
-                if not piece:
-                    return
-                *lines, held = (held + piece).split(b"\n")
-                for line in lines:
-                    n += 1
-                    if line.strip():
-                        yield partition.value, n, at, line.removesuffix(b"\r").decode("utf-8", "replace")
-                    at += len(line) + 1
-
-
-def read_zstd(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, n, offset, line): finished lines of the ``.zst`` files below a folder; of one that is cut off or damaged, those before. A compressed file cannot be split and is one task, which holds a megabyte and a line."""
-    spark.dataSource.register(ZstdLines)
-    files = sorted(glob.glob(f"{folder.removeprefix('file://')}/**/*.zst", recursive=True))
-    return spark.read.format("zstd_lines").schema("file string, n long, offset long, line string").option("files", json.dumps(files)).load()
+def read_zstd(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, refused) of the ``.zst`` files below a folder, frame by frame (``frames.read_frames``); links are not read."""
+    found = listing.walk(spark, folder).where("kind = 'file'").where(F.col("path").endswith(".zst"))
+    return frames.read_frames(spark, found.select(F.col("path").alias("file")))
