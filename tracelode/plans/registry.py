@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import claims, evidence, files, graph, ledger, linking, sessions, streams, texts, units, work  # noqa: F401  they register themselves
+    from . import claims, evidence, files, graph, ledger, linking, outputs, sessions, streams, texts, units, work  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
