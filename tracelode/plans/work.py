@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -23,62 +25,103 @@ def _choose(column, cases: dict[int, str], last: str):
     return out
 
 
-#: Shell lines by event_id % 12.
-_LINES = {
-    0: "echo hi > /proj/out.txt", 1: "echo hi > /dev/null", 2: "grep -r '> x' src", 3: "S=/tmp/x; cp a $S/b", 4: "cp a b", 5: "sed -i 's/a/b/' /proj/f", 6: "python -c \"open('x').write_text('y')\"",
-    7: "ls 2>&1", 8: "touch /tmp/a /proj/b", 9: "cat <<'EOF' > /tmp/x; rm /proj/y; EOF", 10: "git apply p.diff", 11: "rm ~/old",
-}
+def _worded(spark, sf_dir):
+    """Documents with three of their words, which the lines below are made of."""
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{2,}"), F.lit(0))
+    word = lambda k, last: F.coalesce(F.get(found, F.lit(k)), F.lit(last))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("n"), word(0, "one").alias("a"), word(1, "two").alias("b"), word(2, "three").alias("c"))
 
 
-@query("prj10_writes_files", "SELECT event_id AS id, event_id % 12 NOT IN (1, 2, 6, 7) AS writes, event_id % 12 IN (0, 4, 5, 8, 10) AS writes_inside FROM events")
-def writes_files(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _choose(F.col("event_id") % 12, _LINES, "").alias("line"))
-    return rows.select("id", work.writes_files(F.col("line")).alias("writes"), work.writes_files(F.col("line"), work.below("/proj")).alias("writes_inside"))
+_WORDED = """d AS (SELECT doc_id AS id, doc_id AS n, regexp_extract_all(coalesce(text, ''), '[A-Za-z]{2,}') AS w FROM documents),
+ d3 AS (SELECT id, n, coalesce(w[1], 'one') AS a, coalesce(w[2], 'two') AS b, coalesce(w[3], 'three') AS c FROM d)"""
 
 
-#: Tool calls by event_id % 8.
-_CALLS = {
-    0: 'Tool: Edit\n{"file_path": "/proj/a.py"}', 1: 'Tool: Edit\n{"file_path": "/tmp/a.py"}', 2: 'Tool: Bash\n{"command": "pytest -q"}', 3: 'Tool: Bash\n{"command": "ls -l"}', 4: 'Tool: Bash\n{"command": "git fetch origin"}',
-    5: 'Tool: Bash\n{"command": "git fetch origin main:main"}', 6: 'Tool: Bash\n{"command": "git commit -m x"}', 7: 'Tool: Bash\n{"command": "touch /tmp/x"}',
-}
+def _filled(template: str):
+    """A template with {a}, {b}, {c} and {n} as a column."""
+    parts = [x for x in re.split(r"(\{[abcn]\})", template) if x]
+    return F.concat(*[F.col(x[1]).cast("string") if re.fullmatch(r"\{[abcn]\}", x) else F.lit(x) for x in parts], F.lit(""))
 
 
-@query("prj11_unnoted_work", "WITH n AS (SELECT user_id, median(epoch_us(ts)) AS m FROM events GROUP BY 1), s AS (SELECT user_id, max(epoch_us(ts)) FILTER (event_type = 'signup') AS since FROM events GROUP BY 1) SELECT event_id AS call_id FROM events JOIN s USING (user_id) WHERE (since IS NULL OR epoch_us(ts) > since) AND event_id % 8 IN (0, 2, 5, 6) AND event_id % 7 <> 0")
-def unnoted_work(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    calls = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"), F.col("ts").alias("at"), _choose(F.col("event_id") % 8, _CALLS, "").alias("content"))
-    since = events.groupBy(F.col("user_id").alias("session_id")).agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("since"))
-    notes = events.where(F.col("event_id") % 7 == 0).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"))
-    return work.unnoted_work(calls, notes, since, work.below("/proj")).select("call_id")
+def _sql(template: str) -> str:
+    parts = [x for x in re.split(r"(\{[abcn]\})", template) if x]
+    return " || ".join([x[1] if re.fullmatch(r"\{[abcn]\}", x) else "'" + x.replace("'", "''") + "'" for x in parts] or ["''"])
+
+
+def _cases(templates: list[str]):
+    return F.get(F.array(*map(_filled, templates)), (F.col("n") % len(templates)).cast("int"))
+
 
+def _sql_cases(values: list[str]) -> str:
+    return f"CASE n % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+#: Shell lines of a document's words: the line, whether it writes, and whether inside of /proj.
+_LINES = [
+    ("echo {a} > /proj/{b}.txt", True, True), ("echo {a} {b} > /dev/null", False, False), ("grep -r '> {a}' src/{b}", False, False), ("S=/tmp/{a}; cp {b} $S/{c}", True, False), ("cp {a} {b}", True, True), ("sed -i 's/{a}/{b}/' /proj/{c}", True, True), ("python -c \"open('{a}').write_text('{b}')\"", False, False),
+    ("ls {a} 2>&1", False, False), ("touch /tmp/{a} /proj/{b}", True, True), ("cat <<'EOF' > /tmp/{a}; rm /proj/{b}; EOF", True, False), ("git apply {a}.diff", True, True), ("rm ~/{a}", True, False), ("{a}x --to /proj/{b}; mv /proj/{c} /tmp/{n}", True, False), ("P=/proj/{a}; mkdir -p $P/{n} && ls $P", True, True),
+]
+
+
+@query("prj10_writes_files", f"WITH {_WORDED} SELECT id, {_sql_cases([str(x[1]) for x in _LINES])} AS writes, {_sql_cases([str(x[2]) for x in _LINES])} AS writes_inside FROM d3")
+def writes_files(spark, sf_dir):
+    rows = _worded(spark, sf_dir).select("id", _cases([x[0] for x in _LINES]).alias("line"))
+    return rows.select("id", work.writes_files(F.col("line")).alias("writes"), work.writes_files(F.col("line"), work.below("/proj")).alias("writes_inside"))
 
-@query("prj06_command_split", "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'cd a|pytest -q' WHEN 1 THEN 'git status|grep x' WHEN 2 THEN 'cat > f|ls' ELSE 'pytest x' END AS parts FROM events")
+
+#: Shell lines of a document's words, and the commands they are cut into.
+_SPLITS = [
+    ("cd src/{a} && FOO={b} uv run pytest -q tests/{c}.py", "cd src/{a}|pytest -q tests/{c}.py"), ("sudo git status | grep {a}{b}", "git status|grep {a}{b}"), ("cat > {a}{n} <<'EOF'; rm -rf {b}; EOF; ls {c}{n}", "cat > {a}{n}|ls {c}{n}"), ("timeout 5 docker compose run --rm {a} bash -c 'pytest {b}{n}", "pytest {b}{n}"), ("({a}{n} || npx jest {b}{n});  X={c} Y=1 make {a}{n}", "{a}{n}|jest {b}{n})|make {a}{n}"),
+]
+
+
+@query("prj06_command_split", f"WITH {_WORDED} SELECT id, {_sql_cases([_sql(x[1]) for x in _SPLITS])} AS parts FROM d3")
 def command_split(spark, sf_dir):
-    lines = {0: "cd a && FOO=1 uv run pytest -q", 1: "sudo git status | grep x", 2: "cat > f <<'EOF'; rm -rf x; EOF; ls", 3: "timeout 5 docker compose run --rm web bash -c 'pytest x"}
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _choose(F.col("event_id") % 4, lines, "").alias("line"))
+    rows = _worded(spark, sf_dir).select("id", _cases([x[0] for x in _SPLITS]).alias("line"))
     return rows.select("id", F.array_join(rec.commands(F.col("line")), "|").alias("parts"))
 
 
-#: Commands with their kind.
-_KINDS = (
-    ("cargo +nightly test", "test"), ("make -j4 lint", "test"), ("./gradlew --info check", "test"), ("npm t", "test"), ("node --test x", "test"), ("mvn -q verify", "test"), ("git branch -r", None), ("git branch --merged", None), ("git branch new", "vcs"),
-    ("git tag -n5", None), ("git push --dry-run", None), ("git stash list", None), ("git stash", "vcs"), ("git -C x commit -m a", "commit"), ("git branch --sort=name", None), ("git branch -d x", "vcs"), ("echo hi", None), ("swift build", "test"), ("dotnet test", "test"),
-)
+#: Commands around a document's words with their kind.
+_KINDS = [
+    ("cargo +nightly test {a}", "test"), ("cd {a}{n}; make -j4 lint", "test"), ("./gradlew --info check -P{a}={b}", "test"), ("npm t {a}", "test"), ("node --test {a}.js", "test"), ("mvn -q verify -D{a}", "test"), ("git branch -r {a}", None), ("git branch --merged {a}", None), ("git branch {a}{n}", "vcs"), ("git tag -n5", None), ("git push --dry-run origin {a}", None),
+    ("git stash list", None), ("git stash push {a}", "vcs"), ("git -C {a} commit -m '{b} {c}'", "commit"), ("git branch --sort={a}", None), ("git branch -d {a}", "vcs"), ("echo {a}-{b}", None), ("swift build -c {a}", "test"), ("pytest {a} && git add {b} && git commit -m {c}", "commit"), ("git fetch origin {a}", "vcs"), ("cat {a}.txt | wc -l", None),
+]
 
 
-@query("prj07_command_kinds", f"SELECT event_id AS id, [{', '.join('NULL' if k is None else repr(k) for _, k in _KINDS)}][1 + event_id % {len(_KINDS)}] AS kind FROM events")
+@query("prj07_command_kinds", f"WITH {_WORDED} SELECT id, {_sql_cases(['NULL' if k is None else repr(k) for _, k in _KINDS])} AS kind FROM d3")
 def command_kinds(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _choose(F.col("event_id") % len(_KINDS), {i: c for i, (c, _) in enumerate(_KINDS)}, "").alias("line"))
+    rows = _worded(spark, sf_dir).select("id", _cases([x[0] for x in _KINDS]).alias("line"))
     return rows.select("id", rec.command_kind(F.col("line")).alias("kind"))
 
 
-@query("prj08_edited_files", """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'docs/a.md' WHEN 1 THEN 'src/b.py,docs/c.md' WHEN 2 THEN 'x/n.ipynb' ELSE '' END AS files, event_id % 4 = 0 AS documents_only FROM events""")
+#: Bodies of tool calls around a document's words, the files they change, and whether these are documents only.
+_EDITS = [
+    ('Tool: Write\n{{"file_path": "docs/{a}.md", "content": "{b}"}}', "docs/{a}.md", True), ("Tool: apply_patch\n*** Begin Patch\n*** Update File: src/{a}{n}.py\n@@\n-{b}\n+{c}\n*** Add File: docs/{c}{n}.md\n*** End Patch", "src/{a}{n}.py,docs/{c}{n}.md", False), ('Tool: NotebookEdit\n{{"notebook_path": "x/{a}.ipynb"}}', "x/{a}.ipynb", False),
+    ('Tool: Bash\n{{"command": "ls {a}"}}', "", False), ("Tool: apply_patch\n*** Begin Patch\n*** Delete File: {a}/{n}.TXT\n*** Update File: {a}/{n}.TXT\n*** End Patch", "{a}/{n}.TXT", True),
+]
+
+
+@query("prj08_edited_files", f"WITH {_WORDED} SELECT id, {_sql_cases([_sql(x[1]) for x in _EDITS])} AS files, {_sql_cases([str(x[2]) for x in _EDITS])} AS documents_only FROM d3")
 def edited(spark, sf_dir):
-    bodies = {0: 'Tool: Write\n{"file_path": "docs/a.md", "content": "x"}', 1: "Tool: apply_patch\n*** Begin Patch\n*** Update File: src/b.py\n@@\n*** Add File: docs/c.md\n*** End Patch", 2: 'Tool: NotebookEdit\n{"notebook_path": "x/n.ipynb"}', 3: 'Tool: Bash\n{"command": "ls"}'}
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _choose(F.col("event_id") % 4, bodies, "").alias("content"))
+    rows = _worded(spark, sf_dir).select("id", _cases([x[0].replace("{{", "{").replace("}}", "}") for x in _EDITS]).alias("content"))
     return rows.select("id", F.array_join(rec.edited_files(F.col("content")), ",").alias("files"), rec.documents_only(rec.edited_files(F.col("content"))).alias("documents_only"))
 
 
+#: Tool calls by event_id % 8.
+_CALLS = {
+    0: 'Tool: Edit\n{"file_path": "/proj/a.py"}', 1: 'Tool: Edit\n{"file_path": "/tmp/a.py"}', 2: 'Tool: Bash\n{"command": "pytest -q"}', 3: 'Tool: Bash\n{"command": "ls -l"}', 4: 'Tool: Bash\n{"command": "git fetch origin"}',
+    5: 'Tool: Bash\n{"command": "git fetch origin main:main"}', 6: 'Tool: Bash\n{"command": "git commit -m x"}', 7: 'Tool: Bash\n{"command": "touch /tmp/x"}',
+}
+
+
+@query("prj11_unnoted_work", "WITH n AS (SELECT user_id, median(epoch_us(ts)) AS m FROM events GROUP BY 1), s AS (SELECT user_id, max(epoch_us(ts)) FILTER (event_type = 'signup') AS since FROM events GROUP BY 1) SELECT event_id AS call_id FROM events JOIN s USING (user_id) WHERE (since IS NULL OR epoch_us(ts) > since) AND event_id % 8 IN (0, 2, 5, 6) AND event_id % 7 <> 0")
+def unnoted_work(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    calls = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"), F.col("ts").alias("at"), _choose(F.col("event_id") % 8, _CALLS, "").alias("content"))
+    since = events.groupBy(F.col("user_id").alias("session_id")).agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("since"))
+    notes = events.where(F.col("event_id") % 7 == 0).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"))
+    return work.unnoted_work(calls, notes, since, work.below("/proj")).select("call_id")
+
+
 @query("prj04_question_replies", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'which?' END AS question, CASE WHEN turn % 3 = 0 THEN text END AS answer FROM conversations")
 def question_replies(spark, sf_dir):
     one = F.concat(F.lit("<send_user_message_question_reply>"), F.to_json(F.array(F.struct(F.lit("which?").alias("question"), F.col("text").alias("answer")))), F.lit("</send_user_message_question_reply>"))
@@ -129,18 +172,22 @@ def output_tail(spark, sf_dir):
     return rows.select("doc_id", F.sha2("tail", 256).alias("tail_hash"))
 
 
-@query("strf18_inline_run", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'pytest -q tests' END AS run FROM events")
+#: Bodies around a document's words, and the test that runs after the patch.
+_INLINE = [
+    ('await tools.apply_patch("{a}");\nawait tools.exec_command({cmd: "pytest  -q\\n tests/{b}{n}"})', "pytest -q tests/{b}{n}"), ('await tools.exec_command({"cmd": "ls {a}"}); await tools.apply_patch("{b}")', None), ('tools.exec_command({cmd: "pytest {a}"})', None),
+]
+
+
+@query("strf18_inline_run", f"WITH {_WORDED} SELECT id, {_sql_cases(['NULL' if x[1] is None else _sql(x[1]) for x in _INLINE])} AS run FROM d3")
 def inline_run(spark, sf_dir):
-    bodies = {0: 'await tools.apply_patch("x");\nawait tools.exec_command({cmd: "pytest  -q\\n tests"})', 1: 'await tools.exec_command({"cmd": "ls"}); await tools.apply_patch("x")', 2: 'tools.exec_command({cmd: "ls"})'}
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), _choose(F.col("event_id") % 3, bodies, "").alias("body"))
+    rows = _worded(spark, sf_dir).select("id", _cases([x[0] for x in _INLINE]).alias("body"))
     return rows.select("id", work.inline_run(F.col("body")).alias("run"))
 
 
-@query("strf19_delegations", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'peer' ELSE 'sub-agent' END AS agent, CASE event_id % 3 WHEN 0 THEN 'do ' || event_id WHEN 1 THEN 'go on' ELSE '' END AS task FROM events")
+@query("strf19_delegations", f"WITH {_WORDED} SELECT id, CASE n % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE 'sub-agent' END AS agent, CASE n % 3 WHEN 0 THEN 'do ' || b || ' ' || c || ' ' || n WHEN 1 THEN a || ' on ' || c ELSE '' END AS task FROM d3")
 def delegations(spark, sf_dir):
-    n = F.col("event_id")
-    arguments = F.when(n % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("subagent_type"), F.concat(F.lit("do\n "), n).alias("description")))).when(n % 3 == 1, F.lit('{"target": " peer", "message": "go  on "}')).otherwise(F.lit("{}"))
-    return table(spark, sf_dir, "events").select(n.alias("id"), work.delegation(arguments).alias("d")).select("id", "d.agent", "d.task")
+    arguments = F.when(F.col("n") % 3 == 0, F.to_json(F.struct(F.col("a").alias("subagent_type"), F.concat(F.lit("do\n "), "b", F.lit("  "), "c", F.lit("\t"), "n").alias("description")))).when(F.col("n") % 3 == 1, F.to_json(F.struct(F.concat(F.lit(" "), "b").alias("target"), F.concat("a", F.lit("  on "), "c", F.lit(" ")).alias("message")))).otherwise(F.lit("{}"))
+    return _worded(spark, sf_dir).select("id", work.delegation(arguments).alias("d")).select("id", "d.agent", "d.task")
 
 
 @query("strf20_path_terms", "SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z_]{3,}'), lambda x: lower(x)))) AS BIGINT) AS n_terms FROM documents WHERE text IS NOT NULL")
