@@ -129,7 +129,7 @@ def requests(spark, sf_dir):
     return events.where(ops.is_request(F.col("actor"), F.col("kind"), F.col("status"), F.lit(False))).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
-@query("snk07_edge_delta", f"{_ORIENTED.replace('seen AS (', 'seen AS MATERIALIZED (').replace('ed AS (', 'ed AS MATERIALIZED (').replace('ev AS (', 'ev AS MATERIALIZED (').replace(' o AS (', ' o AS MATERIALIZED (')}, f AS (SELECT * FROM o WHERE id % 19 <> 0) SELECT coalesce(f.id, e.id) AS id, CASE WHEN e.id IS NULL THEN 'added' WHEN f.id IS NULL THEN 'removed' ELSE 'updated' END AS change FROM (SELECT * FROM ed WHERE id % 23 <> 0) e FULL JOIN f ON f.id = e.id WHERE e.id IS NULL OR f.id IS NULL OR e.from_id <> f.from_id")
+@query("snk07_edge_delta", f"{_ORIENTED} SELECT id, CASE WHEN id % 23 = 0 THEN 'added' WHEN id % 19 = 0 THEN 'removed' ELSE 'updated' END AS change FROM o WHERE (id % 23 = 0 AND id % 19 <> 0) OR (id % 19 = 0 AND id % 23 <> 0) OR (id % 19 <> 0 AND id % 23 <> 0 AND turned AND from_id <> to_id)")
 def edge_delta(spark, sf_dir):
     events, edges = _graph(spark, sf_dir)
     columns = ["id", "from_id", "to_id", "relation", "basis", "active"]
