@@ -69,3 +69,20 @@ def test_every_language_is_told(spark, monkeypatch):
     assert len(at_once) == 71 and all(own == told == f"l{i:02d}" for i, own, told, _ in at_once)
     monkeypatch.setattr(language_id, "LANGUAGES_AT_ONCE", 29)
     assert rows() == at_once
+
+
+def test_markup_goes_in_one_walk():
+    """As the plain pattern says, and in time that grows with the page, whatever is left open."""
+    import re
+    import time
+
+    plain = re.compile(r"<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+    draw = random.Random(1)
+    parts = ["<script>", "</script>", "</SCRIPT  >", '<style a="1">', "</style>", "<!--", "-->", "<", ">", "text ", "<p>", "<scripty>", "</p", "\n", "<noscript", "</noscript>", "é", "-", "<!-->", "/"]
+    for _ in range(4000):
+        page = "".join(draw.choices(parts, k=draw.randint(0, 14)))
+        assert language_id._without_markup(page) == plain.sub(" ", page), page
+    began = time.monotonic()
+    for part in ("<script>", "<!-- x", "<style><p>", "<", "</script", "<script></script "):
+        language_id._without_markup(part * (1_000_000 // len(part)))
+    assert time.monotonic() - began < 30

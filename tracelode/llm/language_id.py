@@ -29,12 +29,38 @@ LANGUAGES_AT_ONCE = 192
 #: Trigrams overlap, so their evidence counts a third; and pseudo-counts of the smoothing.
 TEMPER, SMOOTH, LEAN, DECLARED = 1 / 3, 0.5, 4.0, 1.0
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+_OPENING = re.compile(r"<(?:(!--)|(script|style|noscript)\b)?", re.I)
+_CLOSING = {"": re.compile(">"), "!--": re.compile("-->"), **{name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript")}}
+
+
+def _without_markup(page: str) -> str:
+    """A space in place of each comment, each script, style and noscript with what it holds, and each other tag.
+
+    The page is walked forward. What is never closed counts as a plain tag, and
+    its end is looked for once: from then on it is known that none follows.
+    """
+    out, at, never = [], 0, set()
+    while opening := _OPENING.search(page, at):
+        for kind in ((opening[1] or opening[2] or "").lower(), ""):
+            if kind in never:
+                continue
+            closing = _CLOSING[kind].search(page, opening.end() if kind else opening.start() + 1)
+            if closing:
+                out += [page[at : opening.start()], " "]
+                at = closing.end()
+                break
+            never.add(kind)
+        else:
+            out.append(page[at : opening.start() + 1])
+            at = opening.start() + 1
+        if len(never) == len(_CLOSING) or "" in never:
+            break
+    return "".join([*out, page[at:]])
 
 
 def visible_text(page: str | None) -> str:
     """What a page shows, roughly: no markup, comments, scripts or styles."""
-    return markup.unescape(_DROPPED.sub(" ", page or ""))
+    return markup.unescape(_without_markup(page or ""))
 
 
 def _trigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
