@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence as ops
@@ -225,9 +226,22 @@ def story_boxes(spark, sf_dir):
     return stories.boxes(*_story(spark, sf_dir))
 
 
-@query("grf03_story_view")
+@query("grf03_story_view", f"""WITH RECURSIVE {GRAPH}, se AS (SELECT ev.id, ev.session_id, ev.kind, ev.status, ev.actor, ev.tm, CASE WHEN ev.kind = 'action' AND ev.id % 9 = 0 THEN seen.action END AS del FROM ev JOIN seen ON seen.id = ev.id),
+ act AS (SELECT from_id, to_id, relation FROM ed WHERE active), ca AS (SELECT DISTINCT from_id AS id FROM act WHERE relation IN ('motivates', 'revises', 'answers', 'produces')), ck AS (SELECT from_id, to_id FROM act WHERE relation = 'verifies'),
+ ps AS (SELECT DISTINCT from_id FROM ck JOIN se ON se.id = to_id WHERE status = 'observed_success'), ow AS (SELECT DISTINCT to_id AS id FROM ck WHERE from_id IN (SELECT from_id FROM ps)),
+ bx AS (SELECT id, session_id, tm FROM se WHERE actor = 'user' OR (del IS NULL AND kind IN ('question', 'goal', 'proposal', 'decision', 'revision')) OR (kind = 'outcome' AND status = 'observed_failure' AND id NOT IN (SELECT id FROM ca) AND id NOT IN (SELECT id FROM ow))),
+ src AS (SELECT act.to_id AS id, bx.id AS box FROM act JOIN bx ON bx.id = act.from_id QUALIFY row_number() OVER (PARTITION BY act.to_id ORDER BY bx.tm, bx.id) = 1), tgt AS (SELECT act.from_id AS id, bx.id AS box FROM act JOIN bx ON bx.id = act.to_id QUALIFY row_number() OVER (PARTITION BY act.from_id ORDER BY bx.tm, bx.id) = 1),
+ fst AS (SELECT session_id, id AS box FROM bx QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY tm, id) = 1), lst AS (SELECT session_id, id AS box FROM se QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY tm DESC, id DESC) = 1),
+ own AS (SELECT se.*, bx.id IS NOT NULL AS is_box, last_value(bx.id IGNORE NULLS) OVER (PARTITION BY se.session_id ORDER BY se.tm, se.id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS near FROM se LEFT JOIN bx ON bx.id = se.id),
+ o AS (SELECT own.id, own.session_id, own.status, own.del, own.is_box, CASE WHEN own.is_box THEN own.id ELSE coalesce(src.box, tgt.box, own.near, fst.box) END AS box FROM own LEFT JOIN src ON src.id = own.id LEFT JOIN tgt ON tgt.id = own.id LEFT JOIN fst ON fst.session_id = own.session_id),
+ f AS (SELECT id, box FROM o WHERE del IS NULL OR is_box UNION ALL SELECT o.id, coalesce(f.box, o.box) FROM f JOIN o ON o.del = f.id AND NOT o.is_box)
+ SELECT coalesce(f.box, lst.box) AS box, count(*) AS n_events, count(*) FILTER (WHERE o.status = 'observed_failure') AS n_failed, count(*) FILTER (WHERE o.status = 'observed_success') AS n_passed, count(o.del) AS n_agents FROM f JOIN o ON o.id = f.id JOIN lst ON lst.session_id = o.session_id GROUP BY 1""")
 def story_view(spark, sf_dir):
-    return stories.story(*_story(spark, sf_dir))
+    """Every ninth action was delegated by the action before it, some of these by delegated ones."""
+    events, edges = _story(spark, sf_dir)
+    order = Window.partitionBy("session_id").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("kind") == "action", F.col("id")), ignorenulls=True).over(order)
+    return stories.story(events.withColumn("delegated_by", F.when((F.col("kind") == "action") & (F.col("id") % 9 == 0), before)), edges)
 
 
 #: Quotes of every text, by its length modulo 4: as they stand, with doubled spaces, and words that stand nowhere.
