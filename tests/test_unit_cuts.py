@@ -74,9 +74,9 @@ def test_units_equal_the_plain_walk(spark, block):
 
 
 def test_one_session_is_many_blocks(spark):
-    """All rows are one session without any natural cut: 150 blocks, joined in eight rounds."""
+    """All rows are one session without any natural cut: 45 blocks, joined in six rounds."""
     draw = random.Random(1)
-    rows = [(*r[:3], None, *r[4:7], None, *r[8:]) for r in _session(draw, 1, 6000)]
+    rows = [(*r[:3], None, *r[4:7], None, *r[8:]) for r in _session(draw, 1, 1800)]
     _check(spark, {1: rows}, Limits(records=30, chars=2000, payload=60_000, block=40))
 
 

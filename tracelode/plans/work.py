@@ -13,6 +13,7 @@ from ..operators import records as rec
 from ..operators import texts as ops
 from ..operators import units as unit_ops
 from ..operators import work
+from ..sources.store import written
 from .bindings import table
 from .registry import query
 
@@ -106,19 +107,19 @@ def edited(spark, sf_dir):
     return rows.select("id", F.array_join(rec.edited_files(F.col("content")), ",").alias("files"), rec.documents_only(rec.edited_files(F.col("content"))).alias("documents_only"))
 
 
-#: Tool calls by event_id % 8.
-_CALLS = {
-    0: 'Tool: Edit\n{"file_path": "/proj/a.py"}', 1: 'Tool: Edit\n{"file_path": "/tmp/a.py"}', 2: 'Tool: Bash\n{"command": "pytest -q"}', 3: 'Tool: Bash\n{"command": "ls -l"}', 4: 'Tool: Bash\n{"command": "git fetch origin"}',
-    5: 'Tool: Bash\n{"command": "git fetch origin main:main"}', 6: 'Tool: Bash\n{"command": "git commit -m x"}', 7: 'Tool: Bash\n{"command": "touch /tmp/x"}',
-}
+#: Tool calls around a document's words, and whether each is work of the project in /proj.
+_CALLS = [
+    ('Tool: Edit\n{"file_path": "/proj/{a}.py"}', True), ('Tool: Edit\n{"file_path": "/tmp/{a}.py"}', False), ('Tool: Bash\n{"command": "pytest -q {a}"}', True), ('Tool: Bash\n{"command": "ls -l {b}"}', False), ('Tool: Bash\n{"command": "git fetch origin {a}"}', False),
+    ('Tool: Bash\n{"command": "git fetch origin {a}:{b}"}', True), ('Tool: Bash\n{"command": "git commit -m {c}"}', True), ('Tool: Bash\n{"command": "touch /tmp/{a}{n}"}', False), ('Tool: Bash\n{"command": "git stash show {a}"}', False), ('Tool: Bash\n{"command": "echo {b} > /proj/{c}"}', True), ('Tool: Edit\n{"file_path": "{a}/{b}.py"}', True),
+]
 
 
-@query("prj11_unnoted_work", "WITH n AS (SELECT user_id, median(epoch_us(ts)) AS m FROM events GROUP BY 1), s AS (SELECT user_id, max(epoch_us(ts)) FILTER (event_type = 'signup') AS since FROM events GROUP BY 1) SELECT event_id AS call_id FROM events JOIN s USING (user_id) WHERE (since IS NULL OR epoch_us(ts) > since) AND event_id % 8 IN (0, 2, 5, 6) AND event_id % 7 <> 0")
+@query("prj11_unnoted_work", f"WITH {_WORDED}, s AS (SELECT n % 20 AS g, max(n) FILTER (WHERE n % 6 = 0) - 400 AS since FROM d3 GROUP BY 1) SELECT d3.id AS call_id FROM d3 JOIN s ON s.g = d3.n % 20 WHERE (since IS NULL OR n > since) AND {_sql_cases([str(x[1]) for x in _CALLS])} AND n % 7 <> 0")
 def unnoted_work(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    calls = events.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"), F.col("ts").alias("at"), _choose(F.col("event_id") % 8, _CALLS, "").alias("content"))
-    since = events.groupBy(F.col("user_id").alias("session_id")).agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("since"))
-    notes = events.where(F.col("event_id") % 7 == 0).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("call_id"))
+    """Documents as calls of twenty sessions, by their number; every seventh call is a note, and a session's last reminder lies 400 numbers before its last call of six."""
+    calls = written(_worded(spark, sf_dir).select((F.col("n") % 20).alias("session_id"), F.col("id").alias("call_id"), F.col("n").alias("at"), _cases([x[0] for x in _CALLS]).alias("content")), "calls")
+    since = calls.groupBy("session_id").agg((F.max(F.when(F.col("at") % 6 == 0, F.col("at"))) - 400).alias("since"))
+    notes = calls.where(F.col("call_id") % 7 == 0).select("session_id", "call_id")
     return work.unnoted_work(calls, notes, since, work.below("/proj")).select("call_id")
 
 
@@ -129,11 +130,14 @@ def question_replies(spark, sf_dir):
     return rows.select("conv_id", "turn", F.get(rec.question_reply(F.col("t")), 0)["question"].alias("question"), F.get(rec.question_reply(F.col("t")), 0)["answer"].alias("answer"))
 
 
-@query("prj15_incomplete_input", "SELECT user_id, bool_or(event_id % 5 = 3) AS incomplete FROM events WHERE event_id % 5 <> 4 OR event_type = 'view' GROUP BY user_id")
+#: Messages around a document's words, and whether each tells of a loss.
+_MESSAGES = [("audit: {a} of {b}", False), ("skipped unit {a}{n}: {b} is too large", False), ("Git history is limited to the latest {n} commits per worktree.", False), ("the file {a}.jsonl could not be read", True), ("skipped units held back: {n}. {b} waits", False), ("skipped unit {a} {b}: two words", True), ("re-analyzing an already integrated work unit: {c}", False)]
+
+
+@query("prj15_incomplete_input", f"WITH {_WORDED} SELECT n // 5 AS unit, bool_or({_sql_cases([str(x[1]) for x in _MESSAGES])}) AS incomplete FROM d3 GROUP BY 1")
 def incomplete_input(spark, sf_dir):
-    messages = {0: "audit: nothing to do", 1: "skipped unit u1: too large", 2: "Git history is limited to the latest 50 commits per worktree.", 3: "a file could not be read", 4: "skipped units held back: 3. They wait"}
-    rows = table(spark, sf_dir, "events").where("event_id % 5 <> 4 OR event_type = 'view'").select("user_id", _choose(F.col("event_id") % 5, messages, "").alias("message"))
-    return work.incomplete_input(rows, "user_id", "message")
+    rows = _worded(spark, sf_dir).select(F.floor(F.col("n") / 5).cast("bigint").alias("unit"), _cases([x[0] for x in _MESSAGES]).alias("message"))
+    return work.incomplete_input(rows, "unit", "message")
 
 
 @query("prj16_detail_predicates", """SELECT event_id AS id, event_type IN ('purchase') OR (event_type = 'error' AND event_id % 3 = 0) OR (event_type = 'click' AND event_id % 3 = 1) AS detail, event_id % 4 = 1 AS sub_agent, event_id % 4 IN (1, 2) AS called FROM events""")
