@@ -19,6 +19,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import let
+
 #: Levels of references that lead back to themselves.
 DEPTH = 6
 #: Keywords that say nothing about a value.
@@ -58,11 +60,7 @@ def _plain(value: Any) -> Column:
 
 class _Compiler:
     def __init__(self, root: dict):
-        self.root, self.names = root, 0
-
-    def _name(self) -> str:
-        self.names += 1
-        return f"x{self.names}"
+        self.root = root
 
     def _target(self, ref: str) -> Any:
         if not ref.startswith("#"):
@@ -86,6 +84,10 @@ class _Compiler:
     def _fails(self, schema: Any, value: Column, open_refs: tuple[str, ...]) -> Column:
         return F.size(self.errors(schema, value, F.lit(""), open_refs)) > 0
 
+    def _inside(self, schema: Any, value: Column, path: Column, refs: tuple[str, ...]) -> Column:
+        """``errors`` of a part of a value, which is taken out once."""
+        return let(value, lambda part: self.errors(schema, part, path, refs))
+
     @staticmethod
     def _when(bad: Column, path: Column, words: str) -> Column:
         return F.when(F.coalesce(bad, F.lit(False)), F.array(F.concat(path, F.lit(f": {words}")))).otherwise(F.array().cast(_NONE))
@@ -140,7 +142,7 @@ class _Compiler:
             parts = []
             for name, inner in schema[key].items():
                 there = F.array_contains(F.map_keys(fields), name)
-                parts.append(F.when(F.coalesce(there, F.lit(False)), self.errors(inner, F.try_element_at(fields, F.lit(name)), F.concat(path, F.lit(f"/{name}")), refs)).otherwise(none))
+                parts.append(F.when(F.coalesce(there, F.lit(False)), self._inside(inner, F.try_element_at(fields, F.lit(name)), F.concat(path, F.lit(f"/{name}")), refs)).otherwise(none))
             return F.flatten(F.array(*parts)) if parts else none
         if schema[key] is True:
             return None
@@ -169,5 +171,5 @@ class _Compiler:
 
 def shape_errors(text: Column, schema: dict | bool) -> Column:
     """What is wrong with a JSON text under ``schema``: an array of ``path: reason``, empty where it fits; ``: not JSON`` for null and unreadable texts."""
-    value = F.try_parse_json(text)
-    return F.when(value.isNull(), F.array(F.lit(": not JSON"))).otherwise(_Compiler(schema if isinstance(schema, dict) else {}).errors(schema, value, F.lit("")))
+    compiler = _Compiler(schema if isinstance(schema, dict) else {})
+    return let(F.try_parse_json(text), lambda value: F.when(value.isNull(), F.array(F.lit(": not JSON"))).otherwise(compiler.errors(schema, value, F.lit(""))))
