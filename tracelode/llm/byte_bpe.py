@@ -3,9 +3,12 @@
 A word is the array of its bytes' ids. A fold over it merges, again and again,
 the first adjacent pair of lowest rank. Every element is one number, (rank of
 the pair with the next element, place of its first byte, id), so the smallest
-element is the next merge, and the merged id is its rank. The ranks of all
-pairs lie in a literal rank map: an array of numbers without collisions, in
-which two small sums find a pair's only place. Words are cut from whole texts
+element is the next merge, and the merged id is its rank: its place is looked
+up, and the array is put together again from the part before, the new elements
+and the part after. The ranks of all pairs lie in a literal rank map: an array
+of numbers without collisions, in which two small sums find a pair's only
+place; those of two single bytes, which every word begins with, lie by byte and
+next byte. Words are cut from whole texts
 by the public pattern. The distinct words of all documents are counted, those
 from a count on that lets READY of them through are folded once, and their ids
 go into a second literal map; rarer words, most of which stand once, are folded
@@ -30,7 +33,9 @@ _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Bits of an id or rank, and of a place in a word; NO_PAIR is the rank of pairs that never merge.
 ID_BITS, PLACE_BITS = 17, 27
 NO_PAIR = 1 << ID_BITS
-_ID, _REST = NO_PAIR - 1, (1 << (ID_BITS + PLACE_BITS)) - 1
+_ID, _REST, _NEVER = NO_PAIR - 1, (1 << (ID_BITS + PLACE_BITS)) - 1, NO_PAIR << (ID_BITS + PLACE_BITS)
+#: Bytes of a word at most, by the bits of a place.
+MOST_BYTES = 1 << PLACE_BITS
 #: Words whose ids are held ready, at most, and the places they are dealt over by hash; of words with the same place the more frequent one stays.
 READY, READY_PLACES = 400_000, 1 << 19
 #: Steps to a doubling of the count, in the table that the least count of ready words is read from.
@@ -95,7 +100,9 @@ class ByteBpe:
         pairs = {(a, b): rank for piece, rank in ranks.items() for i in range(1, len(piece)) if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None}
         shifts, table = place_pairs(pairs)
         self.sizes = len(shifts), len(table)
-        self.shifts, self.table, self.byte_ids = _numbers(shifts), _numbers(table), _numbers([ranks[bytes([i])] for i in range(256)])
+        self.shifts, self.table = _numbers(shifts), _numbers(table)
+        single = [ranks[bytes([i])] for i in range(256)]
+        self.first = _numbers([pairs.get((a, b), NO_PAIR) << (ID_BITS + PLACE_BITS) | a for a in single for b in [*single, None]])
         pieces = [""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.decode("latin-1")
@@ -104,7 +111,7 @@ class ByteBpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column, shifts: Column, table: Column, byte_ids: Column) -> Column:
+    def fold(self, word: Column, shifts: Column, table: Column, first: Column) -> Column:
         """The ids of one word."""
         no_pair = F.lit(NO_PAIR).cast("long")
 
@@ -115,29 +122,34 @@ class ByteBpe:
             entry = F.get(table, (pair.bitwiseXOR(shift) % self.sizes[1]).cast("int"))
             return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(pair, ID_BITS)), no_pair), ID_BITS + PLACE_BITS)
 
-        def start(ids: Column) -> Column:
-            return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), ID_BITS)).bitwiseOR(a))
+        def start(codes: Column) -> Column:
+            """The elements of single bytes, read from a table by byte and next byte; the last byte has no next one."""
+            pair = lambda a, i: F.get(first, a * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256)))
+            return F.transform(codes, lambda a, i: pair(a, i).bitwiseOR(F.shiftleft(i.cast("long"), ID_BITS)))
 
         def merge(state: Column, _: Column) -> Column:
             def at(low: Column) -> Column:
                 one = F.shiftright(low, ID_BITS + PLACE_BITS)
 
                 # The smallest element becomes the merged one, the one before meets it anew, the one after it goes.
-                merged = lambda k: rank(one, F.get(state, k + 2).bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one)
-                before = lambda x: rank(x.bitwiseAND(_ID), one).bitwiseOR(x.bitwiseAND(_REST))
-                new = F.transform(state, lambda x, k: F.when(x == low, merged(k)).when(F.get(state, k + 1) == low, before(x)).when(F.get(state, k - 1) == low, None).otherwise(x))
-                return F.when(low >= NO_PAIR << (ID_BITS + PLACE_BITS), state).otherwise(F.filter(new, lambda x: x.isNotNull()))
+                def beside(place: Column) -> Column:
+                    merged = rank(one, F.get(state, place + 1).bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one)
+                    before = lambda x: rank(x.bitwiseAND(_ID), one).bitwiseOR(x.bitwiseAND(_REST))
+                    rest = F.slice(state, place + 2, F.lit(MOST_BYTES))
+                    return F.when(place > 1, F.concat(F.slice(state, F.lit(1), place - 2), F.array(before(F.get(state, place - 2)), merged), rest)).otherwise(F.concat(F.array(merged), rest))
+
+                return F.when(low >= _NEVER, state).otherwise(_let(F.array_position(state, low).cast("int"), beside))
 
             return _let(F.array_min(state), at)
 
         signs = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(signs, lambda x: F.get(byte_ids, F.ascii(x)))
-        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), _let(ids, start), merge)
+        elements = _let(F.transform(signs, F.ascii), start)
+        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), elements, merge)
         return F.transform(folded, lambda x: x.bitwiseAND(_ID).cast("int"))
 
     def with_map(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """``body`` gets the fold of a word; the rank map is held once."""
-        return _let(self.shifts, lambda shifts: _let(self.table, lambda table: _let(self.byte_ids, lambda byte_ids: body(lambda word: self.fold(word, shifts, table, byte_ids)))))
+        return _let(self.shifts, lambda shifts: _let(self.table, lambda table: _let(self.first, lambda first: body(lambda word: self.fold(word, shifts, table, first)))))
 
     def ids(self, words: Column, ready: tuple[Column, Column] | None = None) -> Column:
         """The ids of a text cut into words; ``ready`` has those of frequent words."""
