@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.secrets import mask_secrets
-from ..operators import ledger
+from ..operators import ledger, nearest
 from ..operators import records as rules
 from ..operators import texts as ops
 from .bindings import table
@@ -159,6 +159,31 @@ def nearest_lines(spark, sf_dir):
     return ops.nearest_lines(_documents(spark, sf_dir).select(F.col("doc_id").alias("record_id"), "text"), "The quick answer is in the notes")
 
 
+def _quotes_of_sources(spark, sf_dir):
+    """Documents as the records of their source, and the benchmark's passages as quotes that one source each is asked for."""
+    records = _documents(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.col("source").alias("session_id"), F.col("doc_id").alias("pos"), F.col("text").alias("content"))
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.concat(F.lit("src"), (F.col("item_id") % 10).cast("string")).alias("session_id"), F.col("text").alias("quote"))
+    return records, quotes
+
+
+@query(
+    "join23_alike_lines",
+    f"""WITH late AS (SELECT doc_id, source, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 400),
+ {_LINES.replace("SELECT doc_id, CASE", "SELECT doc_id, source, CASE").replace("FROM documents", "FROM late")},
+ u AS (SELECT doc_id, source, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM ln),
+ m AS (SELECT item_id, doc_id, n, 2.0::DOUBLE * list_sum([least(length(b.text) - length(replace(b.text, c, '')), length(x) - length(replace(x, c, ''))) FOR c IN list_distinct(string_split(b.text, ''))]) / (length(b.text) + length(x)) AS overlap
+  FROM benchmark b JOIN u ON u.source = 'src' || (b.item_id % 10) WHERE length(b.text) > 0 AND regexp_matches(x, '\\S'))
+SELECT item_id AS quote_id, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id, n) AS place, doc_id AS source_id, n AS line, CAST(floor(overlap * 1000000) AS BIGINT) AS overlap_ppm FROM m QUALIFY place <= 40""",
+)
+def alike_lines(spark, sf_dir):
+    return nearest.alike_lines(*_quotes_of_sources(spark, sf_dir)).select("quote_id", "place", "source_id", "line", F.floor(F.col("overlap") * 1000000).alias("overlap_ppm"))
+
+
+@query("join23_closest_lines")
+def closest_lines(spark, sf_dir):
+    return nearest.closest_lines(*_quotes_of_sources(spark, sf_dir))
+
+
 @query("prj17_binary_marker", "SELECT page_id, CASE WHEN length(html) >= 2000 THEN '[binary text/html, ' || length(html) || ' chars, sha256 ' || sha256(html) || ']' ELSE sha256(html) END AS content FROM pages")
 def binary_markers(spark, sf_dir):
     marked = rules.binary_mark(F.col("html"), F.lit("text/html"), 2_000)
