@@ -39,7 +39,8 @@ def alike_lines(records: DataFrame, quotes: DataFrame, latest: int = LATEST_RECO
     lines equally alike the earlier ones come first. quote_id names a quote
     once. Null and empty quotes, null sessions, and sessions without records
     give no rows. Every limit is kept before the shuffle as well as after it,
-    so a session with a third of all records sends ``latest`` rows a task.
+    so a session with a third of all records sends ``latest`` rows a task; these
+    meet, texts included, in one task.
     """
     asked = quotes.where(F.length("quote") > 0).select("quote_id", "session_id", F.col("quote").cast("string").alias("quote"))
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("pos"), F.desc("source_id")))
