@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from . import ordered
 
 
@@ -159,16 +160,37 @@ def numeric_fields(rows: DataFrame, key: str, text: str, fields: list[str]) -> D
 
 
 def context_ranking(units: DataFrame, events: DataFrame, most: int = 6) -> DataFrame:
-    """(unit_id, id, place): the ``most`` events that help a unit most: named paths first, then shared words (8 at most), the same session, the newest.
+    """(unit_id, id, place): the ``most`` events that help a unit most: named paths first, then shared words (8 at most), the same session, another, an unknown one, the newest.
 
-    Units and events meet by a shared path or word; both are exploded, joined
-    and counted, so no unit is compared with every event.
+    Paths and words give every unit with the same terms the same score for an
+    event, and every event with the same terms the same score for a unit. So
+    kinds of units meet kinds of events, one row for each set of terms, and of
+    a kind of events only the ``most`` newest, of all and of each session, can
+    be among the first: units and events are never paired.
     """
-    terms = lambda df, name: df.select(name, "session_id", F.explode(F.concat(F.transform("paths", lambda x: F.struct(F.lit(True).alias("path"), x.alias("term"))), F.transform("words", lambda x: F.struct(F.lit(False).alias("path"), x.alias("term"))))).alias("t")).select(name, "session_id", "t.*")
-    met = terms(units, "unit_id").withColumnRenamed("session_id", "__s").join(terms(events, "id"), ["path", "term"]).groupBy("unit_id", "id", "__s", "session_id").agg(F.count_if("path").alias("paths"), F.least(F.count_if(~F.col("path")), F.lit(8)).alias("words"))
-    met = met.join(events.select("id", F.col("pos").alias("__pos")), "id")
-    order = Window.partitionBy("unit_id").orderBy(F.desc(F.col("paths") > 0), F.desc("words"), F.desc(F.col("__s") == F.col("session_id")), F.desc("__pos"), "id")
-    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("unit_id", "id", F.col("place").cast("bigint").alias("place"))
+    sides = F.concat(F.transform("paths", lambda x: F.struct(F.lit(True).alias("path"), x.alias("term"))), F.transform("words", lambda x: F.struct(F.lit(False).alias("path"), x.alias("term"))))
+
+    def kinds(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.withColumn("__terms", F.array_sort(F.filter(sides, lambda t: t["term"].isNotNull()))).where(F.size("__terms") > 0).withColumn(name, F.sha2(F.to_json("__terms"), 256))
+        return rows.drop("__terms"), rows.groupBy(name).agg(F.first("__terms").alias("__terms")).select(name, F.explode("__terms").alias("t")).select(name, "t.*")
+
+    def first(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+        return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+
+    of_units, unit_terms = kinds(units.select("unit_id", F.col("session_id").alias("__s"), "paths", "words"), "__u")
+    of_events, event_terms = kinds(events.select("id", "session_id", F.col("pos").alias("__pos"), "paths", "words"), "__e")
+    of_units, of_events = of_units.select("unit_id", "__s", "__u"), of_events.select("id", "session_id", F.col("session_id").isNull().alias("__lost"), "__pos", "__e")
+    met = unit_terms.join(event_terms, ["path", "term"]).groupBy("__u", "__e").agg((F.count_if("path") > 0).alias("named"), F.least(F.count_if(~F.col("path")), F.lit(8)).alias("words"))
+    met = written(met, "met-kinds")
+    newest, score = [F.desc("__pos"), F.col("id")], [F.desc("named"), F.desc("words")]
+    of_all = first(met.join(first(of_events, ["__e", "__lost"], newest).drop("place"), "__e"), ["__u", "__lost"], score + newest)
+    near = first(of_events.where("NOT __lost"), ["__e", "session_id"], newest).drop("place", "__lost")
+    own = of_units.join(met, "__u").join(near.withColumnRenamed("session_id", "__s"), ["__e", "__s"]).select("unit_id", "id", "__pos", "named", "words", F.lit(1).alias("__own"))
+    others = of_units.join(of_all, "__u").select("unit_id", "id", "__pos", "named", "words", F.coalesce((F.col("__s") == F.col("session_id")).cast("int"), F.lit(-1)).alias("__own"))
+    # What is among the first of all and of its own session stands once.
+    candidates = others.where("__own < 1").unionByName(own)
+    ranked = first(candidates, ["unit_id"], [*score, F.desc("__own"), *newest])
+    return ranked.select("unit_id", "id", F.col("place").cast("bigint").alias("place"))
 
 
 def tails_first(units: DataFrame) -> DataFrame:
