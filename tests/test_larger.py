@@ -35,6 +35,27 @@ def test_context_ranking_does_not_pair_units_with_events(spark):
     assert _most_rows(ranked) < 100_000
 
 
+def test_polls_do_not_pair_runs_with_polls(spark):
+    draw = random.Random(9)
+    runs = [(i, draw.choice([None, "a", "b", "c"]), draw.choice([None, *range(40)])) for i in range(60)]
+    followers = [(i, draw.choice([None, "a", "b", "d"]), draw.choice([None, *range(40)]), draw.choice([None, True, False, False, False])) for i in range(100, 180)]
+    wanted = set()
+    for run, handle, at in runs:
+        later = sorted((t, i, bool(x)) for i, h, t, x in followers if handle and h == handle and None not in (at, t) and t > at)
+        ends = [(t, i) for t, i, x in later if x]
+        if later:
+            wanted.add((run, sum(not ends or (t, i) <= ends[0] for t, i, _ in later), ends[0][1] if ends else None))
+    at = F.timestamp_seconds(F.col("s") * 20_000).alias("at")
+    a = spark.createDataFrame(runs, "id long, handle string, s long").select("id", "handle", at)
+    b = spark.createDataFrame(followers, "id long, handle string, s long, exited boolean").select("id", "handle", at, "exited")
+    assert {tuple(r) for r in evidence.polls(a, b).collect()} == wanted
+
+    hot = spark.range(2000).select("id", F.lit("hot").alias("handle"), F.timestamp_seconds(F.col("id")).alias("at"))
+    found = evidence.polls(hot, hot.withColumn("exited", F.lit(False)))
+    assert found.agg(F.sum("n_polls")).first()[0] == 1999 * 2000 // 2
+    assert _most_rows(found) < 20_000
+
+
 def _most_rows(df) -> int:
     """The most rows that any step of the plan made, as Spark counts them when it runs."""
     df.collect()

@@ -200,11 +200,19 @@ def tails_first(units: DataFrame) -> DataFrame:
 
 
 def polls(runs: DataFrame, followers: DataFrame) -> DataFrame:
-    """(id, n_polls, exit_id): for each run that went on (id, handle, at) the polls of its handle after it up to the first that tells an exit (id, handle, at, exited)."""
-    later = runs.select(F.col("id").alias("run_id"), "handle", F.col("at").alias("__at")).join(followers, "handle").where(F.col("at") > F.col("__at"))
-    ended = later.groupBy("run_id").agg(F.min(F.when(F.col("exited"), F.struct("at", "id"))).alias("__end"))
-    kept = later.join(ended, "run_id").where(F.col("__end").isNull() | (F.struct("at", "id") <= F.col("__end")))
-    return kept.groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("n_polls"), F.first("__end.id").alias("exit_id"))
+    """(id, n_polls, exit_id): for each run that went on (id, handle, at) the polls of its handle after it up to the first that tells an exit (id, handle, at, exited).
+
+    Runs and polls stand on one line for each handle: polls are counted along
+    it and the next exit is looked up, so no run meets its polls one by one.
+    """
+    # Polls at the time of a run come before it, so all that stands behind a run is later.
+    line = followers.select("handle", "at", F.lit(0).alias("__side"), "id", F.coalesce("exited", F.lit(False)).alias("exited")).unionByName(runs.select("handle", "at", F.lit(1).alias("__side"), "id", F.lit(False).alias("exited"))).where("handle IS NOT NULL AND at IS NOT NULL")
+    block, order = ordered.block_of(F.unix_micros(F.col("at").cast("timestamp")) / 1e6, 86_400), ["at", "__side", "id"]
+    counted = ordered.running_count(line, ["handle"], order, F.col("__side") == 0, "__n", block)
+    ended = ordered.last_before(counted, ["handle"], order, F.when(F.col("exited"), F.struct("id", "__n")), "__end", block, backwards=True)
+    total = followers.where("at IS NOT NULL").groupBy("handle").agg(F.count("*").alias("__all"))
+    after = F.coalesce("__end.__n", "__all") - F.col("__n")
+    return ended.where("__side = 1").join(total, "handle").select("id", after.alias("n_polls"), F.col("__end.id").alias("exit_id")).where("n_polls > 0")
 
 
 def out_of_order(added: DataFrame, waiting: DataFrame) -> DataFrame:
