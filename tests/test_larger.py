@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracelode.operators import evidence
+from tracelode.operators import evidence, texts
 
 
 def test_context_ranking_does_not_pair_units_with_events(spark):
@@ -56,6 +56,15 @@ def test_polls_do_not_pair_runs_with_polls(spark):
     assert _most_rows(found) < 20_000
 
 
+def test_scripts_are_counted_in_what_others_leave(spark):
+    rows = [("漢a",), ("한漢",), ("かカ漢字字",), ("Жaб",), ("Жa",), ("éa Ж1",), ("123",), ("",), (None,)]
+    found = [r["s"] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(texts.script_of(F.col("t")).alias("s")).collect()]
+    assert found == ["han", "hangul", "han", "cyrillic", "cyrillic", "latin", None, None, None]
+    # Whole runs go at once, and the letters of the most frequent script are passed over once.
+    plan = spark.createDataFrame(rows, "t string").select(texts.script_of(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(t#") == 1
+
+
 def _most_rows(df) -> int:
     """The most rows that any step of the plan made, as Spark counts them when it runs."""
     df.collect()

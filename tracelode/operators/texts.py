@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.text import fold_case, line_of
 
 #: Characters of a segment, and of a head line's text.
@@ -144,12 +145,25 @@ def votes(records: DataFrame, group: str, choice: str, order: str) -> DataFrame:
     return best.select(group, choice, "n", "n_all")
 
 
+#: Scripts in the order in which equally frequent ones are preferred.
+SCRIPTS = {"hangul": r"\p{IsHangul}+", "kana": r"[\p{IsHiragana}\p{IsKatakana}]+", "han": r"\p{IsHan}+", "cyrillic": r"\p{IsCyrillic}+", "latin": r"\p{IsLatin}+"}
+
+
 def script_of(text: Column) -> Column:
-    """The script that most letters of a text have: hangul, kana, han, cyrillic or latin; null without letters."""
-    count = lambda cls: F.length(text) - F.length(F.regexp_replace(text, cls, ""))
-    counts = F.array(*[F.struct(count(c).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, c) in enumerate({"hangul": r"\p{IsHangul}", "kana": r"[\p{IsHiragana}\p{IsKatakana}]", "han": r"\p{IsHan}", "cyrillic": r"\p{IsCyrillic}", "latin": r"\p{IsLatin}"}.items())])
-    best = F.array_max(counts)
-    return F.when(best["n"] > 0, best["name"])
+    """The script that most letters of a text have: hangul, kana, han, cyrillic or latin; null without letters.
+
+    Scripts share no letter, so each is counted, run by run, in what the ones
+    before it left.
+    """
+
+    def counted(rest: Column, names: list[str], counts: list[Column]) -> Column:
+        if not names:
+            return let(F.array_max(F.array(*counts)), lambda best: F.when(best["n"] > 0, best["name"]))
+        name, rank = names[0], F.lit(-list(SCRIPTS).index(names[0]))
+        count = lambda left: F.struct((F.length(rest) - F.length(left)).alias("n"), rank.alias("rank"), F.lit(name).alias("name"))
+        return let(F.regexp_replace(rest, SCRIPTS[name], ""), lambda left: counted(left, names[1:], [*counts, count(left)]))
+
+    return counted(text, list(SCRIPTS)[::-1], [])
 
 
 def message_groups(messages: DataFrame, message: str, order: str) -> DataFrame:
