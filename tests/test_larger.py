@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracelode.operators import evidence, texts
+from tracelode.sources import transcripts
 
 
 def test_context_ranking_does_not_pair_units_with_events(spark):
@@ -65,6 +66,16 @@ def test_scripts_are_counted_in_what_others_leave(spark):
     assert plan.count("regexp_replace(t#") == 1
 
 
+def test_transcript_files_are_opened_once(spark, tmp_path):
+    row = '{"type": "response_item", "payload": {"type": "message", "id": "%s", "role": "user", "content": "c"}}\n'
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text('{"type": "session_meta", "payload": {"id": "s%s", "cwd": "/w"}}\n' % name + row % "m1" + (row % "m2")[:-1])
+    lines = transcripts.read_lines(spark, f"file://{tmp_path}")
+    assert sorted((r["n"], r["offset"]) for r in lines.collect()) == [(1, 0), (1, 0), (2, 63), (2, 63)]
+    records = transcripts.codex_records(lines)
+    assert "] text" in lines._jdf.queryExecution().optimizedPlan().toString() and "] text" not in records._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _most_rows(df) -> int:
     """The most rows that any step of the plan made, as Spark counts them when it runs."""
     df.collect()
