@@ -74,6 +74,8 @@ def test_transcript_files_are_opened_once(spark, tmp_path):
     assert sorted((r["n"], r["offset"]) for r in lines.collect()) == [(1, 0), (1, 0), (2, 63), (2, 63)]
     records = transcripts.codex_records(lines)
     assert "] text" in lines._jdf.queryExecution().optimizedPlan().toString() and "] text" not in records._jdf.queryExecution().optimizedPlan().toString()
+    # The same rows from two readers are one record each.
+    assert transcripts.collect_records(records, records).count() == records.count() == 2
 
 
 def _most_rows(df) -> int:
