@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tracelode.operators import evidence, texts
@@ -78,6 +79,17 @@ def test_transcript_files_are_opened_once(spark, tmp_path):
     assert transcripts.collect_records(records, records).count() == records.count() == 2
 
 
+def test_segments_are_cut_few_texts_at_once(spark, monkeypatch):
+    docs = spark.range(1000).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    assert {(r["id"], r["content"]) for r in texts.segments(docs, "id", "text").collect()} == {(i, f"t{i}") for i in range(1000)}
+    taken = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: taken.append(run) or df)
+    texts.segments(docs, "id", "text")
+    batch = pa.RecordBatch.from_pydict({"key": range(1000), "text": ["abc"] * 1000})
+    sizes = [made.num_rows for made in taken[0](iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= 128
+
+
 def _most_rows(df) -> int:
     """The most rows that any step of the plan made, as Spark counts them when it runs."""
     df.collect()

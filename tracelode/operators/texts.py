@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import let
 from ..functions.text import fold_case, line_of
 
-#: Characters of a segment, and of a head line's text.
+#: Characters of a segment, and rows whose texts are cut at once, so that a task holds the pieces of few texts.
 SEGMENT_CHARS = 32_000
+SEGMENT_ROWS = 128
 #: Words of a quote that stand for it in the join, and characters of quotes that an automaton holds at most (some 50 bytes each).
 ANCHOR_WORDS = 4
 AUTOMATON_CHARS = 1 << 20
@@ -30,8 +31,12 @@ def segments(records: DataFrame, key: str, text: str, most: int = SEGMENT_CHARS)
     chosen = records.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = chosen.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield from (batch.slice(low, SEGMENT_ROWS) for low in range(0, batch.num_rows, SEGMENT_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shares(batches):
             rows = []
             for i, whole in enumerate(batch.column(1).to_pylist()):
                 if whole is None:
