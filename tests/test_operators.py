@@ -118,3 +118,23 @@ def test_plans_do_what_they_should(spark, tiny):
     plan = turns.number_turns(spark.read.parquet(f"{tiny}/conversations.parquet").where("conv_id = 3").selectExpr("conv_id AS session_id", "turn AS pos", "role", "text AS content"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(conv_id), EqualTo(conv_id,3)]" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
+
+
+def test_near_in_time_equals_all_pairs(spark):
+    import datetime as dt
+    import random
+
+    from tracelode.operators.steps import near_in_time
+
+    draw, start = random.Random(3), dt.datetime(2024, 1, 1)
+    make = lambda n, first: [(first + i, draw.choice(["a", "a", "a", "b", None]), draw.choice([1, 1, 1, 2, 3, None]), None if draw.random() < 0.05 else start + dt.timedelta(seconds=draw.choice([draw.randrange(400), draw.randrange(40) * 10]))) for i in range(n)]
+    left, right = make(300, 0), make(300, 100)
+    expected = []
+    for i, tree, session, at in left:
+        near = sorted((abs((at - b).total_seconds()), k) for k, t, s, b in right if at and b and tree and t == tree and session and s and s != session and abs((at - b).total_seconds()) <= 20)
+        expected += [(i, k, d, n) for n, (d, k) in enumerate(near[:3], 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, tree string, session_id long, at timestamp_ntz")
+    found = near_in_time(frame(left), frame(right), 20, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(expected) and len(expected) > 300
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pairs
+    assert near_in_time(frame(left[:0]), frame(right), 20, 3).count() == 0

@@ -71,18 +71,78 @@ def hint_counts(steps: DataFrame, target: str) -> DataFrame:
 
 
 def near_in_time(left: DataFrame, right: DataFrame, seconds: int, most: int) -> DataFrame:
-    """(id, other_id, apart_s, place): for each row of ``left`` (id, tree, session_id, at) the nearest ``most`` rows of other sessions in the same tree within ``seconds``.
+    """(id, other_id, apart_s, place): for each row of ``left`` (id, tree, session_id, at) the nearest ``most`` rows of other sessions in the same tree within ``seconds``; of equally near ones those with the smaller id.
 
-    Times are cut in slots of the width, so a row meets those of three slots
-    and no others; ``most`` is the operator's limit, not a cap on its search.
+    Times are cut in slots; a slot has its own rows of ``left`` and those of
+    ``right`` up to ``seconds`` beyond its edges. A row's nearest others are the
+    first ones in two orders, later and earlier, where runs of its own session
+    are jumped over: no pairs are made. Rows with a null tree, session or time
+    meet nothing; ``most`` is the operator's limit, not a cap on its search.
     """
-    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000)).cast("bigint")
-    a = left.select("id", "tree", F.col("session_id").alias("__own"), F.col("at").alias("__at"), F.explode(F.array(slot("at") - 1, slot("at"), slot("at") + 1)).alias("slot"))
-    b = right.select(F.col("id").alias("other_id"), "tree", F.col("session_id").alias("__other"), F.col("at").alias("__b"), slot("at").alias("slot"))
-    apart = F.abs(F.unix_micros(F.col("__at").cast("timestamp")) - F.unix_micros(F.col("__b").cast("timestamp"))) / F.lit(1e6)
-    near = a.join(b, ["tree", "slot"]).where(F.col("__own") != F.col("__other")).withColumn("apart_s", apart).where(F.col("apart_s") <= seconds)
-    place = F.row_number().over(Window.partitionBy("id").orderBy("apart_s", "other_id"))
-    return near.withColumn("place", place).where(F.col("place") <= most).select("id", "other_id", "apart_s", F.col("place").cast("bigint"))
+    width, reach = _SLOTS * seconds * 1_000_000, seconds * 1_000_000
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    slot = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    own = left.where("session_id IS NOT NULL").select("tree", F.col("session_id").alias("session"), micros.alias("us"), "id", slot(micros).alias("slot"))
+    other = right.where("session_id IS NOT NULL").select("tree", F.col("session_id").alias("session"), micros.alias("us"), F.col("id").alias("other_id"), F.explode(F.sequence(slot(micros - reach), slot(micros + reach))).alias("slot"))
+    both = own.withColumn("mine", F.lit(True)).unionByName(other.withColumn("mine", F.lit(False)), allowMissingColumns=True).where("tree IS NOT NULL AND us IS NOT NULL")
+    groups = max(1, right.count() // _TOGETHER)
+    kinds = dict(own.dtypes) | dict(other.dtypes)
+    dealt = both.withColumn("part", F.pmod(F.xxhash64("tree", "slot"), F.lit(groups)))
+    return dealt.groupBy("part").applyInArrow(_nearest(width, reach, most), f"id {kinds['id']}, other_id {kinds['other_id']}, apart_s double, place long")
+
+
+#: Slots are this many times as wide as the search reaches; rows of one group of slots, about.
+_SLOTS, _TOGETHER = 4, 50_000
+
+
+def _nearest(width: int, reach: int, most: int):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def codes(column) -> np.ndarray:
+        return pc.dictionary_encode(column.combine_chunks()).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def first(session: np.ndarray, order: np.ndarray, start: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """From each start on, the places of the first ``most`` rows of other sessions in ``order``; -1 where there are no more."""
+        n, session = len(order), session[order]
+        runs = np.append(np.flatnonzero(np.diff(session)) + 1, n)
+        beyond = runs[np.searchsorted(runs, np.arange(n), side="right")]
+        out, at = [], start
+        for _ in range(most):
+            here = np.minimum(at, n - 1)
+            at = np.where((at < n) & (session[here] == own), beyond[here], at)
+            out.append(np.where(at < n, order[np.minimum(at, n - 1)], -1))
+            at = np.minimum(at + 1, n)
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        # Slots lie far enough apart on one line that none is within reach of another.
+        pair = np.unique(np.stack([codes(table["tree"]), table["slot"].to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+        along = table["us"].to_numpy() - table["slot"].to_numpy() * width + pair * (width + 4 * reach)
+        session, mine = codes(table["session"]), table["mine"].to_numpy(zero_copy_only=False).astype(bool)
+        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
+        empty = np.zeros(0, np.int64)
+        row, found, apart = empty, empty, empty
+        if len(a) and len(b):
+            rank = np.empty(len(b), np.int64)
+            rank[pc.sort_indices(table["other_id"].take(pa.array(b)), null_placement="at_start").to_numpy()] = np.arange(len(b))
+            us, ses = along[b], session[b]
+            later, earlier = np.lexsort((rank, us)), np.lexsort((rank, -us))
+            places = first(ses, later, np.searchsorted(us[later], along[a], side="left"), session[a]) + first(ses, earlier, np.searchsorted(-us[earlier], -along[a], side="right"), session[a])
+            row, found = np.tile(np.arange(len(a)), len(places)), np.concatenate(places)
+            row, found = row[found >= 0], found[found >= 0]
+            apart = np.abs(us[found] - along[a][row])
+            row, found, apart = (x[apart <= reach] for x in (row, found, apart))
+            by = np.lexsort((rank[found], apart, row))
+            row, found, apart = row[by], found[by], apart[by]
+        place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        keep = place <= most
+        ids, others = table["id"].take(pa.array(a[row[keep]])), table["other_id"].take(pa.array(b[found[keep]]))
+        return pa.table({"id": ids, "other_id": others, "apart_s": pa.array(apart[keep] / 1e6), "place": pa.array(place[keep])})
+
+    return run
 
 
 def due_points(items: DataFrame, most: int, seconds: int, commit: Column) -> DataFrame:
