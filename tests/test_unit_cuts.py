@@ -87,3 +87,20 @@ def test_awkward_sessions(spark):
     _check(spark, {1: long, 2: linked}, Limits(records=8, chars=100, payload=200_000, block=9))
     with pytest.raises(ValueError, match="block"):
         unit_cuts.best_units(unit_cuts.boundaries(spark.createDataFrame(long, SCHEMA)), Limits(records=8, block=8))
+
+
+def test_many_short_sessions_take_no_call_each(spark):
+    rows = [r for s in range(300) for r in _session(random.Random(s), s, 7)]
+    units = unit_cuts.best_units(unit_cuts.boundaries(spark.createDataFrame(rows, SCHEMA)), Limits(records=5, chars=300, payload=32_000, block=6))
+    assert "FlatMapGroups" not in units._jdf.queryExecution().optimizedPlan().toString()
+    _check(spark, {s: _session(random.Random(s), s, 5 + s % 9) for s in range(40)}, Limits(records=5, chars=300, payload=32_000, block=6))
+
+
+def test_blocks_are_cut_in_any_batches():
+    import pyarrow as pa
+
+    rows = [(b, i) for n in (3, 8, 1, 4) for b in range(-(-n // 4)) for i in range(4 * b, min(n, 4 * b + 6))]
+    table = pa.table({"block": pa.array([b for b, _ in rows], pa.int32()), "i": pa.array([i for _, i in rows], pa.int64())})
+    for size in (1, 2, 5, 100):
+        found = [t.slice(low, high - low)["i"].to_pylist() for t, at in unit_cuts._groups(iter(table.to_batches(max_chunksize=size))) for low, high in zip(at[:-1], at[1:], strict=True)]
+        assert found == [[0, 1, 2], [0, 1, 2, 3, 4, 5], [4, 5, 6, 7], [0], [0, 1, 2, 3]]

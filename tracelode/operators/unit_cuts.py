@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,47 +116,70 @@ def pointers(cost: np.ndarray, flags: dict[str, np.ndarray], own: int, limits: L
 _FLAGS = ("safe", "natural", "turn", "result", "commit")
 
 
-def _block(pdf: pd.DataFrame, limits: Limits) -> tuple[pd.DataFrame, int, np.ndarray, np.ndarray]:
-    """Rows of a block with its rim in order, how many are its own, and their pointers."""
-    pdf = pdf.sort_values("i", kind="stable")
-    own = int((pdf["home"]).sum())
-    end, why = pointers(pdf["cost"].to_numpy(), {k: pdf[k].to_numpy() for k in _FLAGS}, own, limits)
-    return pdf, own, end, why
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole blocks of rows that are sorted by session, block and i: a table, and where each block begins in it and the last one ends.
 
+    Rows of a block follow one another in i, and a session's block 0 begins at
+    0, its others at a multiple of the block's length: where i does not go on, or the
+    block changes, another begins.
+    """
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+        block, i = rest["block"].to_numpy(), rest["i"].to_numpy()
+        begin = np.flatnonzero((np.diff(i) != 1) | (np.diff(block) != 0)) + 1
+        if len(begin):
+            yield rest.slice(0, begin[-1]), np.concatenate(([0], begin))
+            rest = rest.slice(begin[-1])
+    if rest is not None and len(rest):
+        yield rest, np.array([0, len(rest)])
+
+
+def _walked(table: pa.Table, begin: np.ndarray, limits: Limits, only_left: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, own rows, pointers, why) of each block of a table; with ``only_left`` of those that others of their session follow."""
+    home, cost = table["home"].to_numpy(), table["cost"].to_numpy()
+    flags = {k: table[k].to_numpy() for k in _FLAGS}
+    for low, high in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        own = int(np.count_nonzero(home[low:high]))  # the rim follows a block's own rows
+        if own < high - low or not only_left:
+            yield low, own, *pointers(cost[low:high], {k: v[low:high] for k, v in flags.items()}, own, limits)
+
+
+def _exits(limits: Limits, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in _groups(batches):
+            # The block is the session's last where nothing follows its own rows: it leads nowhere.
+            for low, own, end, why in _walked(table, begin, limits, True):
+                leave, kind = end.copy(), why.copy()
+                for k in range(own - 1, -1, -1):
+                    if end[k] < own:
+                        leave[k], kind[k] = leave[end[k]], kind[end[k]]
+                entries = np.arange(min(own, limits.rim))
+                one = table.select(["session_id", "block"]).take(pa.array(np.full(len(entries), low)))
+                yield from _batches([one["session_id"], one["block"], pa.array(entries, pa.int32()), pa.array(leave[entries] - own, pa.int32()), pa.array(kind[entries], pa.int32())], names)
 
-def _same_key(key: tuple, n: int) -> list:
-    """The group's session id for each row; pandas has no null for whole numbers."""
-    return [None if pd.isna(key[0]) else key[0]] * n
+    return run
 
 
-def _exits(limits: Limits):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, own, end, why = _block(pdf, limits)
-        leave, kind = end.copy(), why.copy()
-        for k in range(own - 1, -1, -1):
-            if end[k] < own:
-                leave[k], kind[k] = leave[end[k]], kind[end[k]]
-        # The block is the session's last where nothing follows its own rows: it leads nowhere.
-        entries = np.arange(min(own, limits.rim)) if own < len(pdf) else np.zeros(0, np.int64)
-        out = pd.DataFrame({"block": key[1], "entry": entries, "then": leave[entries] - own, "by": kind[entries]})
-        out.insert(0, "session_id", _same_key(key, len(out)))
-        return out
+def _starts(limits: Limits, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in _groups(batches):
+            begun, reason = np.zeros(len(table), bool), np.full(len(table), -1)
+            entry, by = table["entry"].to_numpy(), table["by"].to_numpy()
+            for low, own, end, why in _walked(table, begin, limits, False):
+                at, kind, end, why = int(entry[low]), int(by[low]), end.tolist(), why.tolist()
+                while at < own:
+                    begun[low + at], reason[low + at] = True, kind
+                    at, kind = end[at], why[at]
+            out = pa.table([table["session_id"], table["pos"], table["i"], pa.array(begun), pa.array(reason, pa.int32())], names)
+            yield from out.filter(table["home"]).to_batches()
 
     return run
 
 
-def _starts(limits: Limits):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, own, end, why = _block(pdf, limits)
-        at, kind, begun, reason = int(pdf["entry"].iloc[0]), int(pdf["by"].iloc[0]), np.zeros(own, bool), np.full(own, -1)
-        while at < own:
-            begun[at], reason[at] = True, kind
-            at, kind = int(end[at]), int(why[at])
-        out = pdf.iloc[:own][["pos", "i"]].assign(begun=begun, why=reason)
-        out.insert(0, "session_id", _same_key(key, own))
-        return out
-
-    return run
+def _batches(columns: list, names: list[str]) -> list[pa.RecordBatch]:
+    return pa.table(columns, names).to_batches()
 
 
 def _entries(steps: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -195,13 +218,15 @@ def best_units(cuts: DataFrame, limits: Limits | None = None) -> DataFrame:
     before = F.when((F.col("i") % limits.block < limits.rim) & (home > 0), home - 1)
     dealt = written(cuts.select("*", F.explode(F.array_compact(F.array(home, before))).alias("block")).withColumn("home", F.col("block") == home), "unit-rows")
     kind, place = dict(cuts.dtypes)["session_id"], dict(cuts.dtypes)["pos"]
-    exits = dealt.groupBy("session_id", "block").applyInPandas(_exits(limits), f"session_id {kind}, block int, entry int, then int, by int")
+    # Sorted partitions are cut into blocks in the tasks: a call for each block would cost more than its walk where sessions are short.
+    sort = lambda df: df.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "i")
+    exits = sort(dealt).mapInArrow(_exits(limits, ["session_id", "block", "entry", "then", "by"]), f"session_id {kind}, block int, entry int, then int, by int")
     # A block before the session's last may also be left beyond the end: that step leads to no block and is met by none.
     steps = written(exits.select("session_id", "block", "entry", (F.col("block") + 1).alias("to_block"), F.col("then").alias("to_entry"), "by"), "unit-steps")
     seeds = dealt.where("i = 0").select("session_id", F.lit(0).alias("block"), F.lit(0).alias("entry"), F.lit(-1).alias("by"))
     entries = _entries(steps, seeds)
     found = dealt.join(entries.withColumnsRenamed({"session_id": "__s", "block": "__b"}), F.col("session_id").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
-    begun = found.groupBy("session_id", "block").applyInPandas(_starts(limits), f"session_id {kind}, pos {place}, i long, begun boolean, why int")
+    begun = sort(found).mapInArrow(_starts(limits, ["session_id", "pos", "i", "begun", "why"]), f"session_id {kind}, pos {place}, i long, begun boolean, why int")
     begun = written(begun, "unit-begun")
     numbered = ordered.running_count(begun, ["session_id"], ["i"], F.col("begun"), "__unit", ordered.block_of(F.col("i")))
     name = F.coalesce(F.get(F.array(*map(F.lit, KINDS)), F.col("why")), F.lit(""))
