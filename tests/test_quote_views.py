@@ -119,3 +119,12 @@ def test_a_hot_region_and_awkward_rows(spark, monkeypatch):
     wanted = [(i, "inside", i + 1) for i in range(1200)] + [(7, "inside", 8), (5000, "refused: short", None), (5001, "refused: not found", None), (5002, "refused: not found", None), (5003, "refused: not found", None), (None, "refused: short", None), (5004, "inside", 1)]
     assert found == sorted(wanted, key=repr)
     assert qv.resolve_in_regions(quotes.where("false"), regions).count() == 0
+
+
+def test_white_space_is_collapsed_only_where_it_decides(monkeypatch):
+    from tracelode.operators import quote_views
+
+    seen, collapsed = [], quote_views.collapsed
+    monkeypatch.setattr(quote_views, "collapsed", lambda text: seen.append(text) or collapsed(text))
+    assert quote_views.resolve("a quote that\n\n  stands here", [("a quote that", True)])[0][0] == "inside" and not seen
+    assert quote_views.resolve("a quote that\n\n  stands here", [("that stands here", True)])[0][:3] == ("white space", 1, 3) and len(seen) == 1

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ BLOCK = 256
 SCHEMA = "quote_id long, mode string, first_line long, last_line long, n_hits long, spans array<struct<s:long,e:long>>"
 _ESCAPE = re.compile(r"\\[" + re.escape("".join(ESCAPES)) + "]")
 _ELLIPSIS = re.compile(r"\.\.\.|…")
-_SPACES = re.compile(r"\s+")
+_SPACES, _WIDE = re.compile(r"\s+"), re.compile(r"\s{2,}")
 
 
 def decoded(text: str) -> tuple[str, np.ndarray]:
@@ -45,7 +46,7 @@ def decoded(text: str) -> tuple[str, np.ndarray]:
 def collapsed(text: str) -> tuple[str, np.ndarray]:
     """The text with each run of white space as one space, and where each character (and the end) stands."""
     kept = np.ones(len(text) + 1, bool)
-    for m in _SPACES.finditer(text):
+    for m in _WIDE.finditer(text):
         kept[m.start() + 1 : m.end()] = False
     return _SPACES.sub(" ", text), np.flatnonzero(kept)
 
@@ -68,13 +69,22 @@ class Region:
 
     def __init__(self, text: str):
         self.text = text
-        own = text.split("\n")
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        own = self.text.split("\n")
         sizes = np.fromiter((len(x) + 1 for x in own), np.int64, len(own))
-        self.starts = np.cumsum(sizes) - sizes
-        body = np.fromiter((x[:1] in ("+", "-", " ") and x[:4] not in ("+++ ", "--- ") for x in own), bool, len(own))
-        head = np.fromiter((x.startswith(("@@", "diff --git ")) for x in own), bool, len(own))
-        self.beside = np.concatenate(([0], np.cumsum(~body)))
-        self.heads = np.concatenate(([0], np.cumsum(head)))
+        return np.cumsum(sizes) - sizes
+
+    @cached_property
+    def beside(self) -> np.ndarray:
+        body = [x[:1] in ("+", "-", " ") and x[:4] not in ("+++ ", "--- ") for x in self.text.split("\n")]
+        return np.concatenate(([0], np.cumsum(~np.array(body, bool))))
+
+    @cached_property
+    def heads(self) -> np.ndarray:
+        head = [x.startswith(("@@", "diff --git ")) for x in self.text.split("\n")]
+        return np.concatenate(([0], np.cumsum(np.array(head, bool))))
 
     def lines_of(self, s: int, e: int) -> tuple[int, int]:
         return int(np.searchsorted(self.starts, s, side="right")) - 1, int(np.searchsorted(self.starts, e - 1, side="right")) - 1
@@ -149,26 +159,31 @@ def resolve(text: str, quotes: list[tuple[str, bool]]) -> list[tuple]:
     asked = [q.rstrip("\n") if q.strip() else q for q, _ in quotes]
     plain = {q: _ESCAPE.sub(lambda m: ESCAPES[m[0][1]], q) for q in asked if "\\" in q}
     view, places = decoded(text) if "\\" in text else ("", None)
-    flat, flat_places = collapsed(text)
-    narrow = {q: _SPACES.sub(" ", q) for q in asked if q.strip()}
     whole = region.find({*asked, *plain.values()}, text, None)
     inner = region.find(set(asked), view, places) if view else {}
-    loose = region.find(set(narrow.values()), flat, flat_places)
-    out = []
-    for quote, (_, close) in zip(asked, quotes, strict=True):
-        out.append(_one(region, quote, close, [("", whole.get(quote)), ("decoded ", inner.get(quote)), ("unescaped ", whole.get(plain[quote]) if plain.get(quote, quote) != quote else None)], loose.get(narrow.get(quote, ""))))
-    return out
+    views = [[("", whole.get(q)), ("decoded ", inner.get(q)), ("unescaped ", whole.get(plain[q]) if plain.get(q, q) != q else None)] for q in asked]
+    # White space is collapsed only where a quote is not settled without it.
+    left = [_settled(region, q, close, v) is None for q, (_, close), v in zip(asked, quotes, views, strict=True)]
+    narrow = {q: _SPACES.sub(" ", q) for q, x in zip(asked, left, strict=True) if x and q.strip()}
+    loose = region.find(set(narrow.values()), *collapsed(text)) if narrow else {}
+    return [_one(region, q, close, v, loose.get(narrow.get(q, ""))) for q, (_, close), v in zip(asked, quotes, views, strict=True)]
 
 
-def _one(region: Region, quote: str, close: bool, views: list[tuple[str, Hits | None]], loose: Hits | None) -> tuple:
+def _settled(region: Region, quote: str, close: bool, views: list[tuple[str, Hits | None]]) -> tuple | None:
+    """What the views say of a quote that is short, or whose hits are one."""
     prefix, hits = next(((name, h) for name, h in views if h), ("", None))
     if len(quote) < SHORT:
         if quote.strip() and hits and hits.n == 1 and not prefix:
             return "short", hits.first + 1, hits.last + 1, 1, hits.spans
         return "refused: short", None, None, hits.n if hits else 0, None
     way = region.way(hits, close) if hits else None
-    if way:
-        return prefix + way, hits.first + 1, hits.last + 1, hits.n, hits.spans if hits.n <= MOST_SPANS else None
+    return (prefix + way, hits.first + 1, hits.last + 1, hits.n, hits.spans if hits.n <= MOST_SPANS else None) if way else None
+
+
+def _one(region: Region, quote: str, close: bool, views: list[tuple[str, Hits | None]], loose: Hits | None) -> tuple:
+    if settled := _settled(region, quote, close, views):
+        return settled
+    hits = next((h for _, h in views if h), None)
     spans, mode = None, ""
     if loose and loose.n == 1:
         spans, mode = loose.spans, "white space"
