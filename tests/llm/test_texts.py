@@ -320,6 +320,22 @@ def test_byte_bpe_query_over_a_whole_table(spark, tiny):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), digest(",".join(map(str, ids)).encode()), digest(texts_[r["doc_id"]].encode()))
 
 
+def test_byte_bpe_of_long_words_and_every_script(spark):
+    """A word of 100,000 letters, and letters and numbers of every script beside a letter: ids equal the library's."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(4)
+    # The last byte of these characters merges with a letter, so their class shows in the ids.
+    signs = [chr(c) for c in range(0xA7, 0x110000) if chr(c).encode("utf-8", "ignore")[-1:] == b"\xa7"]
+    rows = [(1, "".join(draw.choice("abeinst") for _ in range(100_000))), (2, "".join(f"{c}a1{c}! " for c in signs)), (3, " ".join("".join(draw.choice("abeinsté") for _ in range(draw.randint(1, 200))) for _ in range(400)))]
+    for most in (1, byte_bpe.READY):
+        found = {r["doc_id"]: list(r["ids"]) for r in byte_bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), ranks, public_tokenizers.PATTERN, most=most).collect()}
+        assert found == {k: library.encode_ordinary(t) for k, t in rows}
+
+
 def test_every_pair_has_its_own_place():
     pairs = {(a, b): a * 7 + b for a in range(60) for b in range(0, 90, 3)}
     shifts, table = byte_bpe.place_pairs(pairs)

@@ -1,45 +1,45 @@
-"""Byte-level BPE in Spark SQL functions: no Python on the executors.
-
-A word is the array of its bytes' ids. A fold over it merges, again and again,
-the first adjacent pair of lowest rank. Every element is one number, (rank of
-the pair with the next element, place of its first byte, id), so the smallest
-element is the next merge, and the merged id is its rank. The ranks of all
-pairs lie in a literal rank map: an array of numbers without collisions, in
-which two small sums find a pair's only place. Words are cut from whole texts
-by the public pattern. The distinct words of all documents are counted, those
-from a count on that lets READY of them through are folded once, and their ids
-go into a second literal map; rarer words, most of which stand once, are folded
-where they stand, so nothing is shuffled but the counts. Decoding concatenates
-the byte pieces of the ids.
+"""Byte-level BPE over Arrow batches: distinct words are merged together, step by step.
+
+The texts of a batch are cut into words by the public pattern. Words that are
+not held ready are merged all at once: their ids lie in one array, and each
+step replaces, in every word that still has one, the first adjacent pair of
+lowest rank. The ranks of all pairs lie in a rank map without collisions, in
+which two small sums find a pair's only place. Long words are merged one by
+one through a heap, so their time grows with n log n. Merged words stay ready
+for the next texts, up to a bound. Decoding concatenates the byte pieces of
+the ids.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import heapq
 import random
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
-
-#: White space as Unicode has it; Java's \s is only ASCII.
-_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Bits of an id or rank, and of a place in a word; NO_PAIR is the rank of pairs that never merge.
-ID_BITS, PLACE_BITS = 17, 27
+#: Bits of an id or rank; NO_PAIR is the rank of pairs that never merge.
+ID_BITS = 17
 NO_PAIR = 1 << ID_BITS
-_ID, _REST = NO_PAIR - 1, (1 << (ID_BITS + PLACE_BITS)) - 1
-#: Words whose ids are held ready, at most, and the places they are dealt over by hash; of words with the same place the more frequent one stays.
-READY, READY_PLACES = 400_000, 1 << 19
-#: Steps to a doubling of the count, in the table that the least count of ready words is read from.
-COUNT_STEPS = 16
-
-
-def java_pattern(pattern: str) -> str:
-    """The public pattern with Unicode white space spelled out for Java."""
-    return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"(?!\S)", f"(?![^{_SPACE}])").replace(r"\s", f"[{_SPACE}]")
+#: Words whose ids a task holds ready, at most; they are dropped together when there are more.
+READY = 200_000
+#: Bytes of a word from which on it is merged through a heap.
+LONG_WORD = 64
+#: Characters of the texts that are worked on together, about.
+PIECE_CHARS = 1 << 20
+#: Letters and numbers of Unicode 17 and 18, which the public library's Unicode 16 does not have: they are signs to it.
+LATER = (
+    r"\u0558\u058B-\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE-\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C-\uAB6D\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB\U00011DE0-\U00011DE9"
+    r"\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016EA0-\U00016EB8\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2"
+    r"\U0001B123-\U0001B128\U0001B168\U0001D6A6\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE\U0001E6E0-\U0001E6E2\U0001E6E4-\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE-\U0001E6FF"
+    r"\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+ENCODED = "doc_id long, ids array<int>, n_tokens long, decoded binary"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,14 +47,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _numbers(values: list[int | None]) -> Column:
-    """A literal array: Spark parses it once, when it folds constants."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<bigint>")
+def library_pattern(pattern: str) -> str:
+    """The public pattern with letters and numbers as the library's Unicode has them."""
+    return "(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{LATER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{LATER}]]")
 
 
 def place_pairs(pairs: dict[tuple[int, int], int], seed: int = 5) -> tuple[list[int], list[int]]:
@@ -81,102 +76,106 @@ def place_pairs(pairs: dict[tuple[int, int], int], seed: int = 5) -> tuple[list[
     return shifts, table
 
 
-def _place(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(READY_PLACES - 1)
-
-
 class ByteBpe:
-    """Column expressions that encode and decode with one vocabulary, in which every single byte and at most NO_PAIR pieces must be."""
+    """Encodes and decodes with one vocabulary, in which every single byte and at most NO_PAIR pieces must be."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = READY):
         if len(ranks) > NO_PAIR or max(ranks.values(), default=0) >= NO_PAIR or any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError(f"the vocabulary needs every single byte and ranks below {NO_PAIR}")
-        self.pattern = java_pattern(pattern)
+        self.pattern, self.most = library_pattern(pattern), most
+        self.pieces = {rank: piece for piece, rank in ranks.items()}
         pairs = {(a, b): rank for piece, rank in ranks.items() for i in range(1, len(piece)) if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None}
-        shifts, table = place_pairs(pairs)
-        self.sizes = len(shifts), len(table)
-        self.shifts, self.table, self.byte_ids = _numbers(shifts), _numbers(table), _numbers([ranks[bytes([i])] for i in range(256)])
-        pieces = [""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            pieces[rank] = piece.decode("latin-1")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
-    def fold(self, word: Column, shifts: Column, table: Column, byte_ids: Column) -> Column:
-        """The ids of one word."""
-        no_pair = F.lit(NO_PAIR).cast("long")
-
-        def rank(a: Column, b: Column) -> Column:
-            """Of the pair, moved to its bits; another pair's entry, or an empty one, differs above the rank's bits."""
-            pair = F.shiftleft(a, ID_BITS).bitwiseOR(b)
-            shift = F.get(shifts, (pair % self.sizes[0]).cast("int"))
-            entry = F.get(table, (pair.bitwiseXOR(shift) % self.sizes[1]).cast("int"))
-            return F.shiftleft(F.least(entry.bitwiseXOR(F.shiftleft(pair, ID_BITS)), no_pair), ID_BITS + PLACE_BITS)
-
-        def start(ids: Column) -> Column:
-            return F.transform(ids, lambda a, i: rank(a, F.get(ids, i + 1)).bitwiseOR(F.shiftleft(i.cast("long"), ID_BITS)).bitwiseOR(a))
-
-        def merge(state: Column, _: Column) -> Column:
-            def at(low: Column) -> Column:
-                one = F.shiftright(low, ID_BITS + PLACE_BITS)
-
-                # The smallest element becomes the merged one, the one before meets it anew, the one after it goes.
-                merged = lambda k: rank(one, F.get(state, k + 2).bitwiseAND(_ID)).bitwiseOR(low.bitwiseAND(_REST ^ _ID)).bitwiseOR(one)
-                before = lambda x: rank(x.bitwiseAND(_ID), one).bitwiseOR(x.bitwiseAND(_REST))
-                new = F.transform(state, lambda x, k: F.when(x == low, merged(k)).when(F.get(state, k + 1) == low, before(x)).when(F.get(state, k - 1) == low, None).otherwise(x))
-                return F.when(low >= NO_PAIR << (ID_BITS + PLACE_BITS), state).otherwise(F.filter(new, lambda x: x.isNotNull()))
-
-            return _let(F.array_min(state), at)
-
-        signs = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        ids = F.transform(signs, lambda x: F.get(byte_ids, F.ascii(x)))
-        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), _let(ids, start), merge)
-        return F.transform(folded, lambda x: x.bitwiseAND(_ID).cast("int"))
-
-    def with_map(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-        """``body`` gets the fold of a word; the rank map is held once."""
-        return _let(self.shifts, lambda shifts: _let(self.table, lambda table: _let(self.byte_ids, lambda byte_ids: body(lambda word: self.fold(word, shifts, table, byte_ids)))))
-
-    def ids(self, words: Column, ready: tuple[Column, Column] | None = None) -> Column:
-        """The ids of a text cut into words; ``ready`` has those of frequent words."""
-        if ready is None:
-            return self.with_map(lambda fold: F.flatten(F.transform(words, fold)))
-
-        def known(word: Column, names: Column, ids: Column) -> Column:
-            return F.when(F.get(names, _place(word)) == word, F.get(ids, _place(word)))
-
-        return self.with_map(lambda fold: _let(ready[0], lambda names: _let(ready[1], lambda ids: F.flatten(F.transform(words, lambda w: F.coalesce(known(w, names, ids), fold(w)))))))
-
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of ids; an id that the vocabulary does not have adds nothing."""
-        return F.encode(_let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda x: F.get(pieces, x)), "")), "ISO-8859-1")
-
-    def ready(self, docs: DataFrame, text: str, most: int = READY) -> tuple[Column, Column] | None:
-        """Two literal arrays of READY_PLACES, words and their ids, of the words whose count is at least the lowest one that ``most`` distinct words reach.
-
-        All words of all rows are counted and the counts written; a histogram
-        of them, of some hundred rows, sets the least count. The chosen words
-        are folded once each, in Spark; of those of one place the most frequent
-        stays. One row of READY_PLACES entries at most reaches the driver.
-        """
-        counts = docs.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word").count().where("count > 1")
-        counts = written(counts.withColumn("step", F.floor(F.log2("count") * COUNT_STEPS).cast("int")), "bpe-words")
-        least, total = None, 0
-        for row in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
-            total += row["n"]
-            if total > most:
-                break
-            least = row["step"]
-        if least is None:
-            return None
-        chosen = counts.where(F.col("step") >= least).groupBy(_place(F.col("word")).alias("place")).agg(F.max_by("word", F.struct("count", "word")).alias("word"))
-        folded = written(chosen.repartition("place").select("place", "word", self.with_map(lambda fold: fold(F.col("word"))).alias("ids")), "bpe-ready")
-        every = docs.sparkSession.range(READY_PLACES).select(F.col("id").cast("int").alias("place")).join(folded, "place", "left")
-        dense = every.agg(F.sort_array(F.collect_list(F.struct("place", "word", "ids"))).alias("x"))
-        names, ids = dense.select(F.to_json(F.transform("x", lambda r: r["word"])), F.to_json(F.transform("x", lambda r: r["ids"]))).first()
-        return F.from_json(F.lit(names), "array<string>"), F.from_json(F.lit(ids), "array<array<int>>")
+        self.shifts, self.table = (np.array(x, np.int64) for x in place_pairs(pairs))
+        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs; another pair's entry, or an empty one, differs above the rank's bits."""
+        pair = a << ID_BITS | b
+        entry = self.table[(pair ^ self.shifts[pair % len(self.shifts)]) % len(self.table)]
+        return np.minimum(entry ^ pair << ID_BITS, NO_PAIR)
+
+    def merged(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each word; one merge of every unfinished word in each step."""
+        out: list[tuple[int, ...]] = [()] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        number = np.flatnonzero(size)
+        size = size[number]
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        while len(ids):
+            head = np.cumsum(size) - size
+            rank = np.full(len(ids), NO_PAIR, np.int64)
+            rank[:-1] = self.ranks_of(ids[:-1], ids[1:])
+            rank[head + size - 1] = NO_PAIR
+            low, at = np.divmod(np.minimum.reduceat(rank * len(ids) + np.arange(len(ids)), head), len(ids))
+            done = low == NO_PAIR
+            for k, first, n in zip(number[done].tolist(), head[done].tolist(), size[done].tolist(), strict=True):
+                out[k] = tuple(ids[first : first + n].tolist())
+            stay = np.repeat(~done, size)
+            ids[at[~done]] = low[~done]
+            stay[at[~done] + 1] = False
+            ids, number, size = ids[stay], number[~done], size[~done] - 1
+        return out
+
+    def merged_long(self, word: bytes) -> tuple[int, ...]:
+        """The ids of one long word: pairs wait in a heap, and those whose ends have changed are passed over."""
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        first = self.ranks_of(ids[:-1], ids[1:]).tolist()
+        ids, end = ids.tolist(), len(word)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(rank, i, ids[i], ids[i + 1]) for i, rank in enumerate(first) if rank < NO_PAIR]
+        heapq.heapify(heap)
+        shifts, table = self.shifts, self.table
+
+        def push(i: int, j: int) -> None:
+            pair = ids[i] << ID_BITS | ids[j]
+            entry = int(table[(pair ^ int(shifts[pair % len(shifts)])) % len(table)]) ^ pair << ID_BITS
+            if entry < NO_PAIR:
+                heapq.heappush(heap, (entry, i, ids[i], ids[j]))
+
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j >= end or ids[i] != a or ids[j] != b:
+                continue
+            ids[i], ids[j] = rank, -1
+            after[i] = after[j]
+            if after[j] < end:
+                before[after[j]] = i
+                push(i, after[j])
+            if before[i] >= 0:
+                push(before[i], i)
+        return tuple(x for x in ids if x >= 0)
+
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of ENCODED for batches of (doc_id, text)."""
+        import regex
+
+        cut = regex.compile(self.pattern).findall
+        ready: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            low, held = 0, 0
+            for k in range(batch.num_rows):
+                held += len(batch.column(1)[k].as_py() or "")
+                if held >= PIECE_CHARS or k + 1 == batch.num_rows:
+                    yield self._encoded(batch.slice(low, k + 1 - low), cut, ready)
+                    low, held = k + 1, 0
+
+    def _encoded(self, batch: pa.RecordBatch, cut, ready: dict[str, tuple[int, ...]]) -> pa.RecordBatch:
+        words = [cut(text or "") for text in batch.column(1).to_pylist()]
+        new = list(set(chain.from_iterable(words)).difference(ready))
+        if len(ready) + len(new) > self.most:
+            ready.clear()
+            new = list(set(chain.from_iterable(words)))
+        encoded = [w.encode() for w in new]
+        short = [k for k, w in enumerate(encoded) if len(w) < LONG_WORD]
+        ready |= zip((new[k] for k in short), self.merged([encoded[k] for k in short]), strict=True)
+        ready |= {new[k]: self.merged_long(w) for k, w in enumerate(encoded) if len(w) >= LONG_WORD}
+        ids = [list(chain.from_iterable(map(ready.__getitem__, w))) for w in words]
+        ends = np.cumsum([0, *map(len, ids)])
+        flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        decoded = [b"".join(map(self.pieces.__getitem__, x)) for x in ids]
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = READY) -> DataFrame:
@@ -184,10 +183,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, mos
 
     Null and empty texts have no ids and decode to no bytes; an empty table
     gives no rows. Repeated rows and rows with a null doc_id are encoded each.
-    Other columns are not read. Very long texts are encoded whole; the time for
-    a single word grows with the square of its length. ``most`` changes the
-    time, never the ids. The vocabulary must hold every single byte.
+    Other columns are not read. Very long texts are encoded whole. ``most``,
+    the words that a task holds ready, changes the time, never the ids. The
+    vocabulary must hold every single byte.
     """
-    bpe = ByteBpe(ranks, pattern)
-    encoded = docs.select("doc_id", bpe.ids(bpe.words(F.col("text").cast("string")), bpe.ready(docs, "text", most) if most > 0 else None).alias("ids"))
-    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), bpe.decoded(F.col("ids")).alias("decoded"))
+    bpe = docs.sparkSession.sparkContext.broadcast(ByteBpe(ranks, pattern, most))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: bpe.value.batches(batches), ENCODED)
