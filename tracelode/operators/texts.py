@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let
 from ..functions.text import fold_case, line_of
+from ..sources.store import written
 
 #: Characters of a segment, and rows whose texts are cut at once, so that a task holds the pieces of few texts.
 SEGMENT_CHARS = 32_000
@@ -201,10 +202,13 @@ def same_citations(events: DataFrame) -> DataFrame:
     """(id, twin): pairs of an event and the first other of the same kind that cites exactly the same records (id, kind, source_id: one row for each citation).
 
     Sets are compared by a hash that no order changes and their size; a hot
-    set is summed before the shuffle.
+    set is summed before the shuffle. The sets and the first of each are
+    written, so that both sides of the join are plain exchanges: Spark sends a
+    short list of different sets to every task, and splits a hot set of a long one.
     """
     sets = events.select("id", "kind", "source_id").distinct().groupBy("id", "kind").agg(F.sum(F.xxhash64("source_id").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n"))
-    first = sets.groupBy("kind", "h", "n").agg(F.min("id").alias("twin"))
+    sets = written(sets, "citation-sets")
+    first = written(sets.groupBy("kind", "h", "n").agg(F.min("id").alias("twin")), "citation-twins")
     return sets.join(first, ["kind", "h", "n"]).where("id <> twin").select("id", "twin")
 
 
