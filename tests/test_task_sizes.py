@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().toString()
@@ -28,3 +30,26 @@ def test_duplicate_match_deals_by_rows(spark, tiny, monkeypatch):
     for i in sorted(sets):
         first.setdefault((kind[i], frozenset(sets[i])), i)
     assert found == sorted((i, twin) for i, c in sets.items() if (twin := first[kind[i], frozenset(c)]) != i)
+
+
+def test_only_deep_delegations_go_round_again(spark, monkeypatch):
+    """grf03: chains of delegated events end where they begin, and a round writes those below a delegated event only."""
+    from tracelode.operators import stories
+
+    at = "2026-01-01 00:00:00"
+    # Boxes 1 and 50; 2 is delegated by a box, 3 by 2, 4 by 3, 5 by 4, 6 by an event that is none; the rest are plain.
+    rows = [(1, "decision", None), (50, "decision", None), (2, "action", 1), (3, "action", 2), (4, "action", 3), (5, "action", 4), (6, "action", 999), *[(k, "action", None) for k in range(51, 150)]]
+    events = spark.createDataFrame([(i, i, 1, at, kind, "applied", "assistant", by, True) for i, kind, by in rows], "id long, pos long, session_id long, at string, kind string, status string, actor string, delegated_by long, tool_based boolean").withColumn("at", F.col("at").cast("timestamp"))
+    edges = spark.createDataFrame([(50, 5, "motivates", True, None)], "from_id long, to_id long, relation string, active boolean, origin string")
+    sizes, plain = [], stories.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        sizes.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(stories, "written", counted)
+    home = dict(map(tuple, stories.homes(events, edges).collect()))
+    assert [home[i] for i in range(1, 7)] == [1] * 6 and home[50] == 50 and all(home[k] == 50 for k in range(51, 150))
+    assert sum(n for label, n in sizes if label == "story-homes") == len(rows)
+    assert all(n == 3 for label, n in sizes if label == "story-deep")

@@ -57,13 +57,19 @@ def homes(events: DataFrame, edges: DataFrame, most_rounds: int = 30) -> DataFra
     found = near.join(source, "id", "left").join(target, "id", "left").join(first, "session_id", "left")
     own = F.when(F.col("is_box"), F.col("id")).otherwise(F.coalesce("by_source", "by_target", "by_time", "by_session"))
     state = written(found.select("id", "is_box", "delegated_by", own.alias("box")), "story-homes")
-    # A delegated event goes where its delegation goes, however deep.
+    # A delegated event goes where its delegation goes, however deep: only those below a delegated one go round again.
+    moves = F.col("delegated_by").isNotNull() & ~F.col("is_box")
+    above = state.select(F.col("id").alias("__by"), F.col("box").alias("__box"), moves.alias("__moves"))
+    led = written(state.where(moves).join(above, F.col("delegated_by") == F.col("__by"), "left").select("id", "delegated_by", F.coalesce("__box", "box").alias("box"), F.coalesce("__moves", F.lit(False)).alias("deep")), "story-led")
+    settled, deep = led.where("NOT deep").select("id", "box"), led.where("deep").select("id", "delegated_by", "box")
+    ends = written(settled.join(deep.select(F.col("delegated_by").alias("id")).distinct(), "id", "left_semi"), "story-ends")
     for _ in range(most_rounds):
-        above = state.select(F.col("id").alias("__by"), F.col("box").alias("__box"))
-        then = written(state.join(above, (F.col("delegated_by") == F.col("__by")) & ~F.col("is_box"), "left").select("id", "is_box", "delegated_by", F.coalesce("__box", "box").alias("box")), "story-homes")
-        if then.join(state.select("id", F.col("box").alias("__before")), "id").where("NOT (box <=> __before)").isEmpty():
+        onward = ends.union(deep.select("id", "box")).select(F.col("id").alias("__by"), F.col("box").alias("__box"))
+        then = written(deep.join(onward, F.col("delegated_by") == F.col("__by"), "left").select("id", "delegated_by", F.coalesce("__box", "box").alias("box"), (~F.coalesce("__box", "box").eqNullSafe(F.col("box"))).alias("moved")), "story-deep")
+        deep = then.select("id", "delegated_by", "box")
+        if then.where("moved").isEmpty():
             break
-        state = then
+    state = state.where(~moves).select("id", "box").union(settled).union(deep.select("id", "box"))
     lost = state.where("box IS NULL").select("id")
     links = edges.where("active").select("from_id", "to_id").join(lost.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(lost.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
     same = events.join(lost, "id").groupBy("session_id").agg(F.min("id").alias("to_id"))
@@ -76,6 +82,8 @@ def homes(events: DataFrame, edges: DataFrame, most_rounds: int = 30) -> DataFra
 
 def story(events: DataFrame, edges: DataFrame) -> DataFrame:
     """(box, n_events, n_failed, n_passed, n_agents): each box with what is folded into it."""
+    # Both are read many times below: what they are made of is shuffled once.
+    events, edges = written(events, "story-events"), written(edges, "story-edges")
     home = written(homes(events, edges), "story")
     count = lambda c: F.count_if(c)
     inside = events.join(home, "id")
