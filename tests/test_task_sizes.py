@@ -53,3 +53,20 @@ def test_only_deep_delegations_go_round_again(spark, monkeypatch):
     assert [home[i] for i in range(1, 7)] == [1] * 6 and home[50] == 50 and all(home[k] == 50 for k in range(51, 150))
     assert sum(n for label, n in sizes if label == "story-homes") == len(rows)
     assert all(n == 3 for label, n in sizes if label == "story-deep")
+
+
+def test_zstd_lines_pass_in_short_batches(spark, tiny, monkeypatch):
+    """src03: the texts reach a Python worker in batches of BATCH_ROWS rows, not of 10,000."""
+    from tracelode.plans import files
+    from tracelode.sources import store
+
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], files._as_frames
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, "10000")
+    monkeypatch.setattr(files, "_as_frames", lambda lines: seen.append(int(spark.conf.get(key))) or plain(lines))
+    try:
+        docs = spark.read.parquet(f"{tiny}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256))
+        assert sorted(map(tuple, files.zstd_lines(spark, tiny).collect())) == sorted(map(tuple, docs.collect()))
+    finally:
+        spark.conf.set(key, before)
+    assert seen == [store.BATCH_ROWS]

@@ -2,26 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..sources.store import shared_dir, written
+from ..sources.store import BATCH_ROWS, bounded_batches, shared_dir, written
 
 __all__ = ["BATCH_ROWS", "bounded_batches", "row_count_at_most", "shared_dir", "written"]
 
-#: Rows of one Arrow batch: texts are long, and a Python worker holds a batch and what it makes of it.
-BATCH_ROWS = 256
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session, for operators that pass whole texts.
-
-    Spark reads the setting when a query starts, after the operator has
-    returned its DataFrame, so it stays set; a smaller one is left alone.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
 
 def row_count_at_most(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows, reading no more than needed."""
