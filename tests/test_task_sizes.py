@@ -70,3 +70,18 @@ def test_zstd_lines_pass_in_short_batches(spark, tiny, monkeypatch):
     finally:
         spark.conf.set(key, before)
     assert seen == [store.BATCH_ROWS]
+
+
+def test_a_stored_batch_is_not_checked_again(spark, tmp_path, monkeypatch):
+    """str06: a batch of notes that is run again reads no records; the next one is stored."""
+    from tracelode.operators import notes as rules
+    from tracelode.streaming import notes
+
+    records = spark.createDataFrame([("r1", "s", 1, "user", "we keep the old parser for now", None, False)], "record_id string, session_id string, pos long, role string, content string, recorded_at timestamp, failed boolean")
+    row = lambda i: (i, "s", "decision", "t", ["keep the old parser"], "adopted", None, None)
+    flush, root = notes.flush_each_batch(records, str(tmp_path / "store")), str(tmp_path / "store")
+    calls, plain = [], rules.checked
+    monkeypatch.setattr(rules, "checked", lambda *a: calls.append(1) or plain(*a))
+    for number, name in ((0, "a"), (0, "a"), (1, "b"), (0, "a")):
+        flush(spark.createDataFrame([row(name)], rules.NOTE), number)
+    assert len(calls) == 2 and {r["note_id"] for r in notes.stored(spark, root)[0].collect()} == {"a", "b"}
