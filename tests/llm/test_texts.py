@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpus import documents, plain, texts
-from tracelode.llm import byte_bpe, ngram_join, packing, quality_rules, suffix_dedup, token_output
+from tracelode.llm import byte_bpe, ngram_join, packing, quality_rules, suffix_dedup, token_output, tokens
 from tracelode.llm.tokens import encoder, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,6 +176,32 @@ def test_encoder_equals_library(tiny):
         assert ids[ends[i] - sizes[i] : ends[i]].tolist() == _ids(text), text
 
 
+def test_known_runs_are_not_learned_again(monkeypatch):
+    """A piece whose runs are all known never makes the encoder start anew, however full it is."""
+    known, learned = tokens.Encoder(tokenizer_path(BPE)), []
+    learn = known._learn
+    monkeypatch.setattr(tokens, "KEPT_RUNS", 6)
+    monkeypatch.setattr(known, "_learn", lambda runs: learned.append(list(runs)) or learn(runs))
+    for text, new in (("one two Tré's 7", 4), ("7 two one Tré's", 0), ("two three", 1), ("four five two six", 4)):
+        learned.clear()
+        ids, sizes = known.encode(pa.array([text, None]))
+        assert ids.tolist() == _ids(text) and sizes.tolist() == [len(ids), 0]
+        assert sum(map(len, learned)) == new
+
+
+@pytest.mark.parametrize("operator", ["token_output"])
+def test_idle_workers_keep_no_runs(spark, operator):
+    path = tokenizer_path(BPE)
+    made = packing.cut_documents(documents(spark), path) if operator == "packing" else token_output.frames(documents(spark), path, b"", None)
+    assert made.count()
+
+    def kept(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, encoder(path).n))], names=["n"])
+
+    assert {r["n"] for r in spark.range(64, numPartitions=8).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_packing(spark):
     rows = packing.pack_documents(documents(spark), tokenizer_path(BPE)).collect()
     wanted = Counter()

@@ -33,6 +33,8 @@ SHARD_BYTES = 2 << 20
 SAMPLE_DOCUMENTS, SAMPLE_IDS = 400, 4096
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
+#: Bytes of text encoded at once: a run is looked up once for each such piece.
+ENCODED_BYTES = 1 << 20
 INDEX = "array<struct<doc_id:long,at:long,size:long,n_tokens:long>>"
 SHARDS = f"part int, shard int, n_tokens long, dictionary_hash string, payload binary, index {INDEX}"
 
@@ -78,7 +80,7 @@ def frames(docs: DataFrame, path: str, dictionary: bytes, end_id: int | None) ->
         known, compressor = encoder(path), _compressor(wide.value)
         for batch in batches:
             column = batch.column(1)
-            for low, high in pieces(column):
+            for low, high in pieces(column, ENCODED_BYTES):
                 ids, sizes = known.encode(column.slice(low, high - low))
                 out, at = [], 0
                 for n in sizes.tolist():
@@ -86,6 +88,7 @@ def frames(docs: DataFrame, path: str, dictionary: bytes, end_id: int | None) ->
                     out.append(compressor.compress((own if end_id is None else np.append(own, np.uint32(end_id))).astype("<u4").tobytes()))
                     at += n
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(sizes + (end_id is not None)), pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "frame"])
+        known.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, frame binary")
 

@@ -15,7 +15,7 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +43,9 @@ _CUT = np.zeros((5, 5), bool)
 _CUT[_BETWEEN, :] = _CUT[:, _BETWEEN] = True
 _CUT[_LETTER : _SIGN + 1, _LETTER : _SIGN + 1] = ~np.eye(3, dtype=bool)
 _CUT[_DIGIT, _DIGIT] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_PLAIN = re.compile(rb"[a-z]+|[0-9]|[\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
+#: The same as tables for ``bytes.translate``; neighbours as first * 5 + second.
+_KIND_TABLE, _CUT_TABLE = _KIND.tobytes(), _CUT.tobytes().ljust(256, b"\0")
+_PLAIN = re.compile(r"[a-z]+|[0-9]|[\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
 
 
 @lru_cache(maxsize=2)
@@ -73,7 +73,7 @@ _SIGNS = _byte_signs()
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> "Encoder":
-    """The worker's encoder, whose runs stay known from task to task."""
+    """The worker's encoder, loaded once; ``forget`` drops its runs."""
     return Encoder(path)
 
 
@@ -83,66 +83,85 @@ class Encoder:
     def __init__(self, path: str):
         self.library = _library(path)
         self.by_parts = self._cuts_as_known()
-        self._reset()
+        self.forget()
 
     def _cuts_as_known(self) -> bool:
-        """Whether the file normalises and cuts by the rules that ``_by_parts`` follows."""
+        """Whether the file normalises and cuts by the rules that ``_learn`` follows."""
         rules = json.loads(self.library.to_str())
         steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
         cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         return steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": PARTS} and cuts[1]["type"] == "ByteLevel"
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Drops the known runs and gives their memory back: a task's last act, so that an idle worker holds the library alone."""
         self.slot: dict[bytes, int] = {}
-        self.part: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 14, np.int64)
         self.n = 0
+        pa.default_memory_pool().release_unused()
 
-    def _by_parts(self, text: str) -> list[int]:
-        parts = _PARTS.findall(text.lower())
-        known = self.part
-        if len(parts) == 1 and (ids := known.get(parts[0])):
-            return ids
-        out: list[int] = []
-        for part in parts:
-            ids = known.get(part)
-            if ids is None:
-                signs = part if part.isascii() else "".join([_SIGNS[b] for b in part.encode()])
-                known[part] = ids = [t.id for t in self.library.model.tokenize(signs)]
-            out += ids
-        return out
-
-    def _learn(self, runs: list[bytes]) -> None:
-        plain = [self.by_parts and _PLAIN.fullmatch(r) is not None and b"<|" not in r for r in runs]
+    def _learn(self, runs: list[bytes]) -> np.ndarray:
+        """Keeps the ids of new runs; their slots."""
+        easy, hard, words, parts = [], [], [], []
         tokenize = self.library.model.tokenize
-        known = {r: [t.id for t in tokenize(r.decode())] for r, ok in zip(runs, plain, strict=True) if ok}
-        texts = [r.decode() for r, ok in zip(runs, plain, strict=True) if not ok]
-        latin = [self.by_parts and _LATIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        rest = iter(self.library.encode_batch_fast([t for t, ok in zip(texts, latin, strict=True) if not ok], add_special_tokens=False))
-        others = iter([self._by_parts(t) if ok else next(rest).ids for t, ok in zip(texts, latin, strict=True)])
-        found = [known[r] if ok else next(others) for r, ok in zip(runs, plain, strict=True)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        for i, text in enumerate(b" ".join(runs).decode().split(" ")):
+            if not self.by_parts or "<|" in text:
+                hard.append((i, text))
+            elif _PLAIN.fullmatch(text):
+                easy.append(i)
+                words.append(text)
+                parts.append(1)
+            elif _LATIN.fullmatch(text):
+                own = _PARTS.findall(text.lower())
+                easy.append(i)
+                words += [p if p.isascii() else "".join([_SIGNS[b] for b in p.encode()]) for p in own]
+                parts.append(len(own))
+            else:
+                hard.append((i, text))
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if words:
+            each = [[t.id for t in tokenize(word)] for word in words]
+            sizes.append(np.add.reduceat(np.fromiter(map(len, each), np.int64, len(each)), np.cumsum([0, *parts[:-1]])))
+            ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(sizes[-1].sum())))
+        if hard:
+            each = [x.ids for x in self.library.encode_batch_fast([text for _, text in hard], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+            ids.append(np.fromiter(chain.from_iterable(each), np.uint32, int(sizes[-1].sum())))
+        new = np.concatenate(ids)
         low = int(self.bounds[self.n])
-        high = low + int(sizes.sum())
+        high = low + len(new)
         while len(self.ids) < high:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while len(self.bounds) < self.n + len(runs) + 1:
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        self.ids[low:high] = np.fromiter(chain.from_iterable(found), np.uint32, high - low)
-        self.bounds[self.n + 1 : self.n + 1 + len(runs)] = low + np.cumsum(sizes)
-        self.slot.update(zip(runs, range(self.n, self.n + len(runs)), strict=True))
+        self.ids[low:high] = new
+        self.bounds[self.n + 1 : self.n + 1 + len(runs)] = low + np.cumsum(np.concatenate(sizes))
+        slots = np.empty(len(runs), np.int64)
+        slots[easy + [i for i, _ in hard]] = np.arange(self.n, self.n + len(runs))
+        self.slot.update(zip(runs, slots.tolist(), strict=True))
         self.n += len(runs)
+        return slots
+
+    def _slots(self, runs: list[bytes]) -> np.ndarray:
+        """Where the ids of these distinct runs are kept."""
+        slots = np.fromiter(map(self.slot.get, runs, repeat(-1)), np.int64, len(runs))
+        new = np.flatnonzero(slots < 0)
+        if self.n and self.n + len(new) > KEPT_RUNS:
+            self.forget()
+            return self._learn(runs)
+        if len(new):
+            slots[new] = self._learn([runs[i] for i in new.tolist()])
+        return slots
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after the other, number of ids of each)."""
         texts = Texts(column)
-        data, kind = texts.data, _KIND[texts.data]
-        cut = _CUT[kind[:-1], kind[1:]]
-        if not self.by_parts or b"<|" in data.tobytes():  # a special token's name may stand in the text: cut at white space only
-            cut = (kind[:-1] == _BETWEEN) | (kind[1:] == _BETWEEN)
+        raw = texts.data.tobytes()
+        kind = np.frombuffer(raw.translate(_KIND_TABLE), np.uint8)
+        if not self.by_parts or b"<|" in raw:  # a special token's name may stand in the text: cut at white space only
+            data, cut = texts.data, (kind[:-1] == _BETWEEN) | (kind[1:] == _BETWEEN)
         else:
-            data = _LOWER[data]
+            data, cut = np.frombuffer(raw.lower(), np.uint8), np.frombuffer((kind[:-1] * np.uint8(5) + kind[1:]).tobytes().translate(_CUT_TABLE), bool)
         inside = kind != _BETWEEN
         start = np.flatnonzero(inside & np.concatenate(([True], cut)))
         end = np.flatnonzero(inside & np.concatenate((cut, [True]))) + 1
@@ -150,12 +169,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(texts.n, np.int64)
         bounds = np.concatenate(([0], np.cumsum(end - start)))
         runs = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]).dictionary_encode()
-        distinct = runs.dictionary.to_pylist()
-        if self.n + len(distinct) > KEPT_RUNS:
-            self._reset()
-        if unknown := [r for r in distinct if r not in self.slot]:
-            self._learn(unknown)
-        slot = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[runs.indices.to_numpy()]
+        slot = self._slots(runs.dictionary.to_pylist())[runs.indices.to_numpy()]
         first, size = self.bounds[slot], self.bounds[slot + 1] - self.bounds[slot]
         stop = np.cumsum(size)
         ids = self.ids[np.repeat(first - stop + size, size) + np.arange(stop[-1])]
