@@ -16,7 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpus import documents, plain, texts
-from tracelode.llm import byte_bpe, ngram_join, packing, quality_rules, suffix_dedup, token_output, tokens
+from tracelode.llm import byte_bpe, components, ngram_join, packing, quality_rules, suffix_dedup, token_output, tokens
+from tracelode.llm.store import written
 from tracelode.llm.tokens import encoder, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -189,7 +190,7 @@ def test_known_runs_are_not_learned_again(monkeypatch):
         assert sum(map(len, learned)) == new
 
 
-@pytest.mark.parametrize("operator", ["token_output"])
+@pytest.mark.parametrize("operator", ["packing", "token_output"])
 def test_idle_workers_keep_no_runs(spark, operator):
     path = tokenizer_path(BPE)
     made = packing.cut_documents(documents(spark), path) if operator == "packing" else token_output.frames(documents(spark), path, b"", None)
@@ -202,6 +203,26 @@ def test_idle_workers_keep_no_runs(spark, operator):
     assert {r["n"] for r in spark.range(64, numPartitions=8).mapInArrow(kept, "n long").collect()} == {0}
 
 
+def test_few_edges_are_few_files(spark, monkeypatch):
+    """A round of components writes files by its edges, not by its shuffle partitions."""
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, label: made.append(written(df, label)) or made[-1])
+    monkeypatch.setattr(components, "FILE_EDGES", 40)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100) if k % 10 != 9], "a long, b long")
+    with_rounds = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    assert with_rounds == {k: k // 10 * 10 for k in range(100)}
+    assert len(made) > 2 and all(len(df.inputFiles()) <= 3 for df in made[1:])
+
+
+def test_a_fixed_table_is_one_job(spark):
+    rows = spark.range(1000, numPartitions=4)
+    spark.sparkContext.setJobGroup("fixed-table", "")
+    table = ngram_join.fixed_table(rows, lambda batches: ((b.column(0).to_numpy() * 9973) % ngram_join.SLOTS for b in batches))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert table.sum() == 1000 and (table[(np.arange(1000) * 9973) % ngram_join.SLOTS] == 1).all()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fixed-table")) <= 3
+
+
 def test_packing(spark):
     rows = packing.pack_documents(documents(spark), tokenizer_path(BPE)).collect()
     wanted = Counter()

@@ -115,6 +115,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
                     at += n
                     rows += [(doc, k, s, len(x := own[s : s + capacity]), zlib.crc32(x.tobytes())) for k, s in enumerate(range(0, n + 1, capacity))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        known.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
