@@ -1,0 +1,36 @@
+"""Tables that pass through transcript files come back whole: long lines, and texts that begin like a list of blocks."""
+
+from __future__ import annotations
+
+import __spark_entry__
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from tracelode.sources import transcripts
+
+TEXTS = ["be kind", "x" * (transcripts.MOST_LINE + 1), "short", "y\n" * 11_000_000, "[1] see the note", "[]", '[{"type": "text", "text": "a"}]', "[", ""]
+
+
+@pytest.fixture(scope="module")
+def long(tmp_path_factory):
+    """Conversations and documents of these texts, two of them longer than what the readers otherwise take."""
+    top, n = tmp_path_factory.mktemp("long"), range(len(TEXTS))
+    pq.write_table(pa.table({"conv_id": [i // 4 for i in n], "turn": [i % 4 for i in n], "role": [("system", "user", "assistant")[min(i, i % 2 + 1)] for i in n], "text": TEXTS}), f"{top}/conversations.parquet")
+    pq.write_table(pa.table({"doc_id": list(n), "text": TEXTS}), f"{top}/documents.parquet")
+    return str(top)
+
+
+def _same_as_sql(spark, folder, name):
+    duck = duckdb.connect()
+    for table in ("conversations", "documents"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    wanted = duck.sql(__spark_entry__.oracle_sql()[name])
+    found = __spark_entry__.queries()[name](spark, folder).select(*wanted.columns)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
+
+
+def test_codex_records_are_whole(spark, long):
+    _same_as_sql(spark, long, "src06_codex_records")
