@@ -7,7 +7,6 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 from tracelode.sources import transcripts
 
@@ -34,3 +33,18 @@ def _same_as_sql(spark, folder, name):
 
 def test_codex_records_are_whole(spark, long):
     _same_as_sql(spark, long, "src06_codex_records")
+
+
+@pytest.mark.parametrize("name", ["src14_collected_records", "src07_claude_records", "src01_row_types", "src02_line_numbers"])
+def test_other_readers_of_lines_are_whole(spark, long, name):
+    _same_as_sql(spark, long, name)
+
+
+def test_strings_and_lists_of_blocks_are_told_apart(spark, tmp_path):
+    said = ['"[1] see"', '[{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]', '"[{\\"type\\": \\"text\\", \\"text\\": \\"a\\"}]"', "[]", "null"]
+    (tmp_path / "codex.jsonl").write_text("".join('{"type": "response_item", "payload": {"type": "message", "role": "user", "content": %s}}\n' % c for c in said))
+    (tmp_path / "claude.jsonl").write_text("".join('{"type": "user", "uuid": "u", "message": {"content": %s}}\n' % c for c in said))
+    codex = transcripts.codex_records(transcripts.read_lines(spark, f"file://{tmp_path}/codex.jsonl"))
+    assert [r["content"] for r in codex.orderBy("pos").collect()] == ["[1] see", "a\nb", '[{"type": "text", "text": "a"}]', "", ""]
+    claude = transcripts.claude_records(transcripts.read_lines(spark, f"file://{tmp_path}/claude.jsonl"))
+    assert [(r["pos"], r["content"]) for r in claude.orderBy("pos", "native_id").collect()] == [(1, "[1] see"), (2, "a"), (2, "b"), (3, '[{"type": "text", "text": "a"}]'), (5, "")]
